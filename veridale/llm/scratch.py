@@ -1,0 +1,30 @@
+"""Tables that cut lineage, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_CONF = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; one of our own only where the session names none (tests)."""
+    known = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if known:
+        return known.rstrip("/")
+    made = spark.sparkContext.getCheckpointDir()
+    if made is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridale-"))
+        made = spark.sparkContext.getCheckpointDir()
+    return made.rstrip("/")
+
+
+def written(frame: DataFrame, name: str = "t") -> DataFrame:
+    """The rows of frame, written as Parquet to the shared folder and read again: a lost executor costs no recomputation of what came before."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/veridale/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
