@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import chat, mixing, quality, scratch, sharding, simhash, tokencount
+from .words import unsigned_hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: A conversation whose texts hold other templates' marks.
+EXTRA_TURNS = [(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.formatted(chat.text_parts(turns)))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.placed(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
@@ -27,5 +46,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{scratch.shared_dir(spark)}/veridale/token_cache/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
