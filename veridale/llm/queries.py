@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, scratch, sharding, simhash, tokencount
+from . import chat, contamination, mixing, quality, scratch, sharding, simhash, tokencount, urlfilter
+from .urlfilter import UrlRule
 from .words import unsigned_hex
 
 
@@ -46,10 +47,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = [UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"), UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/")]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{scratch.shared_dir(spark)}/veridale/token_cache/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op6_contamination": op6_contamination, "op7_url_filters": op7_url_filters, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
