@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, mixing, pii, quality, scratch, sharding, simhash, tokencount, urlfilter
+from . import chat, contamination, mixing, pii, quality, scratch, sharding, simhash, suffix, tokencount, urlfilter
 from .urlfilter import UrlRule
 from .words import unsigned_hex
 
@@ -47,6 +47,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extracted(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.k = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
@@ -70,5 +74,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op5_pii": op5_pii, "op6_contamination": op6_contamination, "op7_url_filters": op7_url_filters, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_contamination": op6_contamination, "op7_url_filters": op7_url_filters, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
