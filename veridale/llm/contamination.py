@@ -150,4 +150,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    return docs.join(matches(docs, benchmark, similarity).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    held = matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
