@@ -1,0 +1,4 @@
+"""Queries on the generated tables, one for each operator."""
+
+from . import quality_queries, rule_queries
+from .registry import QUERIES, SQL
