@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Also the severities' order in reports.
 SEVERITIES = ("Fatal", "Sanity Check", "Best Practice")
@@ -131,7 +132,9 @@ def reconciled(a: DataFrame, b: DataFrame, rule: Rule) -> DataFrame:
     pairs = left.join(right, "key", "full_outer")
     side = F.when(F.col("in_a").isNull(), "b").when(F.col("in_b").isNull(), "a").otherwise("both")
     severity = F.when(F.col("side") != "both", "Best Practice").when(~holds(rule.check), rule.severity)
-    return pairs.withColumn("side", side).withColumn("deviation", deviation(F.col("field_a"), F.col("field_b"))).withColumn("severity", severity).select("key", "field_a", "field_b", "deviation", "side", "severity")
+    numbers = all(isinstance(pairs.schema[f].dataType, NumericType) for f in ("field_a", "field_b"))
+    percent = deviation(F.col("field_a"), F.col("field_b")) if numbers else F.lit(None).cast("double")
+    return pairs.withColumn("side", side).withColumn("deviation", percent).withColumn("severity", severity).select("key", "field_a", "field_b", "deviation", "side", "severity")
 
 
 def report(violations: DataFrame) -> DataFrame:
