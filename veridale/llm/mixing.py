@@ -27,6 +27,8 @@ from .words import n_words, whole
 
 MOST_COPIES = 3
 BUCKETS = 1024
+#: Tasks that a source's rows are dealt to in a join with a table of sources.
+SALTS = 32
 #: Classes of length are bounded by these parts of the words that the source samples from.
 TIERS = (8, 32, 128)
 
@@ -59,6 +61,13 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """rows with the columns of per_source (source, ..). A source's rows are dealt to SALTS tasks, its line of per_source to each of them."""
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
+    per = per_source.withColumnRenamed("source", "_src").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn("_salt", salt).join(per, (F.col("_salt") == F.col("_to")) & F.col("source").eqNullSafe(F.col("_src"))).drop("_salt", "_to", "_src")
+
+
 def _selected(rows: DataFrame, budget: DataFrame, over: str) -> DataFrame:
     """rows (source, size, rank in (0, 1), ...) with `extra`: 1 for the first ones by rank, up to the source's words in budget.`over`."""
     rows = rows.withColumn("bucket", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
@@ -68,7 +77,7 @@ def _selected(rows: DataFrame, budget: DataFrame, over: str) -> DataFrame:
         sums.withColumn("before", before).join(budget.select(F.col("source").alias("_src"), over), F.col("source").eqNullSafe(F.col("_src")))
         .groupBy("source").agg(F.min_by(F.struct("bucket", (F.col(over) - F.col("before")).alias("left")), F.when(F.col("before") + F.col("s") > F.col(over), F.col("bucket"))).alias("cut"))
     )
-    at = rows.join(full.select(F.col("source").alias("_src"), "cut"), F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
+    at = _with_source(rows, full)
     cut = F.coalesce(F.col("cut.bucket"), F.lit(BUCKETS))
     clear = at.where(F.col("bucket") != cut).withColumn("extra", (F.col("bucket") < cut).cast("int"))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
@@ -89,7 +98,7 @@ def mixed(docs: DataFrame, seed: int = 42, keep: tuple[str, ...] = ("doc_id",))
     t = targets.join(means.select(F.col("source").alias("_src"), "mean"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     tilt = (F.col("score") - F.col("mean")) / 1000
-    of = rows.join(t.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    of = _with_source(rows, t)
     of = of.withColumn("expected", F.least(F.lit(float(MOST_COPIES)), F.greatest(F.lit(0.0), ratio + tilt * F.least(ratio, MOST_COPIES - ratio))))
     of = of.withColumn("certain", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("certain"))
     u, p = _uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed), F.col("p")
@@ -101,7 +110,7 @@ def mixed(docs: DataFrame, seed: int = 42, keep: tuple[str, ...] = ("doc_id",))
     sampled = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("certain") < MOST_COPIES)
     same = F.col("source").eqNullSafe(F.col("_src"))
     opened = of.groupBy("source").agg(F.coalesce(F.sum(F.when(sampled, F.col("size"))), F.lit(0)).alias("open"))
-    of = of.join(opened.withColumnRenamed("source", "_src"), same).drop("_src")
+    of = _with_source(of, opened)
     tier = sum([(F.col("size") * k <= F.col("open")).cast("int") for k in TIERS[1:]], (F.col("size") * TIERS[0] <= F.col("open")).cast("int"))
     of = written(of.withColumn("tier", F.when(sampled, tier)).drop("open"), "tiers")
     wants = of.where("tier is not null").groupBy("source").pivot("tier", [*range(len(TIERS) + 1)]).agg(F.sum(F.col("p") * F.col("size")))
