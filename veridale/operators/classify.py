@@ -99,3 +99,18 @@ def drawing_type(name: Column) -> Column:
 def drawing_role(kind: Column, stage: Column, role: Column) -> Column:
     final = stage.contains("竣工") | stage.contains("移交")
     return F.when(kind.isNull(), role).when((kind != "process_sketch") & final, "audited").otherwise("reference")
+
+
+def all_terms(table: DataFrame, rule_types: DataFrame, aliases: DataFrame) -> DataFrame:
+    """keyword, label, strength: the term table, types of rules by profession (no *), aliases (weak); the strongest of each once."""
+    union = (
+        table.where("status is null or status = 'active'").select("keyword", "label", "strength")
+        .unionByName(rule_types.where("keyword <> '*' and label <> '*'").select("keyword", "label", F.lit("core").alias("strength")))
+        .unionByName(aliases.select("keyword", "label", F.lit("weak").alias("strength")))
+    )
+    return union.groupBy("keyword", "label").agg(F.min("strength").alias("strength"))
+
+
+def checklists(tasks_: DataFrame, by_code: DataFrame, by_professional: DataFrame) -> DataFrame:
+    """task, items: by code, else by professional."""
+    return tasks_.join(by_code.withColumnRenamed("items", "_a"), "code", "left").join(by_professional.withColumnRenamed("items", "_b"), "professional", "left").select("task", F.coalesce("_a", "_b", F.array().cast("array<string>")).alias("items"))

@@ -89,3 +89,32 @@ def merged(values: DataFrame, verified: DataFrame) -> DataFrame:
     both = values.join(good, ["doc", "row", "col"], "left")
     changed = F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("v"))
     return both.select("doc", "row", "col", F.when(changed, F.col("v")).alias("old"), F.coalesce("new", "v").alias("v"))
+
+
+def recommendations(findings: DataFrame) -> DataFrame:
+    """text: a line for each result that needs something done, with its number."""
+    lines = {"fail": "failed items to rectify", "suspicious": "suspicious items to check by hand", "needs_ai": "items still to be read"}
+    sums = findings.agg(*[F.count_if(F.col("result") == r).alias(r) for r in lines])
+    each = F.explode(F.array_compact(F.array(*[F.when(F.col(r) > 0, F.concat(F.col(r).cast("string"), F.lit(f" {what}"))) for r, what in lines.items()])))
+    return sums.select(each.alias("text"))
+
+
+def completed_event(findings: DataFrame, audit_id: str, at: str) -> DataFrame:
+    """The audit_completed event of a review: counts, and hits by rule."""
+    per = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return per.agg(F.sum("hits").alias("n"), F.sort_array(F.collect_list(F.struct("rule_id", "hits"))).alias("rule_details")).select(
+        F.lit("audit_completed").alias("event_type"), F.lit(audit_id).alias("audit_id"), F.lit(at).cast("timestamp").alias("ts"), "n", "rule_details")
+
+
+def supported(suspects: DataFrame, lines: DataFrame) -> DataFrame:
+    """suspects (doc_id, suspect, original, suspected) with what a second reading (doc_id, line) supports: suspected, original, both or none."""
+    found = suspects.join(lines, "doc_id", "left").groupBy("doc_id", "suspect").agg(
+        F.coalesce(F.bool_or(F.col("line").contains(F.col("suspected"))), F.lit(False)).alias("s"), F.coalesce(F.bool_or(F.col("line").contains(F.col("original"))), F.lit(False)).alias("o"))
+    return found.select("doc_id", "suspect", F.when(F.col("s") & F.col("o"), "both").when(F.col("s"), "suspected").when(F.col("o"), "original").otherwise("none").alias("support"))
+
+
+def reviewed(docs: DataFrame, findings: DataFrame, force: bool = False) -> DataFrame:
+    """Findings after the gate: none while a document isn't verified, unless forced; downgraded by confidence."""
+    open_ = docs.where(~F.coalesce(F.col("verified"), F.lit(False))).limit(1).select(F.lit(1).alias("_x"))
+    passed = findings if force else findings.withColumn("_x", F.lit(1)).join(open_, "_x", "left_anti").drop("_x")
+    return downgraded(passed)

@@ -165,3 +165,34 @@ def derived(rows: DataFrame) -> DataFrame:
     }
     needs = {"computed": ("top_elev", "bottom_elev"), "diff": ("actual_length", "top_elev", "bottom_elev"), "expected_coeff": ("volume", "diameter", "actual_length"), "coeff_diff": ("filling_coeff", "volume", "diameter", "actual_length"), "has_time_pair": ("start_time", "end_time")}
     return rows.withColumns({n: F.expr(e) for n, e in made.items() if n not in rows.columns and all(c in rows.columns for c in needs[n])})
+
+
+def by_id(rules: DataFrame, rule_id: str) -> DataFrame:
+    """The first rule with this id."""
+    return rules.where(F.col("rule_id") == rule_id).limit(1)
+
+
+def matching(rules: DataFrame, column: str, value: str) -> DataFrame:
+    """Rules whose array `column` has the value literally."""
+    return rules.where(F.array_contains(column, value))
+
+
+def rule_errors() -> Column:
+    """Array of what is wrong with a rule row (rule_id, scope, level, severity, status, check); empty if nothing."""
+    bad = [
+        (~F.coalesce(F.col("rule_id").rlike("^[A-Z]{2,3}-[0-9]+$"), F.lit(False)), "rule_id"), (~F.coalesce(F.col("scope").isin("SINGLE_DOC", "CROSS_DOC", "CROSS_UNIT"), F.lit(False)), "scope"),
+        (~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)), "level"), (~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), "severity"),
+        (~F.coalesce(F.col("status").isin("draft", "testing", "incubating", "active", "deprecated"), F.lit(False)), "status"), (F.coalesce(F.col("check"), F.lit("")) == "", "check"),
+    ]
+    return F.array_compact(F.array(*[F.when(b, name) for b, name in bad]))
+
+
+def upserted(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """rules with the rows of changes (same columns) in place of those of their id, and new ones added."""
+    return rules.join(changes.select("rule_id"), "rule_id", "left_anti").unionByName(changes.select(rules.columns))
+
+
+def without_drafts(rules: DataFrame, ids: DataFrame) -> DataFrame:
+    """rules without those of ids that are drafts; others can't be deleted."""
+    gone = rules.join(ids, "rule_id", "left_semi").where("status = 'draft'").select("rule_id")
+    return rules.join(gone, "rule_id", "left_anti")

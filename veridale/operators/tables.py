@@ -142,3 +142,25 @@ def expected_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
 def row_gate(actual: Column, expected: Column) -> Column:
     """Whether 80 % of the expected rows are there; unknown passes."""
     return F.coalesce(F.try_divide(actual, expected) >= 0.8, F.lit(True))
+
+
+def candidate_lines(each: DataFrame, noise: list[str]) -> DataFrame:
+    """doc_id, page, raw: lines that hold none of the noise marks."""
+    bad = F.lit(False)
+    for mark in noise:
+        bad = bad | F.col("line").contains(mark)
+    return each.where(~bad).select("doc_id", "page", F.col("line").alias("raw"))
+
+
+def rows_by_type(docs: DataFrame, aliases: dict[str, str], id_slot: str, domain: str) -> DataFrame:
+    """doc_id, page, line_no, cells: domain rows for documents whose type matches `domain`, generic tables for the others, lines where there is no table."""
+    is_domain = F.coalesce(F.col("doc_type").rlike(domain), F.lit(False))
+    first = domain_rows(docs.where(is_domain), aliases, id_slot).select("doc_id", "page", "line_no", "cells")
+    table = generic_rows(docs.where(~is_domain)).select("doc_id", "page", "line_no", "cells")
+    plain = lines(docs.where(~is_domain)).join(table.select("doc_id").distinct(), "doc_id", "left_anti")
+    return first.unionByName(table).unionByName(plain.select("doc_id", "page", "line_no", F.create_map(F.lit("raw_text"), F.col("line")).alias("cells")))
+
+
+def slot_schema(aliases: DataFrame) -> DataFrame:
+    """slot, aliases, of (alias, slot, status) with learned ones that are active."""
+    return aliases.where("status is null or status = 'active'").groupBy("slot").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
