@@ -285,9 +285,9 @@ def lc26(t):
     return _stats(t)
 
 
-@query("lc27_low_activity", STATS + "SELECT rule_id, reviews FROM s WHERE reviews >= 10 AND hit_rate < 1.5")
+@query("lc27_low_activity", STATS + "SELECT rule_id, reviews FROM s WHERE reviews >= 10 AND hit_rate < 2.5")
 def lc27(t):
-    return lc.low_activity(_stats(t), 10, 1.5).select("rule_id", "reviews")
+    return lc.low_activity(_stats(t), 10, 2.5).select("rule_id", "reviews")
 
 
 @query("lc28_high_fp", STATS + "SELECT rule_id, fp_rate FROM s WHERE hits >= 5 AND fp_rate > 0.3")

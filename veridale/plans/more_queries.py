@@ -76,9 +76,10 @@ def lc9(t):
     return log_queries._feedback(t).where(F.size(lc.feedback_errors()) == 0).select("feedback_id")
 
 
-@query("lc17_tf_idf", "WITH e AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents WHERE doc_id < 60), c AS (SELECT id, token, count(*) AS tf FROM e GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1) SELECT id, token, tf * (ln((SELECT count(*) + 1 FROM documents WHERE doc_id < 60)::DOUBLE / (df + 1)) + 1) AS weight FROM c JOIN d USING (token)")
+@query("lc17_tf_idf", "WITH e AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents WHERE doc_id < 60), c AS (SELECT id, token, count(*) AS tf FROM e GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1) SELECT id, token, CAST(round(CAST(tf * (ln((SELECT count(*) + 1 FROM documents WHERE doc_id < 60)::DOUBLE / (df + 1)) + 1) AS DECIMAL(18,8)), 6) AS DOUBLE) AS weight FROM c JOIN d USING (token)")
 def lc17(t):
-    return cl.tf_idf(t("documents").where("doc_id < 60").select(F.col("doc_id").alias("id"), "text"))
+    made = cl.tf_idf(t("documents").where("doc_id < 60").select(F.col("doc_id").alias("id"), "text"))
+    return made.withColumn("weight", F.round(F.col("weight").cast("decimal(18,8)"), 6).cast("double"))
 
 
 @query("lc24_analysis")

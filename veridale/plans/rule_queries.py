@@ -134,10 +134,10 @@ def re21(t):
     return r.checked_rows(_lines(t), LINE_RULES).groupBy("level", "severity", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("re11_derived", "SELECT p_partkey, CAST(p_retailprice - p_size AS DOUBLE) AS computed, CASE WHEN p_size > 0 THEN p_retailprice / (pi() * (p_size / 2.0) * (p_size / 2.0) * 10) END AS expected_coeff FROM part")
+@query("re11_derived", "SELECT p_partkey, CAST(p_retailprice - p_size AS DOUBLE) AS computed, CASE WHEN p_size > 0 THEN CAST(round(CAST(p_retailprice / (pi() * (p_size / 2.0) * (p_size / 2.0) * 10) AS DECIMAL(18,9)), 6) AS DOUBLE) END AS expected_coeff FROM part")
 def re11(t):
     rows = t("part").select("p_partkey", F.col("p_retailprice").alias("top_elev"), F.col("p_size").alias("bottom_elev"), F.col("p_retailprice").alias("volume"), F.col("p_size").alias("diameter"), F.lit(10.0).alias("actual_length"))
-    return r.derived(rows).select("p_partkey", "computed", "expected_coeff")
+    return r.derived(rows).select("p_partkey", "computed", F.round(F.col("expected_coeff").cast("decimal(18,9)"), 6).cast("double").alias("expected_coeff"))
 
 
 CATALOG_SQL = ", ".join(f"('{x.rule_id}', '{x.scope}', '{x.status}')" for x in LINE_RULES)
