@@ -38,6 +38,7 @@ WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
 #: What a text must have for a pattern to be worth trying.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "word": "[0-9@]"}
 LEFT_CHARS = 64
+BLOCK = 256
 MIN_SCORE = 0.8
 MIN_SEEDS = 3
 ROUNDS = 4
@@ -45,13 +46,20 @@ SPAN = "struct<start:int,end:int,text:string,left:string>"
 
 
 def _located(pieces: str, found: str) -> Column:
-    """Spans of the matches `found`, between the `pieces` of the same split."""
+    """Spans of the matches `found`, between the `pieces` of the same split.
+
+    Positions are running sums. They are kept in blocks of BLOCK spans, so that appending to an array copies no
+    more than a block, whatever the number of matches.
+    """
+    span = f"""named_struct('start', a.at + char_length(x.p), 'end', a.at + char_length(x.p) + char_length(x.m), 'text', x.m, 'left', right(x.p, {LEFT_CHARS}))"""
+    block = f"""aggregate(block, named_struct('at', s.at, 'out', cast(array() as array<{SPAN}>)),
+        (a, x) -> named_struct('at', a.at + char_length(x.p) + char_length(x.m), 'out', concat(a.out, array({span}))))"""
     return F.expr(f"""
-        aggregate(zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> named_struct('p', p, 'm', m)),
-            named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
-            (s, x) -> named_struct('at', s.at + char_length(x.p) + char_length(x.m), 'out', concat(s.out, array(named_struct(
-                'start', s.at + char_length(x.p), 'end', s.at + char_length(x.p) + char_length(x.m), 'text', x.m, 'left', right(x.p, {LEFT_CHARS}))))),
-            s -> s.out)""")
+        transform(array(zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> named_struct('p', p, 'm', m))), z ->
+            aggregate(transform(sequence(0, greatest(size(z) - 1, 0) div {BLOCK}), b -> slice(z, int(b) * {BLOCK} + 1, {BLOCK})),
+                named_struct('at', 0, 'out', cast(array() as array<array<{SPAN}>>)),
+                (s, block) -> transform(array({block}), r -> named_struct('at', r.at, 'out', concat(s.out, array(r.out))))[0],
+                s -> flatten(s.out)))[0]""")
 
 
 def _valid(kind: str, text: Column) -> Column:
