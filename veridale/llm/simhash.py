@@ -143,4 +143,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = connected_components(links(nodes)).select(F.col("node").alias("fp"), "component")
     linked = nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = nodes.join(parts.join(linked, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that both sides of the last join are dealt by it and Spark can split a fingerprint that many copies share
+    of_fp = written(of_fp, "classes")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
