@@ -148,7 +148,7 @@ def _streamed(t, derive):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridale-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/in")
-    return logs.run_once(derive(logs.source(spark, f"{folder}/in")), f"s{uuid.uuid4().hex}", f"{folder}/state")
+    return logs.run_once(derive(logs.source(spark, f"{folder}/in")), folder)
 
 
 @query("st_totals", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

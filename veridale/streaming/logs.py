@@ -32,8 +32,12 @@ def triggered(events: DataFrame, threshold: int) -> DataFrame:
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, as a table in memory under that name."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """What the stream gives for all that is there now: each batch replaces the result table in the folder."""
+    result = f"{folder}/result"
+    q = (
+        stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(result)).start()
+    )
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(result)
