@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, rules as r
 from ..operators import templates as tp
 from .registry import query
+from .source_queries import folder
 
 VALUES = ", ".join(f"('{i}', '{scope}', '{level}', '{severity}', '{kind}')" for i, scope, level, severity, kind, _ in catalog.entries())
 
@@ -138,17 +139,12 @@ def total_source(t):
 
 def _streamed(t, derive):
     """derive() over the events as a stream that ends with what is there now."""
-    import tempfile
-    import uuid
-
     from ..streaming import logs
 
     events = t("events")
-    spark = events.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridale-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
-    events.write.parquet(f"{folder}/in")
-    return logs.run_once(derive(logs.source(spark, f"{folder}/in")), folder)
+    to = folder(events)
+    events.write.parquet(f"{to}/in")
+    return logs.run_once(derive(logs.source(events.sparkSession, f"{to}/in")), to)
 
 
 @query("st_totals", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
