@@ -21,9 +21,7 @@ def _same(docs: DataFrame, other: DataFrame) -> Column:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that fail the base rule or a learned rule."""
-    rules = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return quality.judged(rows, rules, ("_row",)).where("kept").select("_row.*")
+    return quality.kept_rows(docs, quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

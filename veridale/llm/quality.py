@@ -215,6 +215,14 @@ def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dec
     return found
 
 
+def kept_rows(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    # a row number between statistics and filter: Spark won't push the filter below it, where each condition would count anew
+    numbered = statistics(rows, ("_row",)).withColumn("_at", F.monotonically_increasing_id())
+    return numbered.where((F.col("_at") >= 0) & ~base_failed() & rules.rule_number().isNull()).select("_row.*")
+
+
 def judged(docs: DataFrame, rules: DecisionList, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """statistics() with base_failed, rule (number of the rule that rejects, or null) and kept."""
     return (

@@ -143,6 +143,8 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             begun = start[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
             later = np.zeros(len(order), dtype=bool)
             later[order] = start[order] > begun
+            # it needs no partner, so it goes anywhere but to where its gram's other segments meet
+            h = np.where(later, _mixed((doc ^ start << 20).astype(np.uint64)), h)
             yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "doc": doc, "d2": d2.astype(np.int32), "at": start << 8 | n, "later": later})
 
 

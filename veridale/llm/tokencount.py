@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .words import SPACE_RUN, SPACES, whole
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
@@ -75,6 +76,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     distinct = texts.select(digest, "text").groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(cached(spark, cache, version).select("digest"), "digest", "left_anti")
     misses.mapInPandas(_encoder(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = cached(spark, cache, version)
+    # written, so that both sides of the last join are dealt by it and Spark can split a text that many rows share
+    counts = written(cached(spark, cache, version), "counts")
     found = texts.select("doc_id", "n_bytes", digest).join(counts, "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
