@@ -40,3 +40,14 @@ def test_slots(spark):
     assert sorted(r.doc_id for r in contamination.clean(frame, bench).collect()) == [3, 4, 5, 6, 7]
     assert contamination.clean(frame, bench).columns == frame.columns
     assert contamination.matches(frame.limit(0), bench).count() == 0 and contamination.matches(frame, bench.limit(0)).count() == 0
+
+
+def test_copies_after_passages_that_share_windows(spark):
+    early = "A train leaves the old station at 7 and travels 80 km to the sea. "
+    docs = [(1, early + ITEM), (2, early + ITEM.replace("30 min", "4 h").replace("with Maria before", "with Maria well before")), (3, early * 3 + "It stops."), (4, f"{ITEM} {early}")]
+    short = [(5, "As they say, two words are enough here."), (6, "We met in 1999 at the sea, far away"), (7, "two other words and so on and on"), (8, "the 42 of them went home again"), (9, "the 43 of them went home again")]
+    frame = spark.createDataFrame(docs + short, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, ITEM), (11, "Two words"), (12, "Met in 1999"), (13, "42")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contamination.matches(frame, bench).collect()}
+    assert set(got) == {(1, 10), (2, 10), (4, 10), (5, 11), (6, 12), (8, 13)}
+    assert got[1, 10].consistent == got[4, 10].consistent == 1.0 and got[1, 10].n_matched == got[1, 10].n_windows

@@ -6,15 +6,19 @@ of WINDOW tokens of the benchmark's templates is hash-joined to the windows of a
 an item and a document are put together along the item: a document is contaminated by an item if it has
 at least SIMILARITY of the item's distinct windows and the slots are consistent: of the different
 substitutions (value in the item, value in the document), at least SIMILARITY are the only one of their
-item's value, as in a re-parameterised question.
+item's value, as in a re-parameterised question. Slots are judged for each alignment (place in the
+document minus place in the item) that a window has: every window of the item is taken at its place in the
+document that is nearest to the alignment, and the best alignment counts. So a passage elsewhere that shares
+some windows doesn't spoil a copy.
 
 Document windows are made in tasks and first tested against a bit table of fixed size (FILTER_BITS)
 that holds the benchmark's window hashes, so nearly all that reach the shuffle are matches. The table
 is a broadcast of 2 MB whatever the benchmark's size; a fuller one lets more windows through to the
-join, which decides alone. A document names each window once, at its first place.
+join, which decides alone. A document names each window once, with all its places.
 
-Defined results: null and empty texts have no windows; texts with fewer tokens than WINDOW have one
-window, the whole of it; repeated items and rows count each; an empty benchmark or table gives no rows
+Defined results: null and empty texts have no windows; items with fewer tokens than WINDOW have one
+window, the whole of it, and documents have the windows of these sizes too; where such an item is all
+placeholders, only its own values match it; repeated items and rows count each; an empty benchmark or table gives no rows
 in `matches`; extra columns are ignored by `matches` and kept by `clean`.
 """
 
@@ -37,7 +41,9 @@ FILTER_BITS = 1 << 24
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year usd eur gbp dollars dollar euros euro cents cent percent % ° °c °f k hz khz mhz ghz w kw v a kb mb gb tb mph kmh km/h m/s".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 EDGES = "\"'`.,;:!?()[]{}<>«»„“”‘’…*_|#&$%"
-HIT = "doc_id long, window long, slots array<string>"
+HIT = "doc_id long, window long, places array<int>, said array<array<string>>"
+#: Alignments that are judged at once.
+PIECE = 1 << 12
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
@@ -78,26 +84,75 @@ def _hashes(tokens: list[str], size: int) -> np.ndarray:
     return (out & np.uint64((1 << 63) - 1)).astype(np.int64)
 
 
-def _windows(text: str | None) -> tuple[np.ndarray, list[str], int]:
-    """Hashes, slot values of each token and window size of a text."""
-    tokens, values = template(text or "")
-    size = min(WINDOW, len(tokens))
-    return (_hashes(tokens, size) if size else np.empty(0, dtype=np.int64)), values, size
+def _places(hashes: np.ndarray, values: list[str], size: int, at: np.ndarray) -> Iterator[tuple[int, list[int], list[list[str]]]]:
+    """Hash, places in increasing order and their slots of each distinct window among those that start at `at`."""
+    distinct, group = np.unique(hashes[at], return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    for h, own in zip(distinct, np.split(at[order], np.cumsum(np.bincount(group))[:-1])):
+        yield int(h), own.tolist(), [[v for v in values[i : i + size] if v] for i in own]
 
 
 def _of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for item, text in zip(batch["item_id"], batch["text"]):
-            hashes, values, size = _windows(text)
-            distinct, at = np.unique(hashes, return_index=True)
-            rows += [(item, int(h), [v for v in values[i : i + size] if v], len(distinct)) for h, i in zip(distinct, at)]
-        yield pd.DataFrame(rows, columns=["item_id", "window", "slots", "n_windows"])
+            tokens, values = template(text or "")
+            size = min(WINDOW, len(tokens))
+            if not size:
+                continue
+            hashes = _hashes(tokens, size)
+            found = list(_places(hashes, values, size, np.arange(len(hashes))))
+            rows += [(item, h, places, slots, len(found), size) for h, places, slots in found]
+        yield pd.DataFrame(rows, columns=["item_id", "window", "item_places", "slots", "n_windows", "size"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window, slots, n_windows (of the item) for each distinct window of each item."""
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInPandas(_of_items, "item_id long, window long, slots array<string>, n_windows int")
+    """item_id, window, item_places, slots (of each place), n_windows (of the item), size (of the window) for each distinct window of each item."""
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInPandas(_of_items, "item_id long, window long, item_places array<int>, slots array<array<string>>, n_windows int, size int")
+
+
+def consistency(windows: list[tuple[list[int], list[list[str]], list[int], list[list[str]]]], size: int) -> float:
+    """The best share of consistent substitutions at any alignment, from (places, slots) in the item and in the document of each window."""
+    number: dict[str, int] = {}
+    joined = []
+    for item_places, slots, places, said in windows:
+        # windows of equal hash have as many slots, unless different windows collide
+        fits = [k for k, v in enumerate(said) if len(v) == len(slots[0])]
+        if fits:
+            numbers = np.array([[number.setdefault(v, len(number)) for v in said[k]] for k in fits], dtype=np.int64).reshape(len(fits), -1)
+            joined.append((item_places, slots, np.asarray(places, dtype=np.int64)[fits], numbers))
+    if size < WINDOW and all(len(v) == size for _, slots, _, _ in joined for v in slots):
+        return float(any(list(v) in map(list, slots) for _, slots, _, said in windows for v in said))
+    if not any(len(v) for _, slots, _, _ in joined for v in slots):
+        return 1.0
+    alignments = np.unique(np.concatenate([places - i for item_places, _, places, _ in joined for i in item_places]))
+    best = 0.0
+    for lo in range(0, len(alignments), PIECE):
+        at = alignments[lo : lo + PIECE]
+        by_value: dict[str, list[np.ndarray]] = {}
+        for item_places, slots, places, numbers in joined:
+            for i, own in zip(item_places, slots):
+                after = np.minimum(np.searchsorted(places, at + i), len(places) - 1)
+                before = np.maximum(after - 1, 0)
+                near = np.where(np.abs(places[before] - at - i) <= np.abs(places[after] - at - i), before, after)
+                for k, value in enumerate(own):
+                    by_value.setdefault(value, []).append(numbers[near, k])
+        n, alone = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        for columns in by_value.values():
+            sorted_ = np.sort(np.stack(columns, axis=1), axis=1)
+            different = 1 + (np.diff(sorted_, axis=1) != 0).sum(axis=1)
+            n += different
+            alone += different == 1
+        best = max(best, float((alone / n).max()))
+        if best == 1.0:
+            break
+    return best
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        shares = [consistency([(w["item_places"], w["slots"], w["places"], w["said"]) for w in found], size) for found, size in zip(batch["found"], batch["size"])]
+        yield batch.drop(columns=["found", "size"]).assign(consistent=np.array(shares, dtype=np.float64))
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
@@ -111,23 +166,25 @@ def _filter(windows: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """HIT rows of the windows of docs that pass the bit table."""
+    """HIT rows of the windows of docs that pass the bit table, in the sizes that items have: WINDOW sizes at most."""
     table = docs.sparkSession.sparkContext.broadcast(_filter(windows))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
 
     def of_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = table.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                hashes, values, size = _windows(text)
-                if not size:
-                    continue
-                bit = hashes % FILTER_BITS
-                at = np.flatnonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
-                if len(at):
-                    distinct, first = np.unique(hashes[at], return_index=True)
-                    rows += [(doc, int(h), [v for v in values[i : i + size] if v]) for h, i in zip(distinct, at[first])]
-            yield pd.DataFrame(rows, columns=["doc_id", "window", "slots"])
+                tokens, values = template(text or "")
+                for size in sizes:
+                    if size > len(tokens):
+                        break
+                    hashes = _hashes(tokens, size)
+                    bit = hashes % FILTER_BITS
+                    at = np.flatnonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+                    if len(at):
+                        rows += [(doc, *found) for found in _places(hashes, values, size, at)]
+            yield pd.DataFrame(rows, columns=["doc_id", "window", "places", "said"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of_documents, HIT)
 
@@ -136,16 +193,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """doc_id, item_id, n_windows, n_matched, consistent for every contaminated document and what it holds."""
     windows = written(item_windows(benchmark), "windows")
     # windows of many items are few: items per window are grouped on the benchmark's side only
-    hits = document_windows(docs, windows)
-    pairs = hits.withColumnRenamed("slots", "said").join(windows, "window")
+    pairs = document_windows(docs, windows).join(windows, "window")
     counted = pairs.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.size("slots") == F.size("said"), F.arrays_zip("slots", "said")).otherwise(F.array().cast("array<struct<slots:string,said:string>>"))))).alias("slots"))
+        F.max("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"), F.max("size").alias("size"),
+        F.collect_list(F.struct("item_places", "slots", "places", "said")).alias("found"))
     enough = counted.where(F.col("n_matched") >= similarity * F.col("n_windows"))
-    n = F.size("slots")
-    alone = F.filter("slots", lambda s: F.size(F.filter("slots", lambda t: t["slots"] == s["slots"])) == 1)
-    consistent = F.when(n == 0, 1.0).otherwise(F.size(alone) / n)
-    return enough.withColumn("consistent", consistent).where(F.col("consistent") >= similarity).select("doc_id", "item_id", "n_windows", "n_matched", "consistent")
+    judged = enough.mapInPandas(_judged, "doc_id long, item_id long, n_windows int, n_matched long, consistent double")
+    return judged.where(F.col("consistent") >= similarity)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
