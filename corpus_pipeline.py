@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing and sharding of documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last
-return the columns of docs. Stages take null and repeated doc_ids: after near-dedup a doc_id occurs once.
+return the columns of docs. Stages take null and repeated doc_ids: a row is known by its doc_id and a digest of
+its text, and after near-dedup such a pair occurs once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from veridale.llm.scratch import written
 SHARDS = 40
 
 
-def _same(docs: DataFrame, other: DataFrame) -> Column:
-    return docs["doc_id"].eqNullSafe(other["doc_id"])
+def _same(docs: DataFrame) -> Column:
+    """The row is the one that _id and _text name."""
+    return docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies, once."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, _same(docs, kept), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps the document with the smallest doc_id (and digest) of each group of near copies, once."""
+    kept = simhash.representatives(docs).toDF("_id", "_text")
+    return docs.join(kept, _same(docs)).dropDuplicates(["_id", "_text"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents to meet the target weights of their sources."""
-    copies = written(mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n")).where("_c > 0"), "copies")
-    rows = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    # rows of one doc_id share its copies evenly
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    drawn = mixing.mixed(docs.withColumn("_text", F.xxhash64("text")), keep=("doc_id", "_text", "source"))
+    per = drawn.groupBy("doc_id", "_text", F.col("source").alias("_source")).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n")).where("_c > 0")
+    copies = written(per.withColumnRenamed("doc_id", "_id"), "copies")
+    rows = docs.join(copies, _same(docs) & docs["source"].eqNullSafe(F.col("_source")))
+    # equal rows share their copies evenly
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_text", "_source").orderBy("_id")))
     times = F.floor(F.col("_c") / F.col("_n")) + (F.col("_k") <= F.col("_c") % F.col("_n")).cast("long")
     return rows.withColumn("_again", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
 

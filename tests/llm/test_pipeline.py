@@ -47,3 +47,22 @@ def test_run_and_odd_rows(spark, small):
         out = stage(spark, both.withColumn("slots", both.n_chars), small)
         assert out.count() > 0
         assert stage(spark, both.limit(0), small).count() == 0, name
+
+
+def test_rows_without_ids_are_judged_each(spark, small):
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text
+    said = ["".join(f"{w}{k}q " for w in "abcdefghijklmnopqrstuvwxyz" for _ in "12") for k in ("one", "two", "three", "four")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*[(None, t) for t in said], (None, said[0]), (7, said[0]), (7, "another text " * 40), (7, item), (None, item + " and so on")]], schema)
+    single = p.near_dedup(spark, docs, small)
+    kept = {(r.doc_id, r.text) for r in single.collect()}
+    assert {(None, t) for t in said[1:]} | {(7, said[0]), (7, "another text " * 40)} <= kept and (None, said[0]) not in kept
+    assert single.count() == len(kept)
+    clean = {(r.doc_id, r.text) for r in p.decontamination(spark, docs, small).collect()}
+    assert clean == {(None, t) for t in said} | {(7, said[0]), (7, "another text " * 40)}
+    halves = item.split()
+    parts = [" ".join(halves[: len(halves) // 2]), " ".join(halves[len(halves) // 2 - 4 :])]
+    apart = spark.createDataFrame([(None, t, "en", "s", 1) for t in parts], schema)
+    assert p.decontamination(spark, apart, small).count() == 2
+    mixed = {r.text for r in p.mix(spark, spark.createDataFrame([(None, t, "en", k, 1) for t, k in zip(said, "abba")], schema), small).collect()}
+    assert mixed <= set(said) and len(mixed) > 1

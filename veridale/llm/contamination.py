@@ -18,7 +18,8 @@ join, which decides alone. A document names each window once, with all its place
 
 Defined results: null and empty texts have no windows; items with fewer tokens than WINDOW have one
 window, the whole of it, and documents have the windows of these sizes too; where such an item is all
-placeholders, only its own values match it; repeated items and rows count each; an empty benchmark or table gives no rows
+placeholders, only its own values match it; rows are documents (items) by doc_id (item_id) and a digest
+of the text, so null or repeated ids with different texts are judged apart; an empty benchmark or table gives no rows
 in `matches`; extra columns are ignored by `matches` and kept by `clean`.
 """
 
@@ -41,7 +42,7 @@ FILTER_BITS = 1 << 24
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year usd eur gbp dollars dollar euros euro cents cent percent % ° °c °f k hz khz mhz ghz w kw v a kb mb gb tb mph kmh km/h m/s".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 EDGES = "\"'`.,;:!?()[]{}<>«»„“”‘’…*_|#&$%"
-HIT = "doc_id long, window long, places array<int>, said array<array<string>>"
+HIT = "doc_id long, doc_text long, window long, places array<int>, said array<array<string>>"
 #: Alignments that are judged at once.
 PIECE = 1 << 12
 
@@ -95,20 +96,20 @@ def _places(hashes: np.ndarray, values: list[str], size: int, at: np.ndarray) ->
 def _of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for item, text in zip(batch["item_id"], batch["text"]):
+        for item, digest, text in zip(batch["item_id"], batch["item_text"], batch["text"]):
             tokens, values = template(text or "")
             size = min(WINDOW, len(tokens))
             if not size:
                 continue
             hashes = _hashes(tokens, size)
             found = list(_places(hashes, values, size, np.arange(len(hashes))))
-            rows += [(item, h, places, slots, len(found), size) for h, places, slots in found]
-        yield pd.DataFrame(rows, columns=["item_id", "window", "item_places", "slots", "n_windows", "size"])
+            rows += [(item, digest, h, places, slots, len(found), size) for h, places, slots in found]
+        yield pd.DataFrame(rows, columns=["item_id", "item_text", "window", "item_places", "slots", "n_windows", "size"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window, item_places, slots (of each place), n_windows (of the item), size (of the window) for each distinct window of each item."""
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInPandas(_of_items, "item_id long, window long, item_places array<int>, slots array<array<string>>, n_windows int, size int")
+    """item_id, item_text (its digest), window, item_places, slots (of each place), n_windows (of the item), size (of the window) for each distinct window of each item."""
+    return benchmark.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("item_text"), "text").mapInPandas(_of_items, "item_id long, item_text long, window long, item_places array<int>, slots array<array<string>>, n_windows int, size int")
 
 
 def consistency(windows: list[tuple[list[int], list[list[str]], list[int], list[list[str]]]], size: int) -> float:
@@ -174,7 +175,7 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
         bits = table.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, digest, text in zip(batch["doc_id"], batch["doc_text"], batch["text"]):
                 tokens, values = template(text or "")
                 for size in sizes:
                     if size > len(tokens):
@@ -183,26 +184,31 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     bit = hashes % FILTER_BITS
                     at = np.flatnonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
                     if len(at):
-                        rows += [(doc, *found) for found in _places(hashes, values, size, at)]
-            yield pd.DataFrame(rows, columns=["doc_id", "window", "places", "said"])
+                        rows += [(doc, digest, *found) for found in _places(hashes, values, size, at)]
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_text", "window", "places", "said"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of_documents, HIT)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_text"), "text").mapInPandas(of_documents, HIT)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, consistent for every contaminated document and what it holds."""
+def _matches(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """matches with doc_text and item_text, the digests that tell rows of one id apart."""
     windows = written(item_windows(benchmark), "windows")
     # windows of many items are few: items per window are grouped on the benchmark's side only
     pairs = document_windows(docs, windows).join(windows, "window")
-    counted = pairs.groupBy("doc_id", "item_id").agg(
+    counted = pairs.groupBy("doc_id", "doc_text", "item_id", "item_text").agg(
         F.max("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"), F.max("size").alias("size"),
-        F.collect_list(F.struct("item_places", "slots", "places", "said")).alias("found"))
+        F.collect_set(F.struct("item_places", "slots", "places", "said")).alias("found"))
     enough = counted.where(F.col("n_matched") >= similarity * F.col("n_windows"))
-    judged = enough.mapInPandas(_judged, "doc_id long, item_id long, n_windows int, n_matched long, consistent double")
+    judged = enough.mapInPandas(_judged, "doc_id long, doc_text long, item_id long, item_text long, n_windows int, n_matched long, consistent double")
     return judged.where(F.col("consistent") >= similarity)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, consistent for every contaminated document and what it holds."""
+    return _matches(docs, benchmark, similarity).drop("doc_text", "item_text")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    held = matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    held = _matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("doc_text").alias("_text")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti").select(docs.columns)

@@ -10,7 +10,7 @@ of one of its shortest documents.
 
 Ranks of a whole source are never computed in one place: sums per (source, rank bucket) give the
 bucket where the source is full, and only that bucket is ordered row by row. u is a hash of doc_id
-and seed, so reruns agree.
+(of the text, where that is null) and seed, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take nothing; null sources are one source, the
 last; repeated rows are separate documents; an empty table gives no rows; extra columns are kept
@@ -63,7 +63,7 @@ def _uniform(key: Column, seed: int) -> Column:
 
 def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """rows with the columns of per_source (source, ..). A source's rows are dealt to SALTS tasks, its line of per_source to each of them."""
-    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*[c for c in ("doc_id", "key", "size") if c in rows.columns]), F.lit(SALTS))
     per = per_source.withColumnRenamed("source", "_src").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return rows.withColumn("_salt", salt).join(per, (F.col("_salt") == F.col("_to")) & F.col("source").eqNullSafe(F.col("_src"))).drop("_salt", "_to", "_src")
 
@@ -80,7 +80,7 @@ def _selected(rows: DataFrame, budget: DataFrame, over: str) -> DataFrame:
     at = _with_source(rows, full)
     cut = F.coalesce(F.col("cut.bucket"), F.lit(BUCKETS))
     clear = at.where(F.col("bucket") != cut).withColumn("extra", (F.col("bucket") < cut).cast("int"))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "key", "size")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     edge = at.where(F.col("bucket") == cut).withColumn("extra", (upto <= F.col("cut.left")).cast("int"))
     return clear.unionByName(edge).drop("bucket", "cut")
@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, seed: int = 42, keep: tuple[str, ...] = ("doc_id",))
     size = n_words(whole("text"))
     others = [c for c in keep if c not in ("doc_id", "source")]
     # taken before anything else, so that the texts are read once
-    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"keep_{c}") for c in others], size.alias("size"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("key"), *[F.col(c).alias(f"keep_{c}") for c in others], size.alias("size"))
     rows = written(rows.withColumn("score", F.floor(1000 * F.col("size") / (F.col("size") + 256)).cast("long")), "sized")
     targets = written(source_targets(rows), "targets")
     means = rows.groupBy("source").agg((F.sum(F.col("score") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("mean"))
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, seed: int = 42, keep: tuple[str, ...] = ("doc_id",))
     of = _with_source(rows, t)
     of = of.withColumn("expected", F.least(F.lit(float(MOST_COPIES)), F.greatest(F.lit(0.0), ratio + tilt * F.least(ratio, MOST_COPIES - ratio))))
     of = of.withColumn("certain", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("certain"))
-    u, p = _uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed), F.col("p")
+    u, p = _uniform(F.col("key"), seed), F.col("p")
     odds = F.try_divide(u / (1 - u), F.try_divide(p, 1 - p))
     # rank: the quotient q of the odds as q / (1 + q), in order alike; nothing to sample has rank 1
     of = written(of.withColumn("rank", F.coalesce(odds / (1 + odds), F.lit(1.0))), "ranked")

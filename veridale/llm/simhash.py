@@ -136,6 +136,22 @@ def links(fps: DataFrame) -> DataFrame:
     return _pairs(posted).unionByName(_pairs(sixes)).unionByName(forest).distinct()
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text) of the one row that stands for each class: the least, null doc_ids last."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text")
+
+    def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["doc_id", "digest"]].assign(fp=np.array([fingerprint(t) for t in batch["text"]], dtype=np.int64))
+
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("first")
+    nodes = written(rows.mapInPandas(of_rows, "doc_id long, digest long, fp long").groupBy("fp").agg(least), "nodes")
+    parts = connected_components(links(nodes)).select(F.col("node").alias("fp"), "component")
+    # a class is named by its least fingerprint: doc_ids can be null or repeated
+    classes = nodes.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
+    return classes.select("first.doc_id", "first.digest")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     fps = written(fingerprints(docs), "fingerprints")
