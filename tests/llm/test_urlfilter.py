@@ -39,3 +39,12 @@ def test_aliases_and_odd_urls(spark):
     for k, url, _ in rows:
         assert (out[k].host, out[k].path) == plain(url)[:2]
     assert urlfilter.judged(pages, URL_RULES).count() == len(rows) and urlfilter.judged(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_every_link_of_a_page_passes_a_block(spark):
+    own, to = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://bad.com/de/1", ""), (2, "http://a.net/x", own.format("http://a.net/x") + to.format("http://bad.com/de/1")), (3, "http://b.net/y", own.format("http://a.net/x")),
+        (4, "http://c.net/z", own.format("http://c.net/z") + own.format("http://b.net/y")), (5, "http://d.net/", to.format("/") + to.format("http://c.net/z")), (6, "http://e.net/", own.format("http://e.net/"))]
+    out = {r.page_id: r.verdict for r in urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}

@@ -6,7 +6,7 @@ several names: components over those edges carry a block from any of their pages
 rule fits. An explicit allow goes first: a page that an allow rule fits is allowed, and a component
 with an allowed page passes no block on.
 
-Links come from the pages themselves (`<link rel="canonical">`, `<meta http-equiv="refresh">`) and,
+Links come from the pages themselves (every `<link rel="canonical">` and `<meta http-equiv="refresh">`) and,
 if given, from a table of redirects (from_url, to_url). A url's node is its host, path and query:
 scheme and fragment don't make another document.
 
@@ -68,13 +68,15 @@ def rule_of(rules: list[UrlRule], host: Column, path: Column) -> Column:
     return out
 
 
-def _target(html: Column) -> Column:
-    """The address that the page gives as its canonical one or forwards to, or empty."""
-    link = F.regexp_extract(html, r"(?i)<link\s[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>", 0)
-    refresh = F.regexp_extract(html, r"(?i)<meta\s[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>", 0)
-    href = F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    url = F.regexp_extract(refresh, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return F.replace(F.when(href != "", href).otherwise(url), F.lit("&amp;"), F.lit("&"))
+def _targets(html: Column) -> Column:
+    """All addresses that the page gives as its canonical ones or forwards to."""
+    def values(tag: str, value: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        return F.transform(tags, lambda t: F.regexp_extract(t, value, 1))
+
+    links = values(r"(?i)<link\s[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refreshes = values(r"(?i)<meta\s[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    return F.array_distinct(F.transform(F.concat(links, refreshes), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&"))))
 
 
 def _resolved(target: Column, url: Column) -> Column:
@@ -92,9 +94,9 @@ def judged(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None =
     url, html = whole("url"), whole("html")
     read = pages.select(
         "page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), rule_of(rules, host_of(url), path_of(url)).alias("found"),
-        node_of(F.coalesce(_resolved(_target(html), url), F.lit(""))).alias("target"))
-    read = written(read.select("page_id", "host", "path", "node", "found.rule", "found.verdict", "target"), "pages")
-    edges = read.where("node <> '' and target <> ''").select(F.col("node").alias("a"), F.col("target").alias("b"))
+        F.transform(_targets(html), lambda t: node_of(F.coalesce(_resolved(t, url), F.lit("")))).alias("targets"))
+    read = written(read.select("page_id", "host", "path", "node", "found.rule", "found.verdict", "targets"), "pages")
+    edges = read.where("node <> ''").select(F.col("node").alias("a"), F.explode("targets").alias("b")).where("b <> ''")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(whole("from_url")).alias("a"), node_of(whole("to_url")).alias("b")).where("a <> '' and b <> ''"))
     parts = connected_components(edges)
