@@ -33,15 +33,17 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """node, component (least node) of undirected edges (from, to), by least labels until nothing changes; every few rounds lineage is cut in the checkpoint folder."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (least node) of undirected edges (from, to), by least labels and the labels of labels until nothing changes; every round is cut off from its lineage, in the checkpoint folder if there is one."""
     both = edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct().cache()
     labels = both.groupBy(F.col("from").alias("node")).agg(F.least(F.col("from"), F.min("to")).alias("component"))
-    for k in range(rounds):
+    while True:
         near = both.join(labels, F.col("to") == F.col("node")).groupBy("from").agg(F.min("component").alias("least"))
-        moved = labels.join(near, F.col("node") == F.col("from")).select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("changed"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.cache()
+        moved = labels.join(near, F.col("node") == F.col("from")).select("node", F.least("component", "least").alias("low"), F.col("component").alias("before"))
+        # a label is a node of the same component, so its own label is one as well
+        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
+        moved = moved.join(jump, F.col("low") == F.col("at")).select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("before")).alias("changed"))
+        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.localCheckpoint()
         labels = moved.drop("changed")
         if moved.where("changed").isEmpty():
-            break
-    return labels
+            return labels

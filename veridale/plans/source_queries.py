@@ -103,8 +103,8 @@ def sc19(t):
 def sc20(t):
     e = t("events").select(F.to_date("ts").alias("date"), "event_id")
     to = folder(e)
-    fs.append_lines(e.coalesce(1), to)
-    fs.append_lines(e.coalesce(1), to)
+    fs.append_lines(e, to)
+    fs.append_lines(e, to)
     return fs.json_lines(e.sparkSession, to, "event_id long, date date").groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
