@@ -77,3 +77,16 @@ def test_oversize_grams_and_long_documents():
     batch = pd.DataFrame({"doc": [1], "d2": [0], "data": [data]})
     found = pd.concat(suffix._segments(iter([batch])))
     assert (found["at"] & 255).sum() == len(data) - 99
+
+
+def test_large_grams_are_settled_in_shuffles(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(80))
+    texts = {k: f"{word()} {word()} {passage[rng.randint(0, 40) :]} {word()}" for k in range(60)}
+    monkeypatch.setattr(suffix, "BLOCK", 100)
+    held = []
+    monkeypatch.setattr(suffix, "_by_digests", lambda cut, own=suffix._by_digests: held.append(cut.count()) or own(cut))
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs.unionByName(docs.limit(3))).collect()} == brute(texts)
+    assert held and held[0] > 4

@@ -13,7 +13,8 @@ of its gram in blocks of bounded size. In a block, a suffix array is sorted, and
 Burrows-Wheeler transform are extended backwards, breadth first: a step from patterns of length l to
 l + 1 finds the borders with a common prefix of l, in increasing order, and it stops at 100. The rows
 between two borders then share 100 bytes, and all but the earliest are removed. A gram with more
-differing segments than a block holds is settled by digests of its windows instead.
+differing segments than four blocks hold is settled by digests of its windows instead: rows of a shuffle,
+whose earliest are found by a pre-aggregated grouping, so no task holds such a gram.
 
 Grams and digests are 64-bit each and only compared together. A row of the main shuffle is a segment
 (one per 39 bytes), not a suffix; a segment that a document repeats is dropped before it.
@@ -258,16 +259,33 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _split(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Blocks of about BLOCK bytes; a gram that alone has more is a block that is settled by digests."""
+    """Blocks of about BLOCK bytes."""
     per = rows["bytes"].str.len().groupby(rows["h"].to_numpy(), sort=False).sum()
-    large = rows["h"].isin(per.index[per > 4 * BLOCK])
-    for _, own in rows[large].groupby("h", sort=False):
-        yield _removed_windows(own, True)
-    rest = rows[~large]
-    if len(rest):
-        number = (per[per <= 4 * BLOCK].cumsum() // BLOCK).to_dict()
-        for _, own in rest.groupby(rest["h"].map(number).to_numpy(), sort=False):
-            yield _removed_windows(own, False)
+    number = (per.cumsum() // BLOCK).to_dict()
+    for _, own in rows.groupby(rows["h"].map(number).to_numpy(), sort=False):
+        yield _removed_windows(own, False)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each window of the segments."""
+    for batch in batches:
+        for lo in range(0, len(batch), 4096):
+            rows = batch.iloc[lo : lo + 4096]
+            data, n = rows["bytes"].tolist(), rows["at"].to_numpy() & 255
+            sizes = np.array([len(b) for b in data])
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            starts = np.repeat(np.cumsum(sizes) - sizes, n) + inner
+            g = _Hasher(np.frombuffer(b"".join(data), dtype=np.uint8)).of(starts, starts + LENGTH)
+            own = {c: np.repeat(rows[c].to_numpy(), n) for c in ("h", "doc", "d2")}
+            yield pd.DataFrame({**own, "g": g.view(np.int64), "place": np.repeat(rows["at"].to_numpy() >> 8, n) + inner})
+
+
+def _by_digests(cut: DataFrame) -> DataFrame:
+    """doc, d2, at of the windows in the segments (h, doc, d2, at, bytes) that an earlier segment has as well."""
+    each = written(cut.mapInPandas(_digests, "h long, doc long, d2 int, g long, place long"), "digests")
+    at = F.struct("doc", "d2", "place")
+    first = each.groupBy("h", "g").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", "g", "first")
+    return each.join(first, ["h", "g"]).where(at != F.col("first")).select("doc", "d2", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("at"))
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,9 +320,13 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     judged = written(judged, "segments")
     wanted = judged.where("differ and not gone").groupBy("doc", "d2").agg(F.collect_set(F.struct("h", "at")).alias("wanted"))
+    # by lengths, before the bytes are cut
+    large = written(judged.where("differ and not gone").groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(255)) + LENGTH - 1).alias("n")).where(F.col("n") > 4 * BLOCK).select("h"), "large")
     cut = base.select("doc", "d2", "data").join(wanted, ["doc", "d2"]).select("doc", "d2", F.explode("wanted").alias("w"), "data").select(
         "w.h", "doc", "d2", "w.at", F.expr(f"substring(data, int(shiftright(w.at, 8)) + 1, int(w.at & 255) + {LENGTH - 1})").alias("bytes"))
-    partly = cut.repartition("h").sortWithinPartitions("h").mapInPandas(_blocks, "doc long, d2 int, at long")
+    partly = cut.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_blocks, "doc long, d2 int, at long")
+    if not large.isEmpty():
+        partly = partly.unionByName(_by_digests(cut.join(large, "h", "left_semi")))
     return base, judged.where("gone").select("doc", "d2", "at").unionByName(partly)
 
 
