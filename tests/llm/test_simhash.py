@@ -77,3 +77,24 @@ def test_links_sparse_and_dense(spark):
     for d, f in signed.items():
         groups.setdefault(of.get(f, f), set()).add(want[d])
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_the_tally_counts_shared_bytes_and_prunes(spark):
+    rng = random.Random(4)
+    fps = []
+    for _ in range(60):
+        f = rng.getrandbits(64)
+        # one to four other bytes: four keep a common prefix at most
+        fps += [f, *(f ^ sum(rng.randrange(1, 256) << 8 * p for p in rng.sample(range(8), n)) for n in (1, 2, 3, 4))]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    from pyspark.sql import functions as F
+
+    fours = F.array(*[F.lit(simhash._mask(s)) for s in simhash.FOURS])
+    posted = simhash._posted(frame, fours)
+    pairs = {(r.a % (1 << 64), r.b % (1 << 64)): r.shared for r in simhash.tallied(posted).collect()}
+    shared = lambda a, b: sum((a ^ b) >> 8 * p & 255 == 0 for p in range(8))
+    assert pairs and all(n == shared(a, b) for (a, b), n in pairs.items())
+    close = {p for p, n in pairs.items() if n >= simhash.NEEDED}
+    assert len(close) < len(pairs)
+    assert {frozenset(p) for p in close} == {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if shared(a, b) >= simhash.NEEDED}

@@ -3,8 +3,8 @@
 Each round every node points to the least of itself and its neighbours, in the order of hashed node
 ids, and edges move to what their ends point to. Hashed order keeps chains short, so the edges left
 shrink by a constant factor on average, on paths as on stars. Minima are pre-aggregated before the
-shuffle; the joins are plain equi-joins that Spark can split at hot nodes. Every round is written to
-the shared folder.
+shuffle; the joins of the rounds are plain equi-joins that Spark can split at hot nodes, and in the
+last one a component's nodes are dealt to SALTS tasks. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
+#: Tasks that the rows of one key are dealt to.
+SALTS = 16
+
+
+def dealt_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined to per_key (a row for each key) on `key`. Rows of one key go to SALTS tasks by the hash of their column `spread`, and per_key's row to each of them."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of its component) for every node on an edge (a, b).
@@ -36,5 +46,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     at = steps[0]
     for to in steps[1:]:
         at = at.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-    least = at.groupBy("to").agg(F.min("node").alias("component"))
-    return at.join(least, "to").select("node", "component")
+    least = written(at.groupBy("to").agg(F.min("node").alias("component")), "least")
+    return dealt_join(at, least, "to", "node").select("node", "component")

@@ -11,20 +11,28 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none (tests)."""
-    known = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if known:
-        return known.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
-    if made is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridale-"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made.rstrip("/")
+    """The shared folder of the cluster. Where the session names none: the warehouse's, and a local one only where Spark runs on this machine alone (tests)."""
+    context = spark.sparkContext
+    known = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
+    if not known and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veridale-"))
+        known = context.getCheckpointDir()
+    return (known or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/veridale/{spark.sparkContext.applicationId}"
 
 
 def written(frame: DataFrame, name: str = "t") -> DataFrame:
     """The rows of frame, written as Parquet to the shared folder and read again: a lost executor costs no recomputation of what came before."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/veridale/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> bool:
+    """Deletes the tables that this application has written; results that still read them must have been used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,13 +1,14 @@
 """SimHash near-duplicates by a byte-position inverted index.
 
 A fingerprint is 8 bytes at 8 positions. Two of them that differ in at most 2 bits share at least
-6 bytes at their positions, so 6 is the count that a pair has to reach. Postings hold the fingerprints
-that share bytes at given positions: first 4 bytes (two of the four blocks of 2, at least two of which
-a close pair has in common). The pairs of a posting are tallied by the positions where their bytes
-agree, those under 6 are dropped and the rest verified by their bits.
-
-A posting with more than SMALL fingerprints is never paired up: it is split by 2 more of its other
-4 positions, again in all ways, into postings whose pairs all reach the count. What still is over
+6 bytes at their positions, so 6 is the count that a pair has to reach. Pairs whose bytes differ at 2
+positions at most agree in two whole blocks of 2 positions, so postings of the index are narrowed to the
+fingerprints that have such 4 bytes in common (PREFIX), and under each there is a posting for each of the
+other positions and bytes. Pairs are listed from those postings and counted: a pair's tally is 4 and
+the number of postings that it occurs in. Pairs under 6 are dropped, the rest are verified by their bits.
+
+A prefix that more than SMALL fingerprints share is never paired up: its postings are narrowed by 2 more of
+the other 4 positions, in all ways, so a common posting alone is the count of 6. What still is over
 SMALL there differs in 2 bytes only, so it has 65,536 fingerprints at most, and each is looked up
 under the 136 changes of 1 or 2 bits of those. Only distinct fingerprints are indexed: copies share
 one, and their number never matters.
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, dealt_join
 from .scratch import written
 
-BITS, NEEDED = 2, 6
+BITS, NEEDED, PREFIX = 2, 6, 4
 SMALL = 16
 SEED = 42
 
@@ -82,18 +83,23 @@ def _posted(fps: DataFrame, sets: Column) -> DataFrame:
     return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("at", "key"))).where("size > 1")
 
 
-def _tally(a: Column, b: Column) -> Column:
-    """Positions at which the bytes agree."""
-    x = a.bitwiseXOR(b)
-    return sum([(x.bitwiseAND(F.lit(_mask((p,)))) == 0).cast("int") for p in range(1, 8)], (x.bitwiseAND(F.lit(_mask((0,)))) == 0).cast("int"))
+def _listed(posted: DataFrame, *key: str) -> DataFrame:
+    """key, a, b: the pairs (a < b) of the postings `key`, SMALL fingerprints at most in each."""
+    lists = posted.groupBy(*key).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    each = lists.select(*key, F.posexplode("fps").alias("i", "a"), "fps")
+    return each.select(*key, "a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+
 
+def tallied(posted: DataFrame) -> DataFrame:
+    """a, b, shared: how many positional bytes each pair with a common prefix of PREFIX bytes and more shares, from postings (at, key, fp)."""
+    other = F.filter(F.array(*[F.lit(_mask((p,))) for p in range(8)]), lambda m: F.col("at").bitwiseAND(m) == 0)
+    bytes_ = posted.select("at", "key", "fp", F.explode(other).alias("position"))
+    bytes_ = bytes_.withColumn("byte", F.col("fp").bitwiseAND(F.col("position")))
+    return _listed(bytes_, "at", "key", "position", "byte").groupBy("at", "a", "b").agg((F.count(F.lit(1)) + PREFIX).alias("shared"))
 
-def _pairs(posted: DataFrame) -> DataFrame:
-    """Verified links of the postings with SMALL fingerprints at most."""
-    small = posted.where(F.col("size") <= SMALL).select("at", "key", "fp")
-    lists = small.groupBy("at", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    each = lists.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    return each.where((_tally(F.col("a"), F.col("b")) >= NEEDED) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS))
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
 
 
 def _residual_links(group: pd.DataFrame) -> pd.DataFrame:
@@ -132,8 +138,10 @@ def links(fps: DataFrame) -> DataFrame:
         F.struct(F.lit(_mask(s)).alias("four"), F.array(*[F.lit(_mask(s + two)) for two in combinations([p for p in range(8) if p not in s], 2)]).alias("sixes")) for s in FOURS])
     dense = posted.where(F.col("size") > SMALL).select("fp", F.filter(wider, lambda w: w["four"] == F.col("at"))[0]["sixes"].alias("sixes"))
     sixes = written(_posted(dense.select("fp", F.explode("sixes").alias("six")).distinct(), F.array("six")), "postings")
+    sparse = tallied(posted.where(F.col("size") <= SMALL)).where(F.col("shared") >= NEEDED)
+    counted = _listed(sixes.where(F.col("size") <= SMALL), "at", "key")
     forest = sixes.where(F.col("size") > SMALL).select("fp", "at", "key").groupBy("at", "key").applyInPandas(_residual_links, "a long, b long")
-    return _pairs(posted).unionByName(_pairs(sixes)).unionByName(forest).distinct()
+    return _verified(sparse).unionByName(_verified(counted)).unionByName(forest).distinct()
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -156,9 +164,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = connected_components(links(nodes)).select(F.col("node").alias("fp"), "component")
-    linked = nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = nodes.join(parts.join(linked, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    parts = written(connected_components(links(nodes)).select(F.col("node").alias("fp"), "component"), "parts")
+    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("component_id")), "linked")
+    of_fp = nodes.join(dealt_join(parts, linked, "component", "fp").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     # written, so that both sides of the last join are dealt by it and Spark can split a fingerprint that many copies share
     of_fp = written(of_fp, "classes")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
