@@ -1,7 +1,7 @@
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 
-from veridale.llm import sharding
+from veridale.llm import repeats, sharding
 from veridale.llm.queries import op3_sharding
 
 
@@ -15,6 +15,29 @@ def whole(rows, shards, n):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def walked(rows, nodes):
+    """(node, rank at home) -> (shard, slot), by walking row by row from node to node."""
+    nodes = sorted(nodes, key=lambda v: v.node)
+    own = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.home_rank):
+        own[r.home_node].append((r.home_node, r.home_rank))
+    for turn in range(len(nodes)):  # some way round ends with nobody waiting
+        order, out, waiting, ends = nodes[turn:] + nodes[:turn], {}, deque(), True
+        for v in order:
+            at_home = own[v.node]
+            for k, row in enumerate(at_home[: v.kept]):
+                out[row] = (v.shard, v.base + k)
+            waiting.extend(at_home[v.kept :])
+            for k in range(v.room):
+                if not waiting:
+                    break
+                out[waiting.popleft()] = (v.shard, v.base + v.kept + k)
+        ends = not waiting
+        if ends:
+            return out
+    raise AssertionError("no way round places all rows")
+
+
 def test_op3_law_rows(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = op3_sharding(spark, small).collect()
@@ -24,6 +47,28 @@ def test_op3_law_rows(spark, small):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "rows", None)
 
 
+def test_rows_go_where_a_walk_round_the_ring_takes_them(spark):
+    docs = spark.range(900).selectExpr("if(id < 300, 5, id) as doc_id", "if(id < 150, 'same', string(id)) as text")
+    rows = sharding.placed(docs, 5, 8).collect()
+    whole(rows, 5, 900)
+    nodes = sharding._nodes(docs, 5, 8)
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r.home_node] += 1
+    ring = sorted(nodes.collect(), key=lambda v: v.node)
+    assert [v.cell for v in ring] == sorted(v.cell for v in ring)
+    home = spark.createDataFrame([(d,) for d in sorted({r.doc_id for r in rows})], "doc_id long")
+    cell = {r.doc_id: r.cell for r in home.select("doc_id", sharding._cell(sharding.F.lit("key"), "doc_id").alias("cell")).collect()}
+    for r in rows:  # the first node at the cell or after it, or the first of all
+        assert r.home_node == next((v.node for v in ring if v.cell >= cell[r.doc_id]), ring[0].node)
+    settled = sharding.capacities(nodes, spark.createDataFrame(sorted(loads.items()), "node int, n long"), 5, 8).collect()
+    for s in range(5):  # free places only where the shard has some, shares given up evenly
+        mine = [v for v in settled if v.shard == s]
+        assert sum(v.kept + v.room for v in mine) == 180 and not (sum(v.room for v in mine) and sum(v.over for v in mine))
+    want = walked(rows, settled)
+    assert len(want) == 900 and all(want[r.home_node, r.home_rank] == (r.shard, r.slot) for r in rows)
+
+
 def test_few_move_when_a_shard_is_added(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "string(id) as text")
     a = {r.doc_id: r for r in sharding.placed(docs, 10).collect()}
@@ -34,9 +79,12 @@ def test_few_move_when_a_shard_is_added(spark):
     assert sum(a[k].shard != b[k].shard for k in a) < 0.35 * len(a)
 
 
-def test_odd_rows(spark):
-    made = [(None, None, 1), (None, "x", 2)] + [(7, "same", 3)] * 300 + [(8, "é" * 1000, 4)]
+def test_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 7)
+    made = [(None, None, 1), (None, "x", 2)] + [(7, "same", 3)] * 300 + [(8, "é" * 1_000_000, 4)] + [(None, str(k), 5) for k in range(200)]
     docs = spark.createDataFrame(made, "doc_id long, text string, slot int")
     whole(sharding.placed(docs, 7).collect(), 7, len(made))
     assert sharding.placed(docs.limit(0), 7).count() == 0
     whole(sharding.placed(docs.limit(3), 40).collect(), 40, 3)
+    same = sharding.placed(docs, 7)
+    assert sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, sharding.placed(docs.repartition(5), 7).collect()), key=repr)
