@@ -18,11 +18,11 @@ from .scratch import written
 SALTS = 16
 
 
-def dealt_join(rows: DataFrame, per_key: DataFrame, key: str, spread: str) -> DataFrame:
-    """rows joined to per_key (a row for each key) on `key`. Rows of one key go to SALTS tasks by the hash of their column `spread`, and per_key's row to each of them."""
+def dealt_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], spread: str) -> DataFrame:
+    """rows joined to per_key (a row for each key) on `key`, one column or several. Rows of one key go to SALTS tasks by the hash of their column `spread`, and per_key's row to each of them."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
