@@ -210,5 +210,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    held = _matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("doc_text").alias("_text")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti").select(docs.columns)
+    # written, so that its size is known and Spark can broadcast it where it is small
+    held = written(_matches(docs, benchmark, similarity).select("doc_id", "doc_text").distinct(), "held")
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"]) & (F.xxhash64(docs["text"]) == held["doc_text"]), "left_anti")

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .words import SPACES, count_of, whole, words
 
-SYMBOLS = "#*$%&|<>"
 #: Labelled rows that the list is fitted on, at most; those with the smallest hash of doc_id.
 FIT_ROWS = 20_000
 BINS = 24
@@ -31,6 +30,8 @@ MAX_RULES = 8
 MAX_CONDITIONS = 3
 #: A rule must be right on this share of what it rejects among the pruning rows.
 MIN_PRECISION = 0.9
+#: Comparisons of windows with repeated ones up to which a text's repeated windows are looked up.
+LOOKUPS = 10_000_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("word_len", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share")
@@ -41,20 +42,30 @@ def _repeat_words(w: Column) -> Column:
     n = F.size(w)
     keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
 
+    def next_to(s: Column) -> Column:
+        """Elements that the one after them equals."""
+        return F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
+
+    def by_lookup(keys: Column, found: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: F.array_contains(found, keys[i]))
+
+    def by_order(keys: Column) -> Column:
+        def starts(pairs: Column) -> Column:
+            m = F.size(pairs)
+            same = F.zip_with(F.slice(pairs, 2, m - 1), F.slice(pairs, 1, m - 1), lambda b, a: b["k"] == a["k"])
+            edge = F.array(F.lit(False))
+            return _let(same, lambda e: F.sort_array(F.filter(
+                F.zip_with(pairs, F.zip_with(F.concat(edge, e), F.concat(e, edge), lambda l, r: l | r), lambda p, hit: F.when(hit, p["i"])),
+                lambda i: i.isNotNull())))
+
+        return _let(F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), starts)
+
     def covered(keys: Column) -> Column:
-        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        return _let(pairs, starts_and_cover)
-
-    def starts_and_cover(pairs: Column) -> Column:
-        m = F.size(pairs)
-        same = F.zip_with(F.slice(pairs, 2, m - 1), F.slice(pairs, 1, m - 1), lambda b, a: b["k"] == a["k"])
-        return _let(same, lambda e: _let(
-            F.sort_array(F.filter(
-                F.zip_with(pairs, F.zip_with(F.concat(F.array(F.lit(False)), e), F.concat(e, F.array(F.lit(False))), lambda l, r: l | r), lambda p, hit: F.when(hit, p["i"])),
-                lambda i: i.isNotNull())),
-            lambda at: F.aggregate(
-                F.zip_with(F.slice(at, 2, F.size(at) - 1), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(F.lit(3), b - a)),
-                F.lit(3), lambda s, x: s + x)))
+        # few repeated windows are looked up, many are found by sorting: the same places
+        at = _let(F.array_distinct(next_to(F.sort_array(keys))), lambda d: F.when(F.size(d).cast("long") * F.size(keys) <= LOOKUPS, by_lookup(keys, d)).otherwise(by_order(keys)))
+        return _let(at, lambda at: F.aggregate(
+            F.zip_with(F.slice(at, 2, F.size(at) - 1), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(F.lit(3), b - a)),
+            F.lit(3), lambda s, x: s + x))
 
     return F.when(n < 4, 0).otherwise(_let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(covered(k)))).cast("long")
 
@@ -74,7 +85,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         (F.char_length(t).cast("long") - count_of(t, SPACES)).alias("word_chars"),
-        count_of(t, SYMBOLS).alias("n_symbols"),
+        F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).alias("n_repeat_words"),
         F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("_upper"),
@@ -217,7 +228,7 @@ def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dec
 
 def kept_rows(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "text")
     # a row number between statistics and filter: Spark won't push the filter below it, where each condition would count anew
     numbered = statistics(rows, ("_row",)).withColumn("_at", F.monotonically_increasing_id())
     return numbered.where((F.col("_at") >= 0) & ~base_failed() & rules.rule_number().isNull()).select("_row.*")

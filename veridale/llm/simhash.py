@@ -144,20 +144,23 @@ def links(fps: DataFrame) -> DataFrame:
     return _verified(sparse).unionByName(_verified(counted)).unionByName(forest).distinct()
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text) of the one row that stands for each class: the least, null doc_ids last."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text), gone, n: the rows that a class's first row, least doc_id and digest with null doc_ids last, stands for (gone), and first rows that n > 1 equal rows have."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text")
 
     def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[["doc_id", "digest"]].assign(fp=np.array([fingerprint(t) for t in batch["text"]], dtype=np.int64))
 
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("first")
-    nodes = written(rows.mapInPandas(of_rows, "doc_id long, digest long, fp long").groupBy("fp").agg(least), "nodes")
-    parts = connected_components(links(nodes)).select(F.col("node").alias("fp"), "component")
+    fps = written(rows.mapInPandas(of_rows, "doc_id long, digest long, fp long").groupBy("fp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")
+    nodes = written(fps.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
+    parts = written(connected_components(links(nodes)).select(F.col("node").alias("fp"), "component"), "parts")
     # a class is named by its least fingerprint: doc_ids can be null or repeated
-    classes = nodes.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
-    return classes.select("first.doc_id", "first.digest")
+    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("of_class")), "linked")
+    of_class = dealt_join(parts, linked, "component", "fp").select("fp", "of_class")
+    first = written(nodes.join(of_class, "fp", "left").select("fp", F.coalesce("of_class", "first").alias("first")), "firsts")
+    return fps.join(first, "fp").select("doc_id", "digest", (row != F.col("first")).alias("gone"), "n").where("gone or n > 1")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
