@@ -44,8 +44,11 @@ def test_run_and_odd_rows(spark, small):
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "w " * 80, None, "s", 1), (5, "", "en", None, None)], docs.schema)
     both = docs.unionByName(docs).unionByName(odd)
     for name, stage in p.STAGES:
-        out = stage(spark, both.withColumn("slots", both.n_chars), small)
+        more = both.withColumn("slots", both.n_chars).withColumns({c: both.lang for c in ("_id", "_k", "_text", "_t", "_w", "_again", "digest", "n", "copies", "class", "rank", "a.b")})
+        out = stage(spark, more, small)
         assert out.count() > 0
+        if name != "sharding":
+            assert out.columns == more.columns, name
         assert stage(spark, both.limit(0), small).count() == 0, name
 
 
@@ -58,6 +61,10 @@ def test_rows_without_ids_are_judged_each(spark, small):
     kept = {(r.doc_id, r.text) for r in single.collect()}
     assert {(None, t) for t in said[1:]} | {(7, said[0]), (7, "another text " * 40)} <= kept and (None, said[0]) not in kept
     assert single.count() == len(kept)
+    five = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip((None, None, 7, 7, 9), [*said, "five " * 9 + "other words"])], schema)
+    assert p.near_dedup(spark, five, small).count() == 5
+    many = p.mix(spark, spark.createDataFrame([(3, said[0], "en", "a", 1)] * 40 + [(None, said[1], "en", "b", 1)] * 10, schema), small)
+    assert 30 <= many.count() <= 90 and many.columns == five.columns
     clean = {(r.doc_id, r.text) for r in p.decontamination(spark, docs, small).collect()}
     assert clean == {(None, t) for t in said} | {(7, said[0]), (7, "another text " * 40)}
     halves = item.split()
