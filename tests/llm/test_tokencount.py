@@ -33,3 +33,16 @@ def test_cache_grows_by_misses_only(spark, tmp_path, plain):
         out = tokencount.token_counts(part, PATH, cache).collect()
         assert len(out) == part.count() and all(r.n_tokens == plain(texts[r.doc_id]) for r in out)
         assert spark.read.parquet(cache).count() == size
+
+
+def test_other_tokenizers_keep_their_white_space(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    texts = [None, "", "a  b", "a b", "a\n\n b ", " lead", "x" * 50_000, "é\t\t\u3000z"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "a b")], "doc_id long, text string")
+    json_path, model_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    assert tokencount.folds_space(PATH) and not tokencount.folds_space(json_path) and not tokencount.folds_space(model_path)
+    library, pieces = Tokenizer.from_file(json_path), SentencePieceProcessor(model_file=model_path)
+    for path, count in ((json_path, lambda t: len(library.encode(t, add_special_tokens=False).ids)), (model_path, lambda t: len(pieces.encode(t)))):
+        got = tokencount.token_counts(docs, path, str(tmp_path / "one")).collect()
+        assert len(got) == 9 and all(r.n_tokens == count(texts[r.doc_id] or "") for r in got)

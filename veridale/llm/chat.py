@@ -103,7 +103,7 @@ def turns_of(text: str) -> list[tuple[str, str]]:
     return out
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,14 +111,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for conv, text, starts, ends in zip(batch["conv_id"], batch["formatted"], batch["starts"], batch["ends"]):
+        for conv, text, starts, ends, attached, expanded in zip(*(batch[c] for c in ("conv_id", "formatted", "starts", "ends", "attached", "expanded_tokens"))):
             turns = turns_of(text)
             under = "".join(unescaped(text[a:b]) for a, b in zip(starts, ends))
             digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            rows.append((conv, len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(text)))
+            rows.append((conv, len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(text), attached, expanded))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ_BACK.split(", ")])
 
 
 def read_back(made: DataFrame) -> DataFrame:
     """READ_BACK of what formatted() returned: turns from its marks, the assistant's texts from its spans."""
-    return made.select("conv_id", "formatted", F.col("loss.start").alias("starts"), F.col("loss.end").alias("ends")).mapInPandas(_read, READ_BACK)
+    spans = F.col("loss.start").alias("starts"), F.col("loss.end").alias("ends")
+    return made.select("conv_id", "formatted", *spans, F.size("attachments").cast("long").alias("attached"), "expanded_tokens").mapInPandas(_read, READ_BACK)

@@ -85,7 +85,7 @@ e AS (SELECT *, {_ESCAPED.format("text")} AS body, {_ESCAPED.format("role")} AS
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(head) + length(body) + {_MARKS}) AS BIGINT) AS formatted_chars
+  CAST(sum(length(head) + length(body) + {_MARKS}) AS BIGINT) AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM e GROUP BY conv_id"""
 
 _HOST = f"translate(regexp_extract({{0}}, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}')"
@@ -97,19 +97,19 @@ URL_SQL = f"""
 WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 u AS (SELECT *, {_AFTER.format("url")} AS rest FROM p),
 h AS (SELECT *, {_HOST.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_NODE.format("rest")} AS node,
-  regexp_extract(regexp_extract(html, '(?i)<link\\s[^<>]*\\brel\\s*=\\s*{_Q}?canonical\\b[^<>]*>'), '(?i)\\bhref\\s*=\\s*{_Q}?([^"''\\s>]+)', 1) AS href,
-  regexp_extract(regexp_extract(html, '(?i)<meta\\s[^<>]*\\bhttp-equiv\\s*=\\s*{_Q}?refresh\\b[^<>]*>'), '(?i)\\burl\\s*=\\s*{_Q}?([^"''\\s>]+)', 1) AS forward FROM u),
-t AS (SELECT *, replace(CASE WHEN href <> '' THEN href ELSE forward END, '&amp;', '&') AS said FROM h),
+  list_transform(regexp_extract_all(html, '(?i)<link\\s[^<>]*\\brel\\s*=\\s*{_Q}?canonical\\b[^<>]*>'), lambda s: regexp_extract(s, '(?i)\\bhref\\s*=\\s*{_Q}?([^"''\\s>]+)', 1)) AS hrefs,
+  list_transform(regexp_extract_all(html, '(?i)<meta\\s[^<>]*\\bhttp-equiv\\s*=\\s*{_Q}?refresh\\b[^<>]*>'), lambda s: regexp_extract(s, '(?i)\\burl\\s*=\\s*{_Q}?([^"''\\s>]+)', 1)) AS forwards FROM u),
+t AS (SELECT host, path, node, replace(unnest(list_concat(hrefs, forwards)), '&amp;', '&') AS said FROM h),
 x AS (SELECT *, CASE WHEN instr(said, '://') > 0 THEN said WHEN said LIKE '//%' THEN 'x:' || said WHEN said LIKE '/%' THEN 'x://' || host || said WHEN said = '' THEN '' ELSE 'x://' || host || regexp_extract(path, '^(.*/)?') || said END AS full_target FROM t),
 y AS (SELECT *, {_AFTER.format("full_target")} AS target_rest FROM x),
-e AS (SELECT node AS a, {_NODE.format("target_rest")} AS b FROM y),
-both_ways AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' UNION SELECT b, a FROM e WHERE a <> '' AND b <> ''),
+e AS (SELECT * FROM (SELECT node AS a, {_NODE.format("target_rest")} AS b FROM y) WHERE a <> '' AND b <> '' AND a <> b),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 rules(verdict, host, path) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
 m AS (SELECT page_id, node, h.host, h.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS own
   FROM h LEFT JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY 1, 2, 3, 4),
-c AS (SELECT r.a AS node, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), false) AS passed FROM reach r JOIN m ON m.node = r.b GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN passed THEN 'block' END, 'allow') AS verdict FROM m LEFT JOIN c ON m.node = c.node"""
+c AS (SELECT r.a AS node, min(r.b) AS component, coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) AS passed FROM reach r LEFT JOIN m ON m.node = r.b GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN passed THEN 'block' END, 'allow') AS verdict, component FROM m LEFT JOIN c ON m.node = c.node"""
 
 #: The others need hashes that SQL lacks, learned models or the tokenizer: tests hold them against plain versions.
 ORACLE_SQL = {"op2_chat": CHAT_SQL, "op7_url_filters": URL_SQL}

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, dealt_join
 from .scratch import written
 from .words import whole
 
@@ -90,7 +90,7 @@ def _resolved(target: Column, url: Column) -> Column:
 
 
 def judged(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages (page_id, url, html)."""
+    """page_id, host, path, rule, verdict, component (the least node that links join it with; null without links) for every row of pages (page_id, url, html)."""
     url, html = whole("url"), whole("html")
     read = pages.select(
         "page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), rule_of(rules, host_of(url), path_of(url)).alias("found"),
@@ -99,9 +99,11 @@ def judged(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None =
     edges = read.where("node <> ''").select(F.col("node").alias("a"), F.explode("targets").alias("b")).where("b <> ''")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(whole("from_url")).alias("a"), node_of(whole("to_url")).alias("b")).where("a <> '' and b <> ''"))
-    parts = connected_components(edges)
+    parts = written(connected_components(edges), "parts")
     marks = read.where("verdict is not null").groupBy("node").agg(F.max((F.col("verdict") == "block").cast("int")).alias("blocks"), F.max((F.col("verdict") == "allow").cast("int")).alias("allows"))
     per_part = parts.join(marks, "node").groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("allows").alias("allows"))
-    blocked = parts.join(per_part.where("blocks = 1 and allows = 0").select("component"), "component", "left_semi").select("node", F.lit("block").alias("passed"))
-    out = read.join(blocked, "node", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "passed", F.lit(default)).alias("verdict"))
+    blocked = written(per_part.where("blocks = 1 and allows = 0").select(F.col("component").alias("blocked")), "blocked")
+    # a component may have many nodes: its row goes to several tasks
+    passed = dealt_join(parts, parts.select("component").distinct().join(blocked, F.col("component") == F.col("blocked"), "left"), "component", "node")
+    out = read.join(passed.select("node", "component", F.when(F.col("blocked").isNotNull(), "block").alias("passed")), "node", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "passed", F.lit(default)).alias("verdict"), "component")
