@@ -65,28 +65,52 @@ def test_shared_prefixes():
         assert len(set(first.values())) == len(first)
 
 
-def test_oversize_grams_and_long_documents():
+def test_removed_windows_and_long_documents():
     import pandas as pd
 
     rng = np.random.default_rng(1)
     seg = [bytes(rng.integers(97, 99, 150, dtype=np.uint8)) for _ in range(4)]
     seg.append(seg[0][:120] + seg[1][:30])
     block = pd.DataFrame({"h": 1, "doc": range(5), "d2": 0, "at": [51] * 5, "bytes": seg})
-    assert suffix._removed_windows(block, True).values.tolist() == suffix._removed_windows(block, False).values.tolist() == [[4, 0, 21]]
+    assert suffix._removed_windows(block).values.tolist() == [[4, 0, 21]]
     data = bytes(rng.integers(97, 123, 3 * suffix.PIECE + 50, dtype=np.uint8))
     batch = pd.DataFrame({"doc": [1], "d2": [0], "data": [data]})
     found = pd.concat(suffix._segments(iter([batch])))
     assert (found["at"] & 255).sum() == len(data) - 99
 
 
-def test_large_grams_are_settled_in_shuffles(spark, monkeypatch):
+def test_large_grams_are_split_and_settled_alike(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
     passage = " ".join(word() for _ in range(80))
     texts = {k: f"{word()} {word()} {passage[rng.randint(0, 40) :]} {word()}" for k in range(60)}
-    monkeypatch.setattr(suffix, "BLOCK", 100)
-    held = []
-    monkeypatch.setattr(suffix, "_by_digests", lambda cut, own=suffix._by_digests: held.append(cut.count()) or own(cut))
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs.unionByName(docs.limit(3))).collect()} == brute(texts)
+    docs = docs.unionByName(docs.limit(3))
+    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == brute(texts)
+    monkeypatch.setattr(suffix, "BLOCK", 100)  # of the plan; tasks keep theirs
+    held = []
+    monkeypatch.setattr(suffix, "_of_large_grams", lambda cut, own=suffix._of_large_grams: held.append(cut.count()) or own(cut))
+    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == brute(texts)
     assert held and held[0] > 4
+
+
+def test_a_block_of_one_window_keeps_its_earliest_copy(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(suffix, "BLOCK", 1000)
+    one, two, three = (bytes([97 + k]) * 60 + b"x" * 40 for k in range(3))
+    rows = [(1, 1, d, 0, 1, one) for d in range(500)] + [(2, 2, 7, 0, 1, two), (2, 2, 9, 0, 1, three), (2, 2, 11, 0, 1, two)] + [(3, 3, d, 0, 1, b"%0100d" % d) for d in range(40)]
+    frame = pd.DataFrame(rows, columns=["k", "g", "doc", "d2", "at", "bytes"])
+    batches = [frame.iloc[k : k + 37] for k in range(0, len(frame), 37)]
+    out = [(r.k, r.doc, r.gone) for r in pd.concat(suffix._first_windows(iter(batches))).itertuples()]
+    assert len(out) == len(frame)
+    assert [d for k, d, gone in out if k == 1 and not gone] == [0] and [d for k, d, gone in out if k == 2 and gone] == [11] and not any(gone for k, _, gone in out if k == 3)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = "abcdefghij" * 30, "".join(chr(97 + (k * k) % 26) for k in range(400))
+    docs = spark.createDataFrame([(1, a), (1, b), (None, b), (2, a[:150])], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.without_repeats(docs).collect()), key=repr)
+    assert [(d, n) for d, n, _ in got] == [(1, 300), (1, 400), (2, 150), (None, 400)]
+    removed = {(d, n): x for d, n, x in got}
+    assert removed[2, 150] == 150 and removed[1, 400] == 400

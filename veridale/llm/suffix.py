@@ -12,11 +12,16 @@ What goes on, a few segments around the ends of repeated passages, is put togeth
 of its gram in blocks of bounded size. In a block, a suffix array is sorted, and intervals of its
 Burrows-Wheeler transform are extended backwards, breadth first: a step from patterns of length l to
 l + 1 finds the borders with a common prefix of l, in increasing order, and it stops at 100. The rows
-between two borders then share 100 bytes, and all but the earliest are removed. A gram with more
-differing segments than four blocks hold is settled by digests of its windows instead: rows of a shuffle,
-whose earliest are found by a pre-aggregated grouping, so no task holds such a gram.
+between two borders then share 100 bytes, and all but the earliest are removed.
 
-Grams and digests are 64-bit each and only compared together. A row of the main shuffle is a segment
+A gram with more differing segments than four blocks hold is split: its segments are cut into windows, and
+those whose 64-bit digest no other window has are dropped, since nothing repeats them. The others are
+dealt out by digest to blocks that are settled by the same extension, on their bytes: first in SALTS parts of each digest,
+then the earliest of each part. A block of one window only keeps its earliest copy, so however many segments
+a gram or a window has, no task holds more than a few blocks.
+
+Segments are taken as equal if a 64-bit hash of their gram and another of their whole are: n different segments with one
+gram are confused with odds of n * n / 2^65. A row of the main shuffle is a segment
 (one per 39 bytes), not a suffix; a segment that a document repeats is dropped before it.
 
 Defined results: null and empty texts have 0 bytes; rows with the same doc_id and text are one document
@@ -42,7 +47,10 @@ GRAM = 24
 #: Bytes that are hashed at once, and bytes of a block.
 PIECE = 1 << 20
 BLOCK = 1 << 20
-SEGMENTS = "h long, s long, doc long, d2 int, at long, later boolean"
+SEGMENTS = "h long, s long, doc long, d2 long, at long, later boolean"
+#: Parts that the copies of one window are dealt to.
+SALTS = 32
+WINDOWS = "k long, g long, doc long, d2 long, at long, bytes binary"
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -146,7 +154,7 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             later[order] = start[order] > begun
             # it needs no partner, so it goes anywhere but to where its gram's other segments meet
             h = np.where(later, _mixed((doc ^ start << 20).astype(np.uint64)), h)
-            yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "doc": doc, "d2": d2.astype(np.int32), "at": start << 8 | n, "later": later})
+            yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "doc": doc, "d2": d2, "at": start << 8 | n, "later": later})
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,30 +218,31 @@ def _repeated(group: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return out
 
 
-def _removed_windows(block: pd.DataFrame, oversize: bool) -> pd.DataFrame:
+def _groups(strings: list[bytes]) -> np.ndarray:
+    """For each place of the strings, each with one place after its end: the number of its group of suffixes that share LENGTH bytes."""
+    text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    text[np.cumsum([len(x) + 1 for x in strings]) - 1] = 0
+    order, border = shared_prefixes(text)
+    of = np.empty(len(text), dtype=np.int64)
+    of[order] = np.cumsum(border)
+    return of
+
+
+def _removed_windows(block: pd.DataFrame) -> pd.DataFrame:
     """Runs of windows in the block's segments that an earlier segment has as well."""
     block = block.drop_duplicates(["h", "doc", "d2", "at"]).sort_values(["doc", "d2", "at"], ignore_index=True)
     data, n = block["bytes"].tolist(), (block["at"].to_numpy() & 255)
     sizes = np.array([len(b) for b in data]) + 1
     base = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"\0".join(data) + b"\0", dtype=np.uint8)
     # windows begin at the first n places of each segment; segments are in the order of documents
     starts = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    if oversize:
-        group = _Hasher(raw).of(starts, starts + LENGTH)
-    else:
-        text = raw.astype(np.int64) + 1
-        text[base + sizes - 1] = 0
-        order, border = shared_prefixes(text)
-        of = np.empty(len(text), dtype=np.int64)
-        of[order] = np.cumsum(border)
-        group = of[starts]
+    group = _groups(data)[starts]
     again = _repeated(group, np.arange(len(starts)))
     segment = np.repeat(np.arange(len(n)), n)
     place = starts - base[segment] + (block["at"].to_numpy() >> 8)[segment]
     hit = np.flatnonzero(again)
     if not len(hit):
-        return pd.DataFrame({"doc": [], "d2": [], "at": []}).astype({"doc": "int64", "d2": "int32", "at": "int64"})
+        return pd.DataFrame({"doc": [], "d2": [], "at": []}).astype("int64")
     new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(segment[hit]) != 0))))
     run = np.diff(np.append(new, len(hit)))
     own = segment[hit[new]]
@@ -263,29 +272,79 @@ def _split(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     per = rows["bytes"].str.len().groupby(rows["h"].to_numpy(), sort=False).sum()
     number = (per.cumsum() // BLOCK).to_dict()
     for _, own in rows.groupby(rows["h"].map(number).to_numpy(), sort=False):
-        yield _removed_windows(own, False)
+        yield _removed_windows(own)
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each window of the segments."""
+    """The digest of each window of the segments."""
+    for rows, starts, hasher, _ in _windows(batches):
+        yield pd.DataFrame({"g": hasher.of(starts, starts + LENGTH).view(np.int64)})
+
+
+def _cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row of WINDOWS for each window of the segments; k: the digest's part."""
+    for rows, starts, hasher, data in _windows(batches):
+        g = hasher.of(starts, starts + LENGTH)
+        n = rows["at"].to_numpy() & 255
+        own = {c: np.repeat(rows[c].to_numpy(), n) for c in ("doc", "d2")}
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        part = _mixed(g ^ _mixed(own["doc"].view(np.uint64)) % np.uint64(SALTS))
+        at = (np.repeat(rows["at"].to_numpy() >> 8, n) + inner) << 8 | 1
+        yield pd.DataFrame({"k": part.view(np.int64), "g": g.view(np.int64), **own, "at": at, "bytes": [data[a : a + LENGTH] for a in starts.tolist()]})
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, _Hasher, bytes]]:
+    """Some segments at a time: rows, places of their windows in the joined bytes, a hasher of these, and these."""
     for batch in batches:
         for lo in range(0, len(batch), 4096):
             rows = batch.iloc[lo : lo + 4096]
-            data, n = rows["bytes"].tolist(), rows["at"].to_numpy() & 255
-            sizes = np.array([len(b) for b in data])
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            starts = np.repeat(np.cumsum(sizes) - sizes, n) + inner
-            g = _Hasher(np.frombuffer(b"".join(data), dtype=np.uint8)).of(starts, starts + LENGTH)
-            own = {c: np.repeat(rows[c].to_numpy(), n) for c in ("h", "doc", "d2")}
-            yield pd.DataFrame({**own, "g": g.view(np.int64), "place": np.repeat(rows["at"].to_numpy() >> 8, n) + inner})
+            parts, n = rows["bytes"].tolist(), rows["at"].to_numpy() & 255
+            sizes = np.array([len(x) for x in parts])
+            starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            data = b"".join(parts)
+            yield rows, starts, _Hasher(np.frombuffer(data, dtype=np.uint8)), data
+
+
+def _marked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of WINDOWS with gone: whether an earlier row has the same bytes."""
+    rows = rows.drop_duplicates(["k", "doc", "d2", "at"]).sort_values(["doc", "d2", "at"], ignore_index=True)
+    starts = np.arange(len(rows)) * (LENGTH + 1)
+    return rows.assign(gone=_repeated(_groups(rows["bytes"].tolist())[starts], np.arange(len(rows))))
 
 
-def _by_digests(cut: DataFrame) -> DataFrame:
-    """doc, d2, at of the windows in the segments (h, doc, d2, at, bytes) that an earlier segment has as well."""
-    each = written(cut.mapInPandas(_digests, "h long, doc long, d2 int, g long, place long"), "digests")
-    at = F.struct("doc", "d2", "place")
-    first = each.groupBy("h", "g").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", "g", "first")
-    return each.join(first, ["h", "g"]).where(at != F.col("first")).select("doc", "d2", F.shiftleft("place", 8).bitwiseOR(F.lit(1)).alias("at"))
+def _first_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_marked() of rows that come sorted by k, document and place, in blocks. What is held of one k is cut down to the earliest copies whenever it fills a block."""
+    held = None
+    for batch in batches:
+        for lo in range(0, len(batch), BLOCK // LENGTH):
+            part = batch.iloc[lo : lo + BLOCK // LENGTH]
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            if len(held) * LENGTH < BLOCK:
+                continue
+            last = held["k"].to_numpy() == held["k"].iloc[-1]
+            if not last.all():
+                yield _marked(held[~last])
+                held = held[last]
+            if len(held) * LENGTH >= BLOCK:
+                marked = _marked(held)
+                yield marked[marked["gone"]]
+                held = marked[~marked["gone"]].drop(columns="gone")
+    if held is not None:
+        yield _marked(held)
+
+
+def _of_large_grams(cut: DataFrame) -> DataFrame:
+    """doc, d2, at of the windows in the segments (doc, d2, at, bytes) that an earlier segment has as well."""
+    again = written(cut.select("at", "bytes").mapInPandas(_digests, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "again")
+    rows = cut.select("doc", "d2", "at", "bytes").mapInPandas(_cut_windows, WINDOWS).join(again, "g", "left_semi").select(*[c.split()[0] for c in WINDOWS.split(", ")])
+    gone = None
+    for _ in range(2):  # the parts of each digest, then the earliest of each part
+        dealt = rows.repartition("k").sortWithinPartitions("k", "doc", "d2", "at")
+        marked = written(dealt.mapInPandas(_first_windows, WINDOWS + ", gone boolean"), "windows")
+        out = marked.where("gone").select("doc", "d2", "at")
+        gone = out if gone is None else gone.unionByName(out)
+        rows = marked.where("not gone").select(F.col("g").alias("k"), "g", "doc", "d2", "at", "bytes")
+    return gone
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,7 +367,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc, d2, doc_id, data), and the windows to remove: doc, d2, at (start << 8 | number of windows)."""
     t = whole("text").cast("binary")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(t).alias("d2"), F.col("doc_id").cast("long").alias("doc_id"), t.alias("data"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("d2"), F.col("doc_id").cast("long").alias("doc_id"), t.alias("data"))
     found = base.select("doc", "d2", "data").mapInPandas(_segments, SEGMENTS).repartition("h")
     alike, gram = Window.partitionBy("h", "s"), Window.partitionBy("h")
     own = ~F.col("later")
@@ -324,9 +383,9 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = written(judged.where("differ and not gone").groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(255)) + LENGTH - 1).alias("n")).where(F.col("n") > 4 * BLOCK).select("h"), "large")
     cut = base.select("doc", "d2", "data").join(wanted, ["doc", "d2"]).select("doc", "d2", F.explode("wanted").alias("w"), "data").select(
         "w.h", "doc", "d2", "w.at", F.expr(f"substring(data, int(shiftright(w.at, 8)) + 1, int(w.at & 255) + {LENGTH - 1})").alias("bytes"))
-    partly = cut.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_blocks, "doc long, d2 int, at long")
+    partly = cut.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_blocks, "doc long, d2 long, at long")
     if not large.isEmpty():
-        partly = partly.unionByName(_by_digests(cut.join(large, "h", "left_semi")))
+        partly = partly.unionByName(_of_large_grams(written(cut.join(large, "h", "left_semi"), "large")))
     return base, judged.where("gone").select("doc", "d2", "at").unionByName(partly)
 
 
