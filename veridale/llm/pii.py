@@ -1,12 +1,16 @@
 """Personal data by bootstrapped contextual extraction (native).
 
-Base patterns (email, ip, card, phone) with their checks give the seeds. The word to the left of a
-seed, and the two words, are its lexical patterns. Everything else that looks like an identifier (a
-word with an at sign or many digits) is an instance under the patterns around it. On the graph of
-patterns and distinct instances, Spark scores in turns: a pattern by the mean score of its instances,
-an instance by the chance that not all of its patterns are wrong; seeds stay at 1. Instances that reach
-MIN_SCORE through patterns with MIN_SEEDS distinct seeds, and that have the shape of seeds of a kind,
-are added as spans of that kind: cards with a mistyped digit, addresses with a part out of range.
+Base patterns (email, ip, card, phone) with their checks give the seeds. The words around a seed, one and
+two to the left, one and two to the right, and one on both sides, are its lexical patterns; so is its
+own make-up (digits, letters, marks, and which checks hold) beside a kind of neighbour. Everything else that looks like an
+identifier, up to MOST_WORDS words with an at sign or six digits, is an instance under the patterns around it.
+
+On the graph of patterns and distinct instances, Spark scores in turns: a pattern for a kind by the share of its
+instances that are known to be of that kind, an instance by the chance that not all of its patterns are wrong.
+Instances that reach MIN_SCORE, with a pattern of that score and MIN_SEEDS known instances behind it, are known from
+then on, with the kind of the pattern, whatever they look like: a number without its plus, an address without a dot, a
+card with a mistyped digit, or one that the base pattern lost in a run of digits. Rounds go on until nothing new is
+known, so there is no bound on them: each adds to a finite set. Instances that overlap an earlier one in their text are left out.
 
 Texts are read once; what is found is written as arrays per row, and only patterns and instances are
 shuffled, as counts of distinct ones, so frequent words and repeated texts are added up before they
@@ -18,7 +22,9 @@ an empty table gives no rows; extra columns are ignored. Spans count code points
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -37,25 +43,31 @@ PATTERNS = {
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
 #: What a text must have for a pattern to be worth trying.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "word": "[0-9@]"}
-LEFT_CHARS = 64
+MOST_WORDS = 4
+#: Least share of known instances for a pattern to count at all.
+WEAK = 0.5
 BLOCK = 256
 MIN_SCORE = 0.8
 MIN_SEEDS = 3
-ROUNDS = 4
-SPAN = "struct<start:int,end:int,text:string,left:string>"
+#: left and right: the text between neighbouring matches; a mark stands for these and for the ends of the text. gap: what follows is one blank and another match.
+SPAN = "struct<start:int,end:int,text:string,left:string,right:string,gap:boolean>"
+GAP = r"[\x20\x09-\x0D|]"
 
 
 def _located(pieces: str, found: str) -> Column:
     """Spans of the matches `found`, between the `pieces` of the same split.
 
     Positions are running sums. They are kept in blocks of BLOCK spans, so that appending to an array copies no
-    more than a block, whatever the number of matches.
+    more than a block, whatever the number of matches. Contexts keep the four pieces next to a match that blanks set off.
     """
-    span = f"""named_struct('start', a.at + char_length(x.p), 'end', a.at + char_length(x.p) + char_length(x.m), 'text', x.m, 'left', right(x.p, {LEFT_CHARS}))"""
+    span = """named_struct('start', a.at + char_length(x.p), 'end', a.at + char_length(x.p) + char_length(x.m), 'text', x.m, 'left', substring_index(concat(x.before, x.p), ' ', -4), 'right', substring_index(concat(x.q, x.after), ' ', 4), 'gap', x.q = ' ' and x.after = ' #')"""
     block = f"""aggregate(block, named_struct('at', s.at, 'out', cast(array() as array<{SPAN}>)),
         (a, x) -> named_struct('at', a.at + char_length(x.p) + char_length(x.m), 'out', concat(a.out, array({span}))))"""
+    around = f"""zip_with(slice({pieces}, 1, size({found})), slice({pieces}, 2, size({found})), (p, q) -> named_struct('p', p, 'q', q))"""
+    matched = f"""transform(zip_with({around}, {found}, (r, m) -> named_struct('p', r.p, 'q', r.q, 'm', m)), (r, i) ->
+        named_struct('p', r.p, 'q', r.q, 'm', r.m, 'before', if(i = 0, '^ ', '# '), 'after', if(i = size({found}) - 1, ' $', ' #')))"""
     return F.expr(f"""
-        transform(array(zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> named_struct('p', p, 'm', m))), z ->
+        transform(array({matched}), z ->
             aggregate(transform(sequence(0, greatest(size(z) - 1, 0) div {BLOCK}), b -> slice(z, int(b) * {BLOCK} + 1, {BLOCK})),
                 named_struct('at', 0, 'out', cast(array() as array<array<{SPAN}>>)),
                 (s, block) -> transform(array({block}), r -> named_struct('at', r.at, 'out', concat(s.out, array(r.out))))[0],
@@ -71,20 +83,50 @@ def _valid(kind: str, text: Column) -> Column:
     return digits.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _shape(text: Column) -> Column:
-    """Letters as a, digits as 9, long runs of digits as N."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[A-Za-z]+", "a"), r"[0-9](?:[\x20-]?[0-9]){12,18}+", "N"), "[0-9]+", "9")
+def _context(text: Column, adjoining: str) -> Column:
+    """Lower-cased words of a context, without what adjoins the match; those with a digit or an at sign as #."""
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(text, adjoining, "")), GAP + "+"), "")
+    return F.transform(words, lambda w: F.when(w.rlike("[0-9@]"), "#").otherwise(w))
+
+
+def _make_up(text: Column) -> Column:
+    """Digits as 9, letters as a, and the kinds whose checks hold."""
+    shape = F.regexp_replace(F.regexp_replace(text, "[A-Za-z]+", "a"), "[0-9]", "9")
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    card = text.rlike(r"^[0-9](?:[\x20-]?[0-9]){12,18}$") & F.call_function("luhn_check", digits)
+    ip = text.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & F.forall(F.split(text, r"\."), lambda p: F.coalesce(p.try_cast("int") <= 255, F.lit(False)))
+    return F.when(card, F.lit("card")).when(ip, F.lit("ip")).otherwise(shape)
+
 
+def _patterns(text: Column, left: Column, right: Column) -> Column:
+    """Distinct patterns around an instance. left, right: arrays of words, columns and not expressions."""
+    a, b = F.element_at(left, -1), right[0]
+    a2, b2 = F.when(F.size(left) > 1, F.element_at(left, -2)), F.when(F.size(right) > 1, right[1])
+    kind = lambda w: F.when(w.isin("#", "^", "$"), w).otherwise("w")
+    # a mark alone says too little
+    word = lambda w: F.when(~w.isin("#", "^", "$"), w)
+    return F.array_distinct(F.array_compact(F.array(
+        F.concat(F.lit("l1 "), word(a)), F.concat(F.lit("l2 "), a2, F.lit(" "), a), F.concat(F.lit("r1 "), word(b)), F.concat(F.lit("r2 "), b, F.lit(" "), b2),
+        F.concat(F.lit("lr "), word(a), F.lit(" "), word(b)), F.concat(F.lit("ml "), kind(a), F.lit(" "), _make_up(text)), F.concat(F.lit("mr "), _make_up(text), F.lit(" "), kind(b)))))
 
-def _patterns(left: Column) -> Column:
-    """The last word, and the last two, of what stands to the left."""
-    words = F.array_remove(F.split(F.lower(left), r"[\x20\x09-\x0D|]+"), "")
-    n = F.size(words)
-    return F.when(n >= 2, F.array(F.element_at(words, -1), F.concat_ws(" ", F.slice(words, -2, 2)))).when(n == 1, F.array(F.element_at(words, -1))).otherwise(F.array().cast("array<string>"))
 
+def _runs(words: str) -> Column:
+    """The spans of `words` and of up to MOST_WORDS of them in a row that single blanks set off."""
+    n, out, last = F.size(words), [F.col(words)], F.col(words)
+    for k in range(2, MOST_WORDS + 1):
+        def joined(a: Column, b: Column) -> Column:
+            return F.when(a["gap"], F.struct(a["start"].alias("start"), b["end"].alias("end"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text"), a["left"].alias("left"), b["right"].alias("right"), b["gap"].alias("gap")))
 
-def found(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base array<struct<k,kind,start,end,text,left>> (checked), others array<SPAN> (words that overlap none of base)."""
+        last = F.zip_with(F.slice(last, 1, F.greatest(n - k + 1, F.lit(0))), F.slice(words, k, F.greatest(n - k + 1, F.lit(0))), joined)
+        out.append(F.filter(last, lambda x: x.isNotNull()))
+    return F.concat(*out)
+
+
+def found(docs: DataFrame, hidden: Callable[[Column], Column] | None = None) -> DataFrame:
+    """row, doc_id, base array<struct<k,kind,start,end,text,left,right>> (checked), others array<SPAN> (words that overlap none of base).
+
+    hidden: which texts of base spans to leave out, to measure how many of them are found again.
+    """
     t = F.col("_t")
     nothing = F.array().cast("array<string>")
     at = docs.select("doc_id", whole("text").alias("_t"))
@@ -94,55 +136,67 @@ def found(docs: DataFrame) -> DataFrame:
     for kind, pattern in [*PATTERNS.items(), ("word", WORD)]:
         at = at.withColumn(f"_p_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split(t, pattern, -1)).otherwise(nothing))
     base = [_checked(k, kind) for k, kind in enumerate(KINDS)]
-    # words without the marks around them, if they have an at sign or six digits
-    words = F.filter(F.transform(_located("_p_word", "_m_word"), _trimmed), lambda s: s["text"].contains("@") | (F.length(F.regexp_replace(s["text"], "[^0-9]", "")) >= 6))
-    at = at.select("doc_id", F.concat(*base).alias("base"), words.alias("words"))
-    free = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return at.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("words") > 0, free).otherwise(F.col("words")).alias("others"))
+    all_base = F.concat(*base)
+    at = at.select("doc_id", (F.filter(all_base, lambda s: ~hidden(s["text"])) if hidden else all_base).alias("base"), _located("_p_word", "_m_word").alias("words"))
+    # without the marks around them, if they have an at sign or six digits
+    runs = F.when(F.size("words") > 0, F.filter(F.transform(_runs("words"), _trimmed), lambda s: s["text"].contains("@") | (F.length(F.regexp_replace(s["text"], "[^0-9]", "")) >= 6))).otherwise(F.col("words"))
+    at = at.select("doc_id", "base", runs.alias("runs"))
+    free = F.filter("runs", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return at.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("runs") > 0, free).otherwise(F.col("runs")).alias("others"))
 
 
 def _checked(k: int, kind: str) -> Column:
     spans = F.filter(_located(f"_p_{kind}", f"_m_{kind}"), lambda s: _valid(kind, s["text"]))
-    return F.transform(spans, lambda s: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["left"].alias("left")))
+    return F.transform(spans, lambda s: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["left"].alias("left"), s["right"].alias("right")))
 
 
 def _trimmed(span: Column) -> Column:
-    lead = F.char_length(F.regexp_extract(span["text"], "^[^A-Za-z0-9+]*", 0))
-    core = F.regexp_extract(span["text"], "^[^A-Za-z0-9+]*+(.*?)[^A-Za-z0-9]*$", 1)
-    return F.struct((span["start"] + lead).alias("start"), (span["start"] + lead + F.char_length(core)).alias("end"), core.alias("text"), span["left"].alias("left"))
-
-
-def _scored(edges: DataFrame) -> DataFrame:
-    """pattern, text of the instances to accept, from edges (pattern, text, seed)."""
-    score = edges.select("text", F.col("seed").cast("double").alias("s"), "seed").distinct()
-    for k in range(ROUNDS):
-        with_score = edges.drop("seed").join(score, "text")
-        patterns = with_score.groupBy("pattern").agg(F.avg("s").alias("c"), F.sum("seed").alias("seeds"))
-        patterns = written(patterns.where(F.col("seeds") >= MIN_SEEDS).select("pattern", F.least("c", F.lit(0.999)).alias("c")), "patterns")
-        if k == ROUNDS - 1:
-            break
-        doubt = edges.where("seed = 0").join(patterns, "pattern").groupBy("text").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("t"))
-        score = written(score.join(doubt, "text", "left").select("text", F.when(F.col("seed") == 1, F.col("s")).otherwise(F.coalesce("t", F.lit(0.0))).alias("s"), "seed"), "scores")
-    sure = patterns.where(F.col("c") >= MIN_SCORE).select("pattern")
-    return edges.where("seed = 0").join(sure, "pattern").select("text").distinct().join(score.where(F.col("s") >= MIN_SCORE).select("text"), "text", "left_semi")
-
-
-def extracted(docs: DataFrame) -> DataFrame:
+    lead = F.char_length(F.regexp_extract(span["text"], "^[^A-Za-z0-9+(]*", 0))
+    core = F.regexp_extract(span["text"], "^[^A-Za-z0-9+(]*+(.*?)[^A-Za-z0-9]*$", 1)
+    return F.struct((span["start"] + lead).alias("start"), (span["start"] + lead + F.char_length(core)).alias("end"), core.alias("text"), span["left"].alias("left"), span["right"].alias("right"), span["gap"].alias("gap"))
+
+
+def _edges(seen: DataFrame) -> DataFrame:
+    """Distinct pattern, text of (text, left, right)."""
+    words = seen.select("text", _context(F.col("left"), r"(?<![^\x20\x09-\x0D|])[^\x20\x09-\x0D|]++$").alias("l"), _context(F.col("right"), r"^[^\x20\x09-\x0D|]++").alias("r"))
+    return words.select(F.explode(_patterns(F.col("text"), F.col("l"), F.col("r"))).alias("pattern"), "text").distinct()
+
+
+def known(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """text, kind of everything that is known in the end, from edges (pattern, text) and seeds (text, kind): seeds and the instances that patterns vouch for."""
+    so_far = seeds
+    while True:
+        # runs that aren't known and share the word next to the pattern are one instance of it
+        beside = F.when(F.col("pattern").rlike("^m?l "), F.substring_index("text", " ", 1)).otherwise(F.substring_index("text", " ", -1))
+        labelled = edges.join(so_far, "text", "left").groupBy("pattern", F.when(F.col("kind").isNull(), beside).otherwise(F.col("text")).alias("instance")).agg(F.max("kind").alias("kind"))
+        counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+        per = labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *counts)
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("known")) for k in KINDS])
+        scored = per.select("pattern", "n", F.inline(kinds)).where(F.col("known") >= MIN_SEEDS).select("pattern", "kind", (F.col("known") / F.col("n")).alias("c"))
+        patterns = written(scored.where(F.col("c") >= WEAK), "patterns")
+        doubt = F.exp(F.sum(F.log1p(-F.least("c", F.lit(0.999)))))
+        open_ = edges.join(so_far.select("text"), "text", "left_anti").join(patterns, "pattern")
+        sure = open_.groupBy("text", "kind").agg((1 - doubt).alias("score"), F.max("c").alias("best")).where((F.col("score") >= MIN_SCORE) & (F.col("best") >= MIN_SCORE))
+        new = written(sure.groupBy("text").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "known")
+        if new.isEmpty():
+            return so_far
+        so_far = written(so_far.unionByName(new), "known")
+
+
+def extracted(docs: DataFrame, hidden: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, base and added (arrays of spans k, kind, start, end) for every row of docs."""
-    rows = written(found(docs), "found")
-    seeds = rows.select(F.explode("base").alias("b")).select("b.kind", "b.text", "b.left")
-    others = rows.where(F.size("others") > 0).select("row", F.explode("others").alias("o")).select("row", "o.start", "o.end", "o.text", "o.left")
-    seen = seeds.select("text", "left", F.lit(1).alias("seed")).unionByName(others.select("text", "left", F.lit(0).alias("seed"))).distinct()
-    edges = written(seen.select(F.explode(_patterns(F.col("left"))).alias("pattern"), "text", "seed").groupBy("pattern", "text").agg(F.max("seed").alias("seed")), "graph")
-    # a text that is a seed anywhere is one everywhere
-    known = edges.groupBy("text").agg(F.max("seed").alias("seed"))
-    accepted = _scored(written(edges.drop("seed").join(known, "text"), "graph"))
-    shapes = seeds.select("kind", "text").distinct().groupBy("kind", _shape(F.col("text")).alias("shape")).count().where(F.col("count") >= MIN_SEEDS)
-    kind_of = shapes.groupBy("shape").agg(F.max_by("kind", F.struct("count", "kind")).alias("kind"))
-    new = accepted.select("text", _shape(F.col("text")).alias("shape")).join(kind_of, "shape").select("text", "kind")
+    rows = written(found(docs, hidden), "found")
+    seeds = rows.select(F.explode("base").alias("b")).select("b.k", "b.kind", "b.text", "b.left", "b.right")
+    others = rows.where(F.size("others") > 0).select("row", F.explode("others").alias("o")).select("row", "o.start", "o.end", "o.text", "o.left", "o.right")
+    edges = written(_edges(seeds.select("text", "left", "right").unionByName(others.select("text", "left", "right")).distinct()), "graph")
+    seed_kinds = written(seeds.groupBy("text").agg(F.min_by("kind", "k").alias("kind")), "seeds")
+    accepted = written(known(edges, seed_kinds), "accepted")
+    at = others.select("row", "start", "end", "text").join(accepted, "text")
+    earlier = F.max("end").over(Window.partitionBy("row").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1))
+    alone = at.withColumn("upto", earlier).where("upto is null or upto <= start")
     k = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
-    added = others.join(new, "text").groupBy("row").agg(F.collect_list(F.struct(k.cast("int").alias("k"), "kind", "start", "end")).alias("added"))
-    base = F.transform("base", lambda s: s.dropFields("text", "left"))
+    added = alone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(k.cast("int").alias("k"), "kind", "start", "end"))).alias("added"))
+    base = F.transform("base", lambda s: s.dropFields("text", "left", "right"))
     return rows.select("row", "doc_id", base.alias("base")).join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<k:int,kind:string,start:int,end:int>>")).alias("added"))
 
 
