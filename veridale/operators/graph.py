@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def links(docs: DataFrame, keys: dict[str, tuple[str, float]]) -> DataFrame:
     """from, to, type, strength, key: documents that share a key, each linked to the smallest document of the key.
@@ -34,16 +36,24 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (least node) of undirected edges (from, to), by least labels and the labels of labels until nothing changes; every round is cut off from its lineage, in the checkpoint folder if there is one."""
-    both = edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct().cache()
-    labels = both.groupBy(F.col("from").alias("node")).agg(F.least(F.col("from"), F.min("to")).alias("component"))
-    while True:
-        near = both.join(labels, F.col("to") == F.col("node")).groupBy("from").agg(F.min("component").alias("least"))
-        moved = labels.join(near, F.col("node") == F.col("from")).select("node", F.least("component", "least").alias("low"), F.col("component").alias("before"))
-        # a label is a node of the same component, so its own label is one as well
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
-        moved = moved.join(jump, F.col("low") == F.col("at")).select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("before")).alias("changed"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.localCheckpoint()
-        labels = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            return labels
+    """node, component (least node) of undirected edges (from, to).
+
+    Every round a node points to the least of itself and its neighbours, by the hash of their ids, and edges move to what
+    their ends point to, until none is left: that takes about as many rounds as the logarithm of the longest path. Every
+    round is written to the shared folder.
+    """
+    left = written(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "edges")
+    pointers: list[DataFrame] = []
+    while not left.isEmpty():
+        near = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), "b")).alias("m"))
+        own = F.struct(F.xxhash64("a").alias("col1"), F.col("a").alias("b"))
+        point = written(near.select(F.col("a").alias("node"), F.least(own, F.col("m"))["b"].alias("to")), "pointers")
+        pointers.append(point)
+        ends = left.join(point.toDF("a", "pa"), "a").join(point.toDF("b", "pb"), "b").where("pa <> pb")
+        left = written(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+    if not pointers:
+        return left.toDF("node", "component")
+    at = pointers[0]
+    for point in pointers[1:]:
+        at = at.join(point.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    return at.join(at.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")

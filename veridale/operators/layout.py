@@ -125,20 +125,73 @@ def corrected_id(text: Column) -> Column:
     return F.regexp_replace(c, "^([0-2]?[0-9])[.; ]([0-5][0-9])$", "$1:$2")
 
 
+#: A row id that is whole; what may be one that isn't. Fixed values.
+WHOLE_ID, ID_LIKE = "^Z[4-9][0-9]{1,2}[A-D]?$", "^[Z2\\d.,;:\\-A-Da-d]+$"
+
+
+def _id_parts(text: Column) -> Column:
+    """struct(num, suffix, digits) of an id; null fields if it isn't one."""
+    at = lambda k: F.regexp_extract(F.btrim(text), "^Z?([0-9]+)([A-Da-d]?)$", k)
+    num = at(1).try_cast("int")
+    return F.struct(num.alias("num"), F.upper(at(2)).alias("suffix"), num.cast("string").alias("digits"))
+
+
+def _could_be(raw: Column, digits: Column) -> Column:
+    """Whether the digits that were read may be a damaged form of `digits`."""
+    return (raw == "") | digits.contains(raw) | raw.contains(digits) | (F.levenshtein(raw, digits) <= 1)
+
+
 def filled_ids(items: DataFrame) -> DataFrame:
-    """items (doc_id, item, id long or null, text) with inferred: where the neighbours are 2 apart, the number between; chained from the top."""
-    schema = items.withColumn("inferred", F.lit(None).cast("long")).schema
-
-    def fill(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("item", ignore_index=True)
-        ids = [None if pd.isna(v) else int(v) for v in doc["id"]]
-        made: list = [None] * len(ids)
-        for i in range(1, len(ids) - 1):
-            if ids[i] is None and ids[i - 1] is not None and ids[i + 1] is not None and abs(ids[i + 1] - ids[i - 1]) == 2:
-                ids[i] = made[i] = (ids[i + 1] + ids[i - 1]) // 2
-        return doc.assign(id=doc["id"].astype("Int64"), inferred=pd.array(made, dtype="Int64"))
-
-    return items.groupBy("doc_id").applyInPandas(fill, schema)
+    """items (doc_id, page, item, text) with inferred: what a missing or damaged id must be by the ids around it.
+
+    An id between two that are 2 apart is the one between; else it follows the next whole id, else the one before, in the page's
+    direction, if what was read can be a damaged form of it. The direction is that of most neighbours 1 apart, else
+    from the first to the last id of 3 digits, else to the last id. Ids that are filled in count as whole
+    for the rows after them: each page is folded in order, as one array.
+    """
+    page, after = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("item")
+    raw = F.btrim(F.coalesce("text", F.lit("")))
+    each = items.withColumn("_raw", raw).withColumn("_whole", F.when(raw.rlike(WHOLE_ID), raw)).withColumn("_p", _id_parts(F.col("_whole")))
+    each = each.withColumn("_next", F.first("_whole", ignorenulls=True).over(after.rowsBetween(1, Window.unboundedFollowing)))
+    each = each.withColumn("_before", F.last(F.when(F.col("_whole").isNotNull(), F.col("_p")), ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, -1)))
+    step = F.when((F.col("_p.suffix") == F.col("_before.suffix")) & (F.length("_p.digits") == F.length("_before.digits")), F.col("_p.num") - F.col("_before.num"))
+    step = F.when(F.abs(step) == 1, step)
+    long_ = F.when(F.length("_p.digits") >= 3, F.col("_p.num"))
+    is_whole = F.col("_whole").isNotNull()
+    per = each.groupBy(*PAGE).agg(
+        F.sum((step > 0).cast("int")).alias("up"), F.count(step).alias("steps"), F.count(long_).alias("longs"), F.count("_whole").alias("wholes"),
+        F.max_by(long_, F.when(long_.isNotNull(), F.col("item"))).alias("last_long"), F.min_by(long_, F.when(long_.isNotNull(), F.col("item"))).alias("first_long"),
+        F.max_by("_p.num", F.when(is_whole, F.col("item"))).alias("last_num"), F.min_by("_p.num", F.when(is_whole, F.col("item"))).alias("first_num"),
+        F.collect_set("_p.digits").alias("all_digits"),
+        F.sort_array(F.collect_list(F.struct("item", F.col("_raw").alias("raw"), F.col("_next").alias("next")))).alias("rows"))
+    rises = F.when(F.col("steps") > 0, F.col("up") * 2 >= F.col("steps")).when(F.col("longs") >= 2, F.col("last_long") > F.col("first_long")).otherwise(F.col("last_num") > F.col("first_num"))
+    per = per.withColumn("dir", F.when(rises, 1).otherwise(-1))
+
+    def name(num: Column, suffix: Column) -> Column:
+        return F.concat(F.lit("Z"), num.cast("string"), suffix)
+
+    def inferred(r: Column, before: Column) -> Column:
+        own, a, b = _id_parts(r["raw"]), _id_parts(before), _id_parts(r["next"])
+        read = F.coalesce(own["digits"], F.regexp_replace(r["raw"], "[^0-9]", ""))
+        between = F.when((b["num"] - a["num"] == 2) & (a["suffix"] == b["suffix"]), name(a["num"] + 1, a["suffix"]))
+        from_next, from_before = b["num"] - F.col("dir"), a["num"] + F.col("dir")
+        by_next = F.when(_could_be(read, from_next.cast("string")), name(from_next, b["suffix"]))
+        by_before = F.when(_could_be(read, from_before.cast("string")), name(from_before, a["suffix"]))
+        longer = F.exists("all_digits", lambda d: (F.length(d) > F.length(own["digits"])) & d.contains(own["digits"]))
+        fits = F.when(between.isNotNull(), _could_be(own["digits"], (a["num"] + 1).cast("string"))).otherwise(_could_be(own["digits"], from_next.cast("string")))
+        short = (F.length(own["digits"]) < 3) & (longer | F.coalesce(fits, F.lit(False)))
+        wanted = ((r["raw"] == "") | r["raw"].rlike(ID_LIKE)) & (~r["raw"].rlike(WHOLE_ID) | F.coalesce(short, F.lit(False)))
+        return F.when(wanted, F.coalesce(between, by_next, by_before))
+
+    def fold(s: Column, r: Column) -> Column:
+        found = inferred(r, s["before"])
+        now = F.coalesce(found, r["raw"])
+        return F.struct(F.when(now.rlike(WHOLE_ID), now).otherwise(s["before"]).alias("before"), F.concat(s["out"], F.array(F.struct(r["item"].alias("item"), found.alias("inferred")))).alias("out"))
+
+    item_type = items.schema["item"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("string").alias("before"), F.array().cast(f"array<struct<item:{item_type},inferred:string>>").alias("out"))
+    made = per.where("wholes >= 2").select(*PAGE, F.inline(F.aggregate("rows", start, fold)["out"]))
+    return items.join(made, [*PAGE, "item"], "left").select(*items.columns, "inferred")
 
 
 def to_retry(items: DataFrame, below: float = 0.75, most: int = 10) -> DataFrame:

@@ -211,20 +211,17 @@ def lc13(t):
     return ev.counts(_feedback(t), "type", list(lc.FEEDBACK_TYPES))
 
 
-@query("lc14_tokens", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))), ' ') AS tokens FROM documents WHERE lang = 'en'")
+@query("lc14_tokens", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))), ' ') AS tokens FROM documents WHERE NOT regexp_matches(lower(text), '[一-鿿]')")
 def lc14(t):
-    return cl.token_sets(t("documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("tokens"))
+    return cl.token_sets(t("documents").where("not lower(text) rlike '[一-鿿]'").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def _words(t):
-    """The first 30 words of documents as sets."""
-    return t("documents").select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 30))).alias("tokens"))
+    """The tokens of whole documents as sets."""
+    return cl.token_sets(t("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-WORDS = "WITH s AS (SELECT doc_id AS id, list_distinct(list_slice(string_split(lower(text), ' '), 1, 30)) AS w FROM documents), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM s a JOIN s b ON a.id < b.id)\n"
-
-
-@query("lc15_jaccard", WORDS + "SELECT * FROM p WHERE similarity >= 0.7")
+@query("lc15_jaccard")
 def lc15(t):
     return cl.similar_pairs(_words(t), 0.7)
 
@@ -243,13 +240,12 @@ def lc18(t):
 
 @query("lc19_dbscan")
 def lc19(t):
-    s = _words(t)
-    return cl.dbscan(cl.similar_pairs(s, 0.7), s.select("id"), 3)
+    return cl.dbscan(_words(t), 0.7, 3)
 
 
 @query("lc20_greedy")
 def lc20(t):
-    return cl.greedy(_words(t).join(t("documents").select(F.col("doc_id").alias("id"), F.expr("bigint(doc_id % 8)").alias("grp")), "id").select("grp", "id", "tokens"), 0.7, 2)
+    return cl.greedy(_words(t), 0.7, 2)
 
 
 @query("lc21_patterns", "SELECT user_id, event_type AS value, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k <= 2")

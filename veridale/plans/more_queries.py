@@ -56,9 +56,9 @@ def lc46_delete(t):
     return r.without_drafts(rules, rules.where("o_orderkey % 2 = 0").select("rule_id")).select("rule_id")
 
 
-@query("lc47_sandbox", "SELECT l_orderkey AS doc_id, l_linenumber AS row_index FROM lineitem WHERE l_returnflag = 'N' AND l_discount <> 0 AND NOT l_tax / l_discount <= 2 AND l_orderkey < 50")
+@query("lc47_sandbox", "SELECT l_orderkey AS doc_id, l_linenumber AS row_index FROM lineitem WHERE l_returnflag = 'N' AND l_discount <> 0 AND NOT l_tax / l_discount <= 2")
 def lc47(t):
-    return r.checked_rows(rule_queries._lines(t).where("l_orderkey < 50"), [rule_queries.LINE_RULES[1]]).select("doc_id", "row_index")
+    return r.checked_rows(rule_queries._lines(t), [rule_queries.LINE_RULES[1]]).select("doc_id", "row_index")
 
 
 @query("lc38_incubator", f"WITH r AS ({ORDER_RULES}) SELECT rule_id FROM r WHERE status = 'draft' AND level = 'L2'")
@@ -76,15 +76,15 @@ def lc9(t):
     return log_queries._feedback(t).where(F.size(lc.feedback_errors()) == 0).select("feedback_id")
 
 
-@query("lc17_tf_idf", "WITH e AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents WHERE doc_id < 60), c AS (SELECT id, token, count(*) AS tf FROM e GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1) SELECT id, token, CAST(round(CAST(tf * (ln((SELECT count(*) + 1 FROM documents WHERE doc_id < 60)::DOUBLE / (df + 1)) + 1) AS DECIMAL(18,8)), 6) AS DOUBLE) AS weight FROM c JOIN d USING (token)")
+@query("lc17_tf_idf", "WITH e AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents), c AS (SELECT id, token, count(*) AS tf FROM e GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1) SELECT id, token, CAST(round(CAST(tf * (ln((SELECT count(*) + 1 FROM documents)::DOUBLE / (df + 1)) + 1) AS DECIMAL(18,8)), 6) AS DOUBLE) AS weight FROM c JOIN d USING (token)")
 def lc17(t):
-    made = cl.tf_idf(t("documents").where("doc_id < 60").select(F.col("doc_id").alias("id"), "text"))
+    made = cl.tf_idf(t("documents").select(F.col("doc_id").alias("id"), "text"))
     return made.withColumn("weight", F.round(F.col("weight").cast("decimal(18,8)"), 6).cast("double"))
 
 
 @query("lc24_analysis")
 def lc24(t):
-    return cl.analysed(t("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text")), 2, 0.7)
+    return cl.analysed(t("documents").select(F.col("doc_id").alias("id"), "text"), 2, 0.7)
 
 
 @query("lc37_reflection", log_queries.STATS + "SELECT 'high_fp' AS kind, rule_id FROM s WHERE hits >= 5 AND fp_rate > 0.4 UNION ALL SELECT 'low_activity', rule_id FROM s WHERE reviews >= 10 AND hit_rate < 1.5")
@@ -132,10 +132,19 @@ def pr9(t):
     return each.select("doc_id", F.array_join(tab.header_slots(ALIASES), "|").alias("slots"))
 
 
-@query("pr22_dispatch", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'domain' ELSE 'other' END AS kind FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY 1")
+@query("pr22_dispatch", """WITH l AS (SELECT l_orderkey AS doc_id, 1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS line_no, l_linenumber, l_quantity FROM lineitem),
+d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'domain' WHEN doc_id % 3 = 1 THEN 'table' ELSE 'plain' END AS kind, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+p AS (SELECT DISTINCT doc_id, 1 AS line_no FROM d WHERE kind = 'plain' OR (kind = 'table' AND n < 2))
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE WHEN kind = 'domain' THEN 'pile_no=Z' || l_linenumber WHEN kind = 'table' AND n >= 2 THEN 'no=Z' || l_linenumber ELSE 'raw' END AS cell FROM d
+UNION ALL SELECT doc_id, CAST(line_no AS INT), 'raw' FROM p""")
 def pr22(t):
-    rows = tab.rows_by_type(_tables(t), ALIASES, "pile_no", "pile")
-    return rows.where("doc_id % 2 = 0").groupBy(F.lit("domain").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.col("doc_id") % 3
+    docs = _tables(t).withColumns({"doc_type": F.when(kind == 0, "pile record").otherwise("other")})
+    head = F.when(kind == 0, "pile no  length  top  bottom").when(kind == 1, "no  size  part  maker").otherwise("12 34 56 78")
+    docs = docs.withColumn("text", F.concat(head, F.lit("\n"), F.regexp_replace("text", r"^[^\n]*\n", "")))
+    rows = tab.rows_by_type(docs, ALIASES, "pile_no", "pile")
+    named = lambda k: F.concat(F.lit(f"{k}="), F.col("cells")[k])
+    return rows.select("doc_id", "line_no", F.coalesce(named("pile_no"), named("no"), F.lit("raw")).alias("cell"))
 
 
 @query("pr16_heuristic", "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS INT) AS line_no, 'Z' || l_linenumber AS id FROM lineitem")

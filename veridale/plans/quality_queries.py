@@ -93,13 +93,13 @@ def dq11(t):
     return q.summary(q.jumps(_values(t)))
 
 
-PREFIX = "CASE WHEN o_custkey % 7 < 5 THEN 'Z' ELSE '2' END || o_orderkey"
+PREFIX = "CASE WHEN o_orderkey % 7 < 5 THEN 'Z' ELSE '2' END || o_orderkey"
 
 
-@query("dq12_prefix", f"""WITH i AS (SELECT o_custkey % 40 AS doc, o_orderkey AS row, {PREFIX} AS id FROM orders), s AS (SELECT *, avg(CASE WHEN id LIKE 'Z%' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc) AS share, count(*) OVER (PARTITION BY doc) AS n FROM i)
+@query("dq12_prefix", f"""WITH i AS (SELECT o_custkey AS doc, o_orderkey AS row, {PREFIX} AS id FROM orders), s AS (SELECT *, avg(CASE WHEN id LIKE 'Z%' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc) AS share, count(*) OVER (PARTITION BY doc) AS n FROM i)
 SELECT doc, row, id, 'Z' || substr(id, 2) AS suspected, CASE WHEN share > 0.7 THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE n >= 3 AND share > 0.5 AND id LIKE '2%'""")
 def dq12(t):
-    ids = t("orders").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("row"), F.concat(F.when(F.col("o_custkey") % 7 < 5, "Z").otherwise("2"), F.col("o_orderkey").cast("string")).alias("id"))
+    ids = t("orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("row"), F.concat(F.when(F.col("o_orderkey") % 7 < 5, "Z").otherwise("2"), F.col("o_orderkey").cast("string")).alias("id"))
     return q.prefix_confusion(ids, "Z", "2")
 
 
@@ -144,12 +144,16 @@ def dq20(t):
     return t("part").select("p_partkey", x.trailing_number(F.col("p_brand")).alias("number"))
 
 
-@query("dq21_date_gaps", "SELECT doc, DATE '1970-01-01' + CAST(range_start AS INT) AS range_start, DATE '1970-01-01' + CAST(range_end AS INT) AS range_end, missing FROM (" + GAPS.format(doc="o_custkey % 20", n="date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))", t="orders") + ")")
+@query("dq21_date_gaps", "SELECT doc, DATE '1970-01-01' + CAST(range_start AS INT) AS range_start, DATE '1970-01-01' + CAST(range_end AS INT) AS range_end, missing FROM (" + GAPS.format(doc="o_custkey", n="date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))", t="orders") + ")")
 def dq21(t):
-    return q.date_gaps(t("orders").select((F.col("o_custkey") % 20).alias("doc"), F.col("o_orderdate").cast("date").alias("d")))
+    return q.date_gaps(t("orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderdate").cast("date").alias("d")))
 
 
-@query("dq13_candidates")
+SWAPPED = "list_transform(list_filter(range(1, length(s) + 1), lambda i: substr(s, i::INT, 1) = '{a}'), lambda i: TRY_CAST(substr(s, 1, i::INT - 1) || '{b}' || substr(s, i::INT + 1) AS DOUBLE))"
+
+
+@query("dq13_candidates", f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 20 + 0.06 AS v, printf('%.2f', l_discount * 20 + 0.06) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, v, list_sort(list_distinct(list_filter(CASE WHEN v < 1.0 THEN list_concat({SWAPPED.format(a=0, b=4)}, {SWAPPED.format(a=0, b=6)}) ELSE {SWAPPED.format(a=9, b=3)} END, lambda x: x >= 1.0 AND x <= 1.6))) AS candidates FROM v WHERE v < 1.0 OR v > 1.6""")
 def dq13(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 20 + 0.06).alias("v"))
     return q.range_confusion(rows, 1.0, 1.6).select("l_orderkey", "l_linenumber", "l_partkey", "v", "candidates")

@@ -18,33 +18,59 @@ def catalogue(t):
     return rows.groupBy("scope", "level", "severity", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-LENGTH = "abs(l_quantity - (l_tax * 100 - l_linenumber)) > 0.1"
-COEFF = "NOT abs(l_discount * 10 - l_extendedprice / 1000 / nullif(3.14159265 * power(l_suppkey % 3 / 2.0, 2) * l_quantity, 0)) <= 0.15"
+#: Columns of records and of parties, made from the tables; the same expressions in Spark and in DuckDB.
+RECORD = {
+    "actual_length": "l_quantity", "top_elev": "l_tax * 100", "bottom_elev": "l_linenumber", "filling_coeff": "l_discount * 10", "volume": "l_extendedprice / 1000", "diameter": "l_suppkey % 3",
+    "sink_time": "CASE WHEN l_returnflag <> 'R' THEN '08:30' END", "pull_time": "CASE WHEN l_linestatus = 'O' THEN ' ' ELSE '09:00' END", "read_rows": "l_linenumber", "actual_rows": "l_suppkey % 7 + 1",
+    "plan_rate": "l_discount * 10", "report_rate": "l_tax * 10", "review_rate": "l_quantity / 50", "sign_day": "CASE WHEN l_partkey % 3 > 0 THEN l_linestatus END", "seal": "CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_linestatus END"}
+PARTY = {
+    "project_no": "o_custkey", "pile_no": "o_custkey", "pay_period": "o_orderkey % 4", "process_name": "o_orderpriority", "day": "o_orderkey % 30", "lot_no": "o_orderkey % 5", "trial_no": "o_orderkey % 6",
+    "scheme_no": "o_orderkey % 7", "batch": "o_orderkey % 9", "meeting_no": "o_orderkey % 3", "item_no": "o_orderkey % 2"}
 
 
-@query("rules_row_catalogue", f"""SELECT l_orderkey AS doc_id, l_linenumber AS row_index, rule_id FROM lineitem CROSS JOIN (VALUES ('LG-001'), ('LG-904')) AS x(rule_id) WHERE {LENGTH}
-UNION ALL SELECT l_orderkey, l_linenumber, 'LG-1002' FROM lineitem WHERE {COEFF} UNION ALL SELECT l_orderkey, l_linenumber, 'LG-906' FROM lineitem WHERE ({LENGTH}) OR ({COEFF})
-UNION ALL SELECT l_orderkey, l_linenumber, 'LG-006' FROM lineitem WHERE l_returnflag = 'R' """)
+def _columns(of: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in of.items())
+
+
+def _in_duckdb(check: str) -> str:
+    """The catalogue's predicates use two functions that DuckDB names otherwise."""
+    for a, b in (("volume", "3.14159265 * power(diameter / 2, 2) * actual_length"), ("abs(field_a - field_b)", "greatest(field_a, field_b)")):
+        check = check.replace(f"try_divide({a}, {b})", f"({a} / nullif({b}, 0))")
+    return check.replace("unix_timestamp(", "epoch(")
+
+
+ROW_SQL = f"WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS row_index, {_columns(RECORD)} FROM lineitem)\n" + "\nUNION ALL ".join(
+    f"SELECT doc_id, row_index, '{x.rule_id}' AS rule_id FROM r WHERE NOT coalesce({_in_duckdb(x.check)}, true)" for x in catalog.row_rules(("record",)) if x.status == "active")
+
+
+@query("rules_row_catalogue", ROW_SQL)
 def row_catalogue(t):
-    rows = t("lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_index"), F.lit("record").alias("doc_type"), F.col("l_quantity").alias("actual_length"), (F.col("l_tax") * 100).alias("top_elev"), F.col("l_linenumber").alias("bottom_elev"),
-        (F.col("l_discount") * 10).alias("filling_coeff"), (F.col("l_extendedprice") / 1000).alias("volume"), (F.col("l_suppkey") % 3).alias("diameter"), F.when(F.col("l_returnflag") != "R", "08:30").alias("sink_time"))
+    """Every rule of kind row that is active, on every line item as a record."""
+    rows = t("lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS row_index", "'record' AS doc_type", *[f"{e} AS {n}" for n, e in RECORD.items()])
     return r.checked_rows(rows, catalog.row_rules(("record",))).select("doc_id", "row_index", "rule_id")
 
 
-@query("rules_pair_catalogue", """WITH a AS (SELECT o_custkey AS k, max(o_orderdate) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, min(o_orderdate) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
-SELECT rule_id, CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'Best Practice' ELSE severity END AS severity, count(*) AS n FROM a FULL OUTER JOIN b ON a.k = b.k CROSS JOIN (VALUES ('CU-002', 'Sanity Check', 1), ('CU-017', 'Sanity Check', -1)) AS r(rule_id, severity, s)
-WHERE a.k IS NULL OR b.k IS NULL OR (s = 1 AND NOT a.v >= b.v) OR (s = -1 AND NOT a.v <= b.v) GROUP BY 1, 2""")
+def _value(rule_id: str, side: str) -> str:
+    """What a rule compares: dates, but for the one on lengths."""
+    return f"{'max' if side == 'a' else 'min'}({'o_totalprice' if rule_id == 'CU-001' else 'o_orderdate'})"
+
+
+def _pair_sql(x) -> str:
+    keys = ", ".join(x.join_keys)
+    a, b = (f"(SELECT {keys}, {_value(x.rule_id, s)} AS field_{s}, true AS in_{s} FROM o WHERE o_orderstatus = '{status}' GROUP BY ALL)" for s, status in (("a", "F"), ("b", "O")))
+    return f"""SELECT '{x.rule_id}' AS rule_id, CASE WHEN in_a AND in_b THEN '{x.severity}' ELSE 'Best Practice' END AS severity, count(*) AS n FROM {a} FULL JOIN {b} USING ({keys})
+WHERE in_a IS NULL OR in_b IS NULL OR NOT coalesce({_in_duckdb(x.check)}, true) GROUP BY ALL"""
+
+
+@query("rules_pair_catalogue", f"WITH o AS (SELECT o_orderstatus, o_totalprice, o_orderdate, {_columns(PARTY)} FROM orders)\n" + "\nUNION ALL ".join(map(_pair_sql, catalog.pair_rules())))
 def pair_catalogue(t):
-    o = t("orders").withColumnRenamed("o_custkey", "project_no")
-    a = o.where("o_orderstatus = 'F'").groupBy("project_no").agg(F.max("o_orderdate").alias("field_a"))
-    b = o.where("o_orderstatus = 'O'").groupBy("project_no").agg(F.min("o_orderdate").alias("field_b"))
+    """Every rule of kind pair, between finished and open orders as two parties."""
+    o = t("orders").selectExpr("o_orderstatus", "o_totalprice", "o_orderdate", *[f"{e} AS {n}" for n, e in PARTY.items()])
     out = None
     for rule in catalog.pair_rules():
-        if rule.rule_id in ("CU-002", "CU-017"):
-            pairs = r.reconciled(a, b, rule)
-            part = pairs.where("severity is not null").groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("rule_id", F.lit(rule.rule_id))
-            out = part if out is None else out.unionByName(part)
+        a, b = (o.where(F.col("o_orderstatus") == status).groupBy(*rule.join_keys).agg(F.expr(_value(rule.rule_id, s)).alias(f"field_{s}")) for s, status in (("a", "F"), ("b", "O")))
+        part = r.reconciled(a, b, rule).where("severity is not null").groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("rule_id", F.lit(rule.rule_id))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -28,9 +28,9 @@ def sc3(t):
     return fs.scanned(tab.pages(t("documents"), "\n"))
 
 
-@query("sc5_joined_pages", "SELECT doc_id, string_agg('=== 第 ' || k || ' 页 ===' || chr(10) || s, chr(10) ORDER BY k) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE doc_id < 100) GROUP BY 1")
+@query("sc5_joined_pages", "SELECT doc_id, string_agg('=== 第 ' || k || ' 页 ===' || chr(10) || s, chr(10) ORDER BY k) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) GROUP BY 1")
 def sc5(t):
-    return fs.joined_pages(tab.pages(t("documents").where("doc_id < 100"), "\n"))
+    return fs.joined_pages(tab.pages(t("documents"), "\n"))
 
 
 @query("sc12_preview", "SELECT doc_id, substr(array_to_string(list_slice(string_split(text, chr(10)), 1, 5), chr(10)), 1, 300) AS preview FROM documents")
@@ -143,9 +143,9 @@ def pr17(t):
     return t("part").select("p_name", "p_brand", x.coerced(raw).alias("c")).select("p_name", "p_brand", "c.kind", "c.number").distinct()
 
 
-@query("pr12_chain", "SELECT o AS doc, count(*) AS n, avg(CASE WHEN abs(l - (e - b)) <= 30000 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT l_orderkey % 100 AS o, l_extendedprice AS l, l_quantity * 1500 AS e, l_linenumber AS b FROM lineitem) GROUP BY 1")
+@query("pr12_chain", "SELECT o AS doc, count(*) AS n, avg(CASE WHEN abs(l - (e - b)) <= 30000 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT l_orderkey AS o, l_extendedprice AS l, l_quantity * 1500 AS e, l_linenumber AS b FROM lineitem) GROUP BY 1")
 def pr12(t):
-    rows = t("lineitem").select((F.col("l_orderkey") % 100).alias("doc"), F.col("l_extendedprice").alias("l"), (F.col("l_quantity") * 1500).alias("e"), F.col("l_linenumber").alias("b"))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_extendedprice").alias("l"), (F.col("l_quantity") * 1500).alias("e"), F.col("l_linenumber").alias("b"))
     return tab.chain_holds(rows, "l", "e", "b", 30000 - 1e-9).select("doc", "n", "share")
 
 
@@ -183,7 +183,7 @@ def pr25(t):
 
 
 def _items(t):
-    li = t("lineitem").where("l_orderkey % 10 = 0")
+    li = t("lineitem")
     left, top = F.col("l_quantity") * 10, F.col("l_linenumber") * 20.0 + F.col("l_partkey") % 7
     return li.select(
         F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_partkey") * 100000 + F.col("l_extendedprice").cast("int") % 100000).alias("item"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"),
@@ -191,7 +191,7 @@ def _items(t):
 
 
 ITEMS = """WITH i AS (SELECT l_orderkey AS doc_id, l_partkey * 100000 + trunc(l_extendedprice)::BIGINT % 100000 AS item, l_returnflag || l_linenumber AS text, 1 - l_discount AS confidence,
-l_quantity * 10 AS x1, l_linenumber * 20.0 + l_partkey % 7 AS y1, l_quantity * 10 + 30 + l_suppkey % 40 AS x2, l_linenumber * 20.0 + l_partkey % 7 + 12 AS y2 FROM lineitem WHERE l_orderkey % 10 = 0)
+l_quantity * 10 AS x1, l_linenumber * 20.0 + l_partkey % 7 AS y1, l_quantity * 10 + 30 + l_suppkey % 40 AS x2, l_linenumber * 20.0 + l_partkey % 7 + 12 AS y2 FROM lineitem)
 """
 INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 AREAS = "(a.x2 - a.x1) * (a.y2 - a.y1)", "(b.x2 - b.x1) * (b.y2 - b.y1)"
@@ -255,9 +255,9 @@ def ly9(t):
     return lay.numbered_pages(t("orders").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), F.col("o_orderkey").cast("string").alias("text"))).drop("page")
 
 
-@query("ly10_edit_distance", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON substr(a.c_name, 1, 15) = substr(b.c_name, 1, 15) AND a.c_custkey < b.c_custkey WHERE a.c_custkey < 300 AND b.c_custkey < 300 AND levenshtein(a.c_name, b.c_name) <= 1")
+@query("ly10_edit_distance", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON substr(a.c_name, 1, length(a.c_name) - 1) = substr(b.c_name, 1, length(b.c_name) - 1) AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 1")
 def ly10(t):
-    cust = t("customer").where("c_custkey < 300").select("c_custkey", "c_name", F.substring("c_name", 1, 15).alias("block"))
+    cust = t("customer").select("c_custkey", "c_name", F.expr("substring(c_name, 1, length(c_name) - 1)").alias("block"))
     a, b = (cust.select("block", F.col("c_custkey").alias(n), F.col("c_name").alias(f"name_{n}")) for n in "ab")
     return a.join(b, "block").where((F.col("a") < F.col("b")) & (F.levenshtein("name_a", "name_b") <= 1)).select("a", "b")
 
@@ -274,9 +274,11 @@ def ly12(t):
 
 @query("ly13_filled")
 def ly13(t):
-    w = Window.partitionBy((F.col("o_custkey") % 10)).orderBy("o_orderkey")
-    rows = t("orders").select((F.col("o_custkey") % 10).alias("doc_id"), F.col("o_orderkey").alias("item"), F.when(F.col("o_orderkey") % 5 != 0, F.row_number().over(w)).cast("long").alias("id"), F.lit("").alias("text"))
-    return lay.filled_ids(rows).select("doc_id", "item", "inferred")
+    """The orders of a customer as a page of numbered rows: some numbers unread, some cut short."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    n = F.lit(430) + F.col("o_custkey") % 300 + F.row_number().over(w) * F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1)
+    text = F.when(F.col("o_orderkey") % 5 == 0, "").when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("Z"), F.substring(n.cast("string"), 1, 2))).when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("2"), n.cast("string"))).otherwise(F.concat(F.lit("Z"), n.cast("string")))
+    return lay.filled_ids(t("orders").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), F.col("o_orderkey").alias("item"), text.alias("text"))).select("doc_id", "item", "text", "inferred")
 
 
 @query("ly14_retry", ITEMS + ", k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, item) AS k FROM i WHERE confidence < 0.95) SELECT doc_id, item FROM k WHERE k <= 2")
