@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +51,46 @@ def sc7(t):
     return lines.select(_region(), "line", "text")
 
 
-@query("sc8_sheet_metadata", "SELECT n_regionkey AS region, count(*) AS n_rows FROM nation GROUP BY 1")
+def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Workbooks of one sheet: a number and a shared string in each row."""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    for batch in batches:
+        books = []
+        for rows in batch["rows"]:
+            strings = sorted({r["status"] for r in rows})
+            cells = "".join(f'<row r="{k}"><c r="A{k}"><v>{r["key"]}</v></c><c r="C{k}" t="s"><v>{strings.index(r["status"])}</v></c></row>' for k, r in enumerate(rows, 1))
+            made = io.BytesIO()
+            with zipfile.ZipFile(made, "w") as book:
+                book.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><t>{x}</t></si>" for x in strings) + "</sst>")
+                book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{cells}</sheetData></worksheet>")
+            books.append(made.getvalue())
+        yield pd.DataFrame({"path": batch["path"], "content": books})
+
+
+@query("sc8_sheet_rows", "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row, o_orderkey || '||' || o_orderstatus AS cells FROM orders")
+def sc8_rows(t):
+    """The orders of each customer as a workbook, read back."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))))
+    books = t("orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(rows.alias("rows")).mapInPandas(_workbooks, "path string, content binary")
+    return fs.extracted(books, "path string, sheet int, row int, cells array<string>", fs.sheet_rows).select("path", "row", F.array_join("cells", "|").alias("cells"))
+
+
+@query("sc8_sheet_metadata", "SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS n_rows, 3 AS n_columns FROM orders GROUP BY 1")
 def sc8(t):
-    return sc7(t).groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = sc8_rows(t)
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(F.split("cells", r"\|"))).alias("n_columns"))
+
+
+@query("sc9_boundary", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 > 0 THEN CAST(octet_length(encode(text)) AS INT) END AS n, CASE WHEN doc_id % 7 = 0 THEN 'ValueError: unreadable' END AS error FROM documents")
+def sc9(t):
+    """The boundary for libraries and services that aren't here (recognition, rasterising, vision, signatures, language models): a function that fails on some files."""
+    def extract(path: str, content: bytes) -> list[tuple]:
+        if int(path) % 7 == 0:
+            raise ValueError("unreadable")
+        return [(path, len(content))]
+
+    files = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
+    return fs.extracted(files, "path string, n int", extract, retries=1, keep_errors=True)
 
 
 @query("sc14_json_documents", "SELECT r_regionkey AS id, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE 'plain' END AS row FROM region")

@@ -63,15 +63,56 @@ def scanned(pages: DataFrame, sample: int = 3) -> DataFrame:
     return pages.where(F.col("page") <= sample).groupBy("doc_id").agg((F.avg(F.length("text")) < 10).alias("scanned"))
 
 
-def extracted(files: DataFrame, schema: str, extract: Callable[[str, bytes], list[tuple]]) -> DataFrame:
-    """What `extract(path, content)` gives for each file, as rows of schema: the place for OCR, PDF and Excel libraries."""
+def extracted(files: DataFrame, schema: str, extract: Callable[[str, bytes], list[tuple]], retries: int = 0, keep_errors: bool = False) -> DataFrame:
+    """What `extract(path, content)` gives for each file, as rows of schema: the place for OCR, PDF and vision libraries or services.
+
+    A call that raises is tried `retries` times more. keep_errors: a file that fails all the same gives one row
+    with its path, nulls, and `error`; otherwise the error ends the job. schema begins with path.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        for left in range(retries, -1, -1):
+            try:
+                return [(*row, None) for row in extract(path, content)]
+            except Exception as e:  # whatever a caller's library raises
+                if not left and not keep_errors:
+                    raise
+                error = f"{type(e).__name__}: {e}"
+        return [(path, *[None] * (len(names) - 1), error)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([row for p, c in zip(batch["path"], batch["content"]) for row in extract(p, c)], columns=names)
-
-    return files.select("path", "content").mapInPandas(run, schema)
+            yield pd.DataFrame([row for p, c in zip(batch["path"], batch["content"]) for row in rows_of(p, c)], columns=[*names, "error"], dtype=object)
+
+    made = files.select("path", "content").mapInPandas(run, schema + ", error string")
+    return made if keep_errors else made.drop("error")
+
+
+def sheet_rows(path: str, content: bytes) -> list[tuple]:
+    """(path, sheet, row, cells) of every row of an .xlsx workbook, for `extracted`: its parts are XML in a zip. Empty cells between others are empty strings."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    def texts(node) -> str:
+        return "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t"))
+
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = [texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if s.tag.endswith("}si")] if "xl/sharedStrings.xml" in names else []
+        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.findall("[0-9]+", n)[0])):
+            for row in (r for r in ElementTree.fromstring(book.read(name)).iter() if r.tag.endswith("}row")):
+                cells: list[str] = []
+                for c in row:
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                    value = next((v.text or "" for v in c if v.tag.endswith("}v")), "")
+                    cells += [""] * (at - len(cells)) + [shared[int(value)] if c.get("t") == "s" else texts(c) if c.get("t") == "inlineStr" else value]
+                out.append((path, int(re.findall("[0-9]+", name)[0]), int(row.get("r", len(out) + 1)), cells))
+    return out
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -111,9 +152,12 @@ def markdown_rows(columns: list[str]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "\\\\|"), F.lit("")) for c in columns]), F.lit(" |"))
 
 
-def html_report(summary: DataFrame, title: str) -> str:
-    """A page with the rows of a small aggregate."""
-    body = summary.toPandas().to_html(index=False, escape=True)
+def html_report(summary: DataFrame, title: str, most: int = 10_000) -> str:
+    """A page with the rows of an aggregate; an error beyond `most` rows."""
+    rows = summary.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
+    body = rows.to_html(index=False, escape=True)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1>{body}</body></html>"
 
 
