@@ -245,3 +245,11 @@ def test_clusters_of_chains_and_copies(spark):
         for least in (2, 3):
             assert {r.id: r.cluster for r in cluster.greedy(frame, threshold, least).collect()} == plain_greedy(sets, threshold, least)
             assert {r.id: r.cluster for r in cluster.dbscan(frame, threshold, least).collect()} == plain_dbscan(sets, threshold, least)
+
+
+def test_pairs_of_sets_at_the_threshold(spark):
+    sets = {k: {f"t{j}" for j in range(10)} - {f"t{j}" for j in range(k % 5)} | {f"u{k}_{j}" for j in range(k // 5)} for k in range(20)}
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    assert len({len(v) for v in sets.values()}) > 3 and any(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) == 0.7 for a, b in want)
+    assert {(r.a, r.b) for r in cluster.similar_pairs(frame, 0.7).collect()} == want
