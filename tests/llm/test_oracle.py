@@ -9,7 +9,7 @@ from veridale.llm import queries as q
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_query(spark, small, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     res = con.execute(q.ORACLE_SQL[name])
     columns = [d[0] for d in res.description]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, mixing, pii, quality, scratch, sharding, simhash, suffix, tokencount, urlfilter
+from . import chat, contamination, convtrie, langid, mixing, negatives, pii, quality, scratch, sharding, simhash, suffix, tokencount, urlfilter
 from .urlfilter import UrlRule
 from .words import unsigned_hex
 
@@ -74,7 +74,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_contamination": op6_contamination, "op7_url_filters": op7_url_filters, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts": op10_token_counts, "op3_sharding": op3_sharding, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_contamination": op6_contamination, "op7_url_filters": op7_url_filters, "op8_mixing": op8_mixing, "op9_quality_rules": op9_quality_rules,
+           "op11_conversation_trie": op11_conversation_trie, "op12_hard_negatives": op12_hard_negatives, "op13_language_id": op13_language_id}
 _MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
 _SAID = EXTRA_TURNS[0][3]
 _ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
@@ -111,5 +124,32 @@ m AS (SELECT page_id, node, h.host, h.path, max_by(r.host || r.path, length(r.ho
 c AS (SELECT r.a AS node, min(r.b) AS component, coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) AS passed FROM reach r LEFT JOIN m ON m.node = r.b GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN passed THEN 'block' END, 'allow') AS verdict, component FROM m LEFT JOIN c ON m.node = c.node"""
 
+#: Crc32 by its table of bytes; nodes by their digests joined.
+TRIE_SQL = """
+WITH bytes AS (SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS crcs FROM range(256) r(v)),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT *, sha256(length(role) || ':' || role || text) AS digest, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM t),
+own AS (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS k FROM g),
+c AS (SELECT conv_id, conv_id - ((conv_id % 20) + 20) % 20 AS family,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), bytes),
+both_parts AS (SELECT c.conv_id, k, digest, words FROM c JOIN own ON own.conv_id = c.family AND k <= h UNION ALL SELECT c.conv_id, k, digest, words FROM c JOIN own ON own.conv_id = c.conv_id AND k > h),
+p AS (SELECT conv_id, words, string_agg(digest, '') OVER w AS path, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS turns FROM both_parts WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+m AS (SELECT conv_id, words, path, depth, depth = turns AS last FROM p UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM p) FROM c),
+n AS (SELECT path, min(depth) AS depth, min(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM m GROUP BY path),
+d AS (SELECT n.path, n.conv_id, n.depth, n.n_convs, n.words, n.ends_sha256, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND starts_with(x.path, n.path)) AS n_children
+  FROM n LEFT JOIN n up ON n.depth > 0 AND up.path = left(n.path, greatest(length(n.path) - 64, 0)))
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM d a JOIN d b ON starts_with(b.path, a.path) GROUP BY ALL"""
+
+NEGATIVES_SQL = f"""
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE alike) WHERE k <= {negatives.N_POSITIVES}),
+n AS (SELECT p.a, p.b AS positive, p.score AS positive_score, s.b AS negative, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT s.alike WHERE {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score)
+SELECT a AS anchor_id, positive AS positive_id, CAST(k AS INT) AS rank, negative AS negative_id, positive_score, negative_score FROM n WHERE k <= {negatives.N_NEGATIVES}"""
+
 #: The others need hashes that SQL lacks, learned models or the tokenizer: tests hold them against plain versions.
-ORACLE_SQL = {"op2_chat": CHAT_SQL, "op7_url_filters": URL_SQL}
+ORACLE_SQL = {"op2_chat": CHAT_SQL, "op7_url_filters": URL_SQL, "op11_conversation_trie": TRIE_SQL, "op12_hard_negatives": NEGATIVES_SQL}
