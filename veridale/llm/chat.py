@@ -6,8 +6,8 @@ placeholder stands for in `attachments`. This is done turn by turn, before turns
 A conversation is one value of the result, so its turns meet in one row; nothing else is gathered.
 
 Template: `<|turn|>` role `<|text|>` text `<|end|>` for each turn. In roles and texts a backslash is
-doubled and `<|` becomes `<\\|`, so a mark never occurs in them, and dropping the backslash before
-each escaped character gives them back. `loss` has the spans (code points, end exclusive) of the
+doubled and every `|` becomes `\\|`. A mark needs a bar right after `<`, so none occurs in them, nor across the seam of two
+parts, and dropping the backslash before each escaped character gives them back. `loss` has the spans (code points, end exclusive) of the
 assistant's texts in the formatted string.
 
 Defined results: null texts and roles are empty; null, empty or unknown parts give no text (unknown
@@ -31,7 +31,7 @@ PIECE = "struct<piece:string,kind:string,ref:string,tokens:bigint>"
 
 
 def escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
 class PartVisitor:
@@ -91,7 +91,7 @@ def formatted(turns: DataFrame, visitor: PartVisitor | None = None) -> DataFrame
 
 
 def unescaped(text: str) -> str:
-    return "\\".join(p.replace("<\\|", "<|") for p in text.split("\\\\"))
+    return "\\".join(p.replace("\\|", "|") for p in text.split("\\\\"))
 
 
 def turns_of(text: str) -> list[tuple[str, str]]:

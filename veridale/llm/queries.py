@@ -90,7 +90,7 @@ QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op10_token_counts"
            "op11_conversation_trie": op11_conversation_trie, "op12_hard_negatives": op12_hard_negatives, "op13_language_id": op13_language_id}
 _MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
 _SAID = EXTRA_TURNS[0][3]
-_ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
+_ESCAPED = "replace(replace({}, '\\', '\\\\'), '|', '\\|')"
 
 CHAT_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')),
