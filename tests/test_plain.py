@@ -209,7 +209,34 @@ def ly13(got, **_):
 
 
 #: name -> plain version, columns to compare.
+def rv21_hash(small, spark, **_):
+    """Pictures of 8 x 8 at 32 x 32 by weights of neighbours, and every frequency by its own sum."""
+    import math
+    import statistics
+
+    def wide(values):
+        out = []
+        for k in range(32):
+            at = (k + 0.5) / 4 - 0.5
+            w = [max(0.0, 1 - abs(i - at)) for i in range(8)]
+            out.append(sum(x * y for x, y in zip(w, values)) / sum(w))
+        return out
+
+    cos = [[math.cos(math.pi * (2 * i + 1) * u / 64) for i in range(32)] for u in range(8)]
+    hashes, first = {}, {}
+    for r in sorted(spark.read.parquet(f"{small}/embeddings.parquet").collect()):
+        grey = [min(255, max(0, math.floor((x + 1) * 127.5))) for x in r.embedding]
+        rows = list(zip(*[wide(c) for c in zip(*[wide(grey[k * 8 : k * 8 + 8]) for k in range(8)])]))
+        rows = [[round(x) for x in row] for row in rows]
+        half = [[sum(c * x for c, x in zip(cos[v], row)) for row in rows] for v in range(8)]
+        low = [round(4 * sum(c * x for c, x in zip(cos[u], half[v])), 6) for u in range(8) for v in range(8)]
+        hashes[r.vec_id] = (r.label, int("".join("01"[x > statistics.median(low)] for x in low), 2))
+        first.setdefault(r.label, r.vec_id)
+    return {(i, label, f"{h:016x}", (h ^ hashes[first[label]][1]).bit_count()) for i, (label, h) in hashes.items() if i != first[label]}
+
+
 PLAIN = {
+    "rv21_hash": (rv21_hash, lambda r: (r.id, r.signer, r.hash, r.hash_distance)),
     "lc15_jaccard": (lc15, lambda r: (r.a, r.b, round(r.similarity, 9))), "lc19_dbscan": (lc19, lambda r: (r.id, r.cluster)), "lc20_greedy": (lc20, lambda r: (r.id, r.cluster)),
     "lc24_analysis": (lc24, lambda r: (r.cluster, r.n, tuple(r.ids))), "pr19_generic_rows": (pr19, lambda r: (r.doc_id, r.page, r.line_no, tuple(sorted(r.cells.items())))),
     "ly4_without_overlaps": (ly4, lambda r: (r.doc_id, r["item"])), "ly5_text_rows": (ly5, lambda r: (r.doc_id, r["item"], r.text_row)), "ly13_filled": (ly13, lambda r: (r.doc_id, r["item"], r.inferred)),

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import numbering
+
 TYPES = ("audit_completed", "feedback_received", "rule_transitioned", "rule_proposed", "report_generated", "reflection_completed")
 
 
 def numbered(events: DataFrame, prefix: str, last: DataFrame | None = None) -> DataFrame:
-    """events (date, ts, ..) with event_id <prefix>-<yyyymmdd>-NNN, dense per day after the last number of the day.
-
-    A day's numbers come from one ordering of that day's new events.
-    """
-    k = F.row_number().over(Window.partitionBy("date").orderBy("ts", *[c for c in events.columns if c not in ("date", "ts")]))
-    out = events.withColumn("_k", k)
+    """events (date, ts, ..) with event_id <prefix>-<yyyymmdd>-NNN, dense per day after the last number of the day, in the order of ts and the other columns."""
+    out = numbering.numbered(events, ["date"], ["ts", *[c for c in events.columns if c not in ("date", "ts")]], "_k")
     if last is not None:
         out = out.join(last.select("date", "last_number"), "date", "left").withColumn("_k", F.col("_k") + F.coalesce("last_number", F.lit(0))).drop("last_number")
     name = F.concat(F.lit(prefix + "-"), F.date_format("date", "yyyyMMdd"), F.lit("-"), F.when(F.col("_k") < 1000, F.lpad(F.col("_k").cast("string"), 3, "0")).otherwise(F.col("_k").cast("string")))

@@ -9,6 +9,7 @@ structs; only violations are exploded. Documents against each other: one full ou
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +138,29 @@ def reconciled(a: DataFrame, b: DataFrame, rule: Rule) -> DataFrame:
     return pairs.withColumn("side", side).withColumn("deviation", percent).withColumn("severity", severity).select("key", "field_a", "field_b", "deviation", "side", "severity")
 
 
+def reconciled_together(a: DataFrame, b: DataFrame, rules: list[Rule], of_a: Callable[[Rule], str], of_b: Callable[[Rule], str]) -> DataFrame:
+    """rule_id, key, side, severity of every finding of all rules between two parties, from one pass over each.
+
+    of_a, of_b: the aggregate (SQL) that a side's value for a key is. Each row is given one key for each different list of join keys, and
+    all values of all keys come from one aggregate that is combined before its shuffle; a key's two sides meet there, so
+    nothing is joined. The rules of a list are then evaluated together.
+    """
+    lists = list(dict.fromkeys(r.join_keys for r in rules))
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("list"), key_of(names).alias("key")) for k, names in enumerate(lists)]))
+    both = a.withColumn("_in_a", F.lit(True)).unionByName(b.withColumn("_in_a", F.lit(False)), allowMissingColumns=True).withColumn("_k", keys)
+    values = list(dict.fromkeys([f"{of_a(r)} FILTER (WHERE _in_a)" for r in rules] + [f"{of_b(r)} FILTER (WHERE NOT _in_a)" for r in rules]))
+    made = both.groupBy("_k.list", "_k.key").agg(F.bool_or("_in_a").alias("has_a"), F.bool_or(~F.col("_in_a")).alias("has_b"), *[F.expr(v).alias(f"v{k}") for k, v in enumerate(values)])
+    side = F.when(~F.col("has_b"), "a").when(~F.col("has_a"), "b").otherwise("both")
+    found = []
+    for r in rules:
+        names = {"field_a": f"v{values.index(f'{of_a(r)} FILTER (WHERE _in_a)')}", "field_b": f"v{values.index(f'{of_b(r)} FILTER (WHERE NOT _in_a)')}"}
+        check = re.sub(r"\bfield_[ab]\b", lambda m, names=names: names[m[0]], r.check)
+        severity = F.when(F.col("side") != "both", "Best Practice").when(~holds(check), r.severity)
+        found.append(F.when((F.col("list") == lists.index(r.join_keys)) & severity.isNotNull(), F.struct(F.lit(r.rule_id).alias("rule_id"), severity.alias("severity"))))
+    each = made.withColumn("side", side).select("key", "side", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return each.select("f.rule_id", "key", "side", "f.severity")
+
+
 def report(violations: DataFrame) -> DataFrame:
     """part (total, level, severity), name, n, zero-filled, from one pass of grouping sets."""
     spark = violations.sparkSession

@@ -11,6 +11,7 @@ from ..operators import events as ev
 from ..operators import graph as g
 from ..operators import lifecycle as lc
 from ..operators import review as rv
+from ..operators import signature as sg
 from .registry import query
 
 RESULT = "CASE event_type WHEN 'view' THEN 'pass' WHEN 'signup' THEN 'needs_ai' WHEN 'click' THEN 'not_applicable' WHEN 'error' THEN 'fail' ELSE 'suspicious' END"
@@ -119,6 +120,34 @@ def rv21(t):
     return cl.against_first(v, 0.85, 0.70).select("id", "label", F.round(F.col("similarity").cast("decimal(18,8)"), 6).cast("double").alias("similarity"))
 
 
+GREY = "CAST(least(greatest(floor((CAST(x AS DOUBLE) + 1) * 127.5), 0), 255) AS {0})"
+
+
+def _pictures(t):
+    """Embeddings of 64 numbers as grey pictures of 8 x 8."""
+    grey = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)))
+    pixels = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    return t("embeddings").where("size(embedding) = 64").select(F.col("vec_id").alias("id"), F.col("label").alias("signer"), F.lit(8).alias("width"), F.lit(8).alias("height"), pixels.alias("pixels"))
+
+
+@query("rv21_structure", f"""WITH g AS (SELECT vec_id AS id, label AS signer, list_transform(embedding, lambda x: {GREY.format("DOUBLE")}) AS p FROM embeddings WHERE len(embedding) = 64),
+f AS (SELECT signer, arg_min(p, id) AS q, min(id) AS first_id FROM g GROUP BY 1),
+w AS (SELECT r, c FROM range(2) a(r), range(2) b(c)), o AS (SELECT i, j FROM range(7) a(i), range(7) b(j)),
+v AS (SELECT id, g.signer, r, c, p[(r + i) * 8 + c + j + 1] AS x, q[(r + i) * 8 + c + j + 1] AS y FROM g JOIN f ON g.signer = f.signer AND id <> first_id, w, o),
+m AS (SELECT id, signer, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM v GROUP BY id, signer, r, c),
+s AS (SELECT id, signer, avg((2 * mx * my + 6.5025) * (2 * cxy + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) AS s FROM m GROUP BY 1, 2)
+SELECT id, signer, CAST(round(CAST(s AS DECIMAL(18,8)), 6) AS DOUBLE) AS similarity, CASE WHEN s >= 0.85 THEN 'pass' WHEN s >= 0.70 THEN 'suspect' ELSE 'forged' END AS verdict FROM s""")
+def rv21_structure(t):
+    """By structural similarity at the pictures' own size."""
+    return sg.compared(_pictures(t), None, None).select("id", "signer", F.round(F.col("similarity").cast("decimal(18,8)"), 6).cast("double").alias("similarity"), "verdict")
+
+
+@query("rv21_hash")
+def rv21_hash(t):
+    """By perceptual hash."""
+    return sg.compared(_pictures(t), None, None).select("id", "signer", "hash", "hash_distance")
+
+
 @query("rv24_verify_tasks", "SELECT user_id AS doc_id, event_id AS suspect, 'VERIFY-' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS VARCHAR), 3, '0') AS task FROM events WHERE event_type = 'error'")
 def rv24(t):
     return rv.verify_tasks(t("events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("suspect")))

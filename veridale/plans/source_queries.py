@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import review as rv
 from ..sources import files as fs
+from ..sources.pdf import PdfPages
 from ..sources.scratch import new_folder
 from .registry import query
 
@@ -72,7 +75,7 @@ def sc8_rows(t):
     """The orders of each customer as a workbook, read back."""
     rows = F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))))
     books = t("orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(rows.alias("rows")).mapInPandas(_workbooks, "path string, content binary")
-    return fs.extracted(books, "path string, sheet int, row int, cells array<string>", fs.sheet_rows).select("path", "row", F.array_join("cells", "|").alias("cells"))
+    return fs.extracted(books, "path string, sheet int, row int, cells array<string>, name string", fs.sheet_rows).select("path", "row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("sc8_sheet_metadata", "SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS n_rows, 3 AS n_columns FROM orders GROUP BY 1")
@@ -81,6 +84,81 @@ def sc8(t):
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(F.split("cells", r"\|"))).alias("n_columns"))
 
 
+LINES = 10
+PAGES = f"""l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+p AS (SELECT doc_id, CAST(k + 1 AS INT) AS page, CAST((len(s) + {LINES - 1}) // {LINES} AS INT) AS n_pages, array_to_string(s[k * {LINES} + 1 : (k + 1) * {LINES}], chr(10)) AS text FROM (SELECT *, unnest(range((len(s) + {LINES - 1}) // {LINES})) AS k FROM l))"""
+
+
+def pdf_bytes(pages: list[list[str]]) -> bytes:
+    """A PDF with these lines on its pages, in a font whose codes are UTF-16."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    bodies = [b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type0/BaseFont/F/Encoding/Identity-H/ToUnicode 4 0 R>>", b"<</Length %d>>stream\n%s\nendstream" % (len(cmap), cmap)]
+    for lines in pages:
+        ops = zlib.compress(b"BT /F 10 Tf 12 TL " + b" T* ".join(b"<%s> Tj" % x.encode("utf-16-be", "surrogatepass").hex().encode() for x in lines) + b" ET", 1)
+        bodies += [b"<</Type/Page/Parent 2 0 R/Resources<</Font<</F 3 0 R>>>>/Contents %d 0 R>>" % (len(bodies) + 2), b"<</Filter/FlateDecode/Length %d>>stream\n%s\nendstream" % (len(ops), ops)]
+    bodies[1] = b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages))))
+    out, places = bytearray(b"%PDF-1.5\n"), []
+    for k, body in enumerate(bodies, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(bodies) + 1, table, len(bodies) + 1, len(out))
+
+
+def _pdfs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        lines = [x.split("\n") for x in batch["text"]]
+        yield pd.DataFrame({"name": batch["name"], "content": [pdf_bytes([x[k : k + LINES] for k in range(0, len(x), LINES)]) for x in lines]})
+
+
+def _pdf_pages(t, **options: str) -> DataFrame:
+    """The documents as PDF files, LINES lines a page, read back."""
+    d = t("documents")
+    to = folder(d)
+    files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_pdfs, "name string, content binary")
+    fs.saved(files, to).count()
+    d.sparkSession.dataSource.register(PdfPages)
+    pages = d.sparkSession.read.format("pdf_pages").options(path=to, **options).load()
+    return pages.select(F.regexp_extract("path", r"([0-9]+)\.pdf$", 1).cast("long").alias("doc_id"), "page", "n_pages", "text")
+
+
+@query("sc5_pdf_pages", f"WITH {PAGES} SELECT * FROM p")
+def sc5_pdf(t):
+    return _pdf_pages(t)
+
+
+@query("sc5_pdf_range", f"WITH {PAGES} SELECT doc_id, string_agg('=== 第 ' || page || ' 页 ===' || chr(10) || text, chr(10) ORDER BY page) AS text FROM p WHERE page BETWEEN 2 AND 3 GROUP BY 1")
+def sc5_range(t):
+    """Pages 2 and 3 of each file, joined under their marks; large files in shares."""
+    return fs.joined_pages(_pdf_pages(t, pageRange="2-3", splitBytes="4096"))
+
+
+@query("sc2_pdf_sniff", f"WITH {PAGES} SELECT doc_id, max(n_pages) AS n_pages, avg(length(text)) < 10 AS scanned FROM p WHERE page <= 3 GROUP BY 1")
+def sc2_pdf(t):
+    """Number of pages, and whether a file has next to no text on its first ones."""
+    pages = _pdf_pages(t, pageRange="1-3")
+    return pages.groupBy("doc_id").agg(F.max("n_pages").alias("n_pages")).join(fs.scanned(pages), "doc_id")
+
+
+def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for batch in batches:
+        made = []
+        for text in batch["text"]:
+            with zipfile.ZipFile(out := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+                z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+            made.append(out.getvalue())
+        yield pd.DataFrame({"path": batch["path"], "content": made})
+
+
+@query("sc7_docx", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS paragraph, text FROM l WHERE trim(text) <> ''")
+def sc7_docx(t):
+    """The documents as word-processor files, a paragraph a line, read back."""
+    files = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_docx, "path string, content binary")
+    return fs.extracted(files, "path string, paragraph int, text string", fs.docx_paragraphs).select(F.col("path").cast("long").alias("doc_id"), "paragraph", "text")
+
+
 @query("sc9_boundary", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 > 0 THEN CAST(octet_length(encode(text)) AS INT) END AS n, CASE WHEN doc_id % 7 = 0 THEN 'ValueError: unreadable' END AS error FROM documents")
 def sc9(t):
     """The boundary for libraries and services that aren't here (recognition, rasterising, vision, signatures, language models): a function that fails on some files."""

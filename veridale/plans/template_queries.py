@@ -66,12 +66,9 @@ WHERE in_a IS NULL OR in_b IS NULL OR NOT coalesce({_in_duckdb(x.check)}, true)
 def pair_catalogue(t):
     """Every rule of kind pair, between finished and open orders as two parties."""
     o = t("orders").selectExpr("o_orderstatus", "o_totalprice", "o_orderdate", *[f"{e} AS {n}" for n, e in PARTY.items()])
-    out = None
-    for rule in catalog.pair_rules():
-        a, b = (o.where(F.col("o_orderstatus") == status).groupBy(*rule.join_keys).agg(F.expr(_value(rule.rule_id, s)).alias(f"field_{s}")) for s, status in (("a", "F"), ("b", "O")))
-        part = r.reconciled(a, b, rule).where("severity is not null").groupBy("severity").agg(F.count(F.lit(1)).alias("n")).withColumn("rule_id", F.lit(rule.rule_id))
-        out = part if out is None else out.unionByName(part)
-    return out
+    a, b = (o.where(F.col("o_orderstatus") == status) for status in "FO")
+    found = r.reconciled_together(a, b, catalog.pair_rules(), lambda x: _value(x.rule_id, "a"), lambda x: _value(x.rule_id, "b"))
+    return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tp_chain", "SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE NOT (o_orderdate <= a AND a <= b)")

@@ -1,7 +1,7 @@
 """Readers and writers: files as DataFrames, JSON and JSON-lines stores, previews and reports.
 
-Formats that need a model or a library that isn't there (images, PDF, Excel) come in through a function
-given by the caller, run batch by batch in tasks with mapInPandas.
+PDF pages are a data source of their own (`sources.pdf`); workbooks and word-processor files are read here. What needs a model or
+a library that isn't there comes in through a function given by the caller, run batch by batch in tasks with mapInPandas.
 """
 
 from __future__ import annotations
@@ -89,8 +89,56 @@ def extracted(files: DataFrame, schema: str, extract: Callable[[str, bytes], lis
     return made if keep_errors else made.drop("error")
 
 
+def saved(contents: DataFrame, folder: str) -> DataFrame:
+    """path of each file written to the folder from (name, content), by the tasks that hold them. A file is put in its place whole, so a task that runs again does no harm."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from .pdf import file_system
+
+        system, to = file_system(folder)
+        system.create_dir(to)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                part = f"{to}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content)
+                system.move(part, f"{to}/{name}")
+            yield pd.DataFrame({"path": to + "/" + batch["name"]})
+
+    return contents.select("name", "content").mapInPandas(put, "path string")
+
+
+def docx_paragraphs(path: str, content: bytes) -> list[tuple]:
+    """(path, paragraph, text) of the paragraphs of a .docx document with text, for `extracted`; tabs and breaks as characters."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    out = []
+    for p in (x for x in body.iter() if x.tag.endswith("}p")):
+        kinds = {"t": None, "tab": "\t", "br": "\n", "cr": "\n"}
+        runs = [(x.tag.rpartition("}")[2], x.text or "") for r in p.iter() if r.tag.endswith("}r") for x in r]
+        text = "".join(kinds[k] or said for k, said in runs if k in kinds)
+        if text.strip():
+            out.append((path, len(out) + 1, text))
+    return out
+
+
+#: Number formats that are dates or times; fixed values.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
 def sheet_rows(path: str, content: bytes) -> list[tuple]:
-    """(path, sheet, row, cells) of every row of an .xlsx workbook, for `extracted`: its parts are XML in a zip. Empty cells between others are empty strings."""
+    """(path, sheet, row, cells, name) of every row with a value of an .xlsx workbook, for `extracted`: its parts are XML in a zip.
+
+    Sheets are numbered in the order of the workbook. Empty cells between others are empty strings; numbers in a date format are ISO dates or times;
+    formulas count as the value they had; truth values are TRUE and FALSE.
+    """
+    import datetime
     import io
     import re
     import zipfile
@@ -99,19 +147,43 @@ def sheet_rows(path: str, content: bytes) -> list[tuple]:
     def texts(node) -> str:
         return "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t"))
 
+    def date(number: float) -> str:
+        if number < 1:
+            return (datetime.datetime(1900, 1, 1) + datetime.timedelta(seconds=round(number * 86400))).strftime("%H:%M:%S")
+        day = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=int(number), seconds=round(number % 1 * 86400))
+        return day.strftime("%Y-%m-%d" if number % 1 == 0 else "%Y-%m-%d %H:%M:%S")
+
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = [texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if s.tag.endswith("}si")] if "xl/sharedStrings.xml" in names else []
-        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.findall("[0-9]+", n)[0])):
-            for row in (r for r in ElementTree.fromstring(book.read(name)).iter() if r.tag.endswith("}row")):
+        names = set(book.namelist())
+        part = lambda name: ElementTree.fromstring(book.read(name)) if name in names else ElementTree.Element("none")
+        shared = [texts(s) for s in part("xl/sharedStrings.xml") if s.tag.endswith("}si")]
+        styles = part("xl/styles.xml")
+        own = {int(f.get("numFmtId")) for f in styles.iter() if f.tag.endswith("}numFmt") and re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^]]*\]|\\.', "", f.get("formatCode", "").lower()))}
+        dated = {k for xfs in styles if xfs.tag.endswith("}cellXfs") for k, f in enumerate(xfs) if int(f.get("numFmtId", 0)) in DATE_FORMATS | own}
+        targets = {r.get("Id"): "xl/" + r.get("Target", "").removeprefix("/xl/") for r in part("xl/_rels/workbook.xml.rels")}
+        listed = [(s.get("name", ""), next((targets.get(v) for k, v in s.attrib.items() if k.endswith("}id")), None)) for s in part("xl/workbook.xml").iter() if s.tag.endswith("}sheet")]
+        sheets = [(n, t) for n, t in listed if t in names] or [("", n) for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.findall("[0-9]+", n)[0]))]
+        for number, (name, target) in enumerate(sheets, 1):
+            last = 0
+            for row in (r for r in part(target).iter() if r.tag.endswith("}row")):
+                last = int(row.get("r", last + 1))
                 cells: list[str] = []
-                for c in row:
+                for c in (c for c in row if c.tag.endswith("}c")):
                     letters = re.match("[A-Z]*", c.get("r", ""))[0]
                     at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
-                    value = next((v.text or "" for v in c if v.tag.endswith("}v")), "")
-                    cells += [""] * (at - len(cells)) + [shared[int(value)] if c.get("t") == "s" else texts(c) if c.get("t") == "inlineStr" else value]
-                out.append((path, int(re.findall("[0-9]+", name)[0]), int(row.get("r", len(out) + 1)), cells))
+                    value, kind = next((v.text or "" for v in c if v.tag.endswith("}v")), ""), c.get("t", "n")
+                    if kind == "s" and value:
+                        value = shared[int(value)]
+                    elif kind == "inlineStr":
+                        value = texts(c)
+                    elif kind == "b" and value:
+                        value = "TRUE" if value == "1" else "FALSE"
+                    elif kind == "n" and value and int(c.get("s", 0)) in dated:
+                        value = date(float(value))
+                    cells += [""] * (at - len(cells)) + [value]
+                if any(cells):
+                    out.append((path, number, last, cells, name))
     return out
 
 
