@@ -274,6 +274,25 @@ def test_clusters_of_chains_and_copies(spark):
             assert {r.id: r.cluster for r in cluster.dbscan(frame, threshold, least).collect()} == plain_dbscan(sets, threshold, least)
 
 
+def test_greedy_by_batches_and_by_rounds(spark, monkeypatch):
+    """A chain of 2,000 sets, in one batch; the same in rounds, shorter."""
+    def chain(n):
+        return {k: {f"c{j}" for j in range(k, k + 4)} for k in range(n)} | {n + k: {f"d{j}" for j in range(k % 7, k % 7 + 5)} for k in range(40)}
+
+    frame = lambda sets: spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    real = cluster._between
+    monkeypatch.setattr(cluster, "_between", lambda *a: (real(*a), spark.sparkContext.setJobGroup("greedy", "greedy"))[0])
+    long = chain(2000)
+    assert {r.id: r.cluster for r in cluster.greedy(frame(long), 0.6, 2).collect()} == plain_greedy(long, 0.6, 2)
+    jobs = tracker.getJobIdsForGroup("greedy")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(jobs) < 20
+    monkeypatch.setattr(cluster, "BATCH", 12)
+    short = chain(20)
+    assert {r.id: r.cluster for r in cluster.greedy(frame(short), 0.6, 2).collect()} == plain_greedy(short, 0.6, 2)
+
+
 def test_pairs_of_sets_at_the_threshold(spark):
     sets = {k: {f"t{j}" for j in range(10)} - {f"t{j}" for j in range(k % 5)} | {f"u{k}_{j}" for j in range(k // 5)} for k in range(20)}
     frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import cluster as cl
 from ..operators import events as ev
+from ..operators import folds
 from ..operators import graph as g
 from ..operators import lifecycle as lc
 from ..operators import review as rv
 from ..operators import signature as sg
+from ..sources import store
+from ..sources.scratch import new_folder
+from ..streaming import trials
 from .registry import query
 
 RESULT = "CASE event_type WHEN 'view' THEN 'pass' WHEN 'signup' THEN 'needs_ai' WHEN 'click' THEN 'not_applicable' WHEN 'error' THEN 'fail' ELSE 'suspicious' END"
@@ -310,6 +314,37 @@ def lc26(t):
     return _stats(t)
 
 
+@query("lc26_incremental", STATS + "SELECT * FROM s")
+def lc26_incremental(t):
+    """The same statistics, folded in three runs as the logs come in."""
+    e = t("events")
+    hits = e.where("event_type in ('view', 'click') and event_id % 12 <> 3").select(F.lit("hit").alias("kind"), F.expr("concat('R', event_id % 12)").alias("rule_id"), F.col("user_id").cast("string").alias("audit_id"), "ts")
+    false = _feedback(t).where("type = 'false_positive' and rule_id is not null").select(F.lit("false_positive").alias("kind"), "rule_id", F.lit(None).cast("string").alias("audit_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = hits.unionByName(false).withColumn("ts", F.col("ts").cast("timestamp"))
+    to, spark = new_folder(e.sparkSession), e.sparkSession
+    for k in range(3):
+        store.append(rows.where(F.coalesce(F.dayofmonth("ts"), F.lit(0)) % 3 == k), f"{to}/log", f"day {k}")
+        folds.fold(spark, f"{to}/log", f"{to}/stats")
+    return folds.stats(spark, f"{to}/stats")
+
+
+@query("lc32_announced", """WITH e AS (SELECT 'R' || event_id % 12 AS rule_id, user_id AS project, event_id % 5 AS hits, CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END AS fp, ts, event_id FROM events WHERE ts IS NOT NULL),
+k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rule_id, project ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM e),
+w AS (SELECT rule_id, ts, event_id, sum(hits) OVER o AS hits, sum(fp) OVER o AS false_positives, sum(fresh) OVER o AS projects FROM k WINDOW o AS (PARTITION BY rule_id ORDER BY ts, event_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) AS k FROM w WHERE projects >= 3 AND (false_positives < 0.1 * hits OR hits = 0))
+SELECT rule_id, ts AS at, CAST(hits AS BIGINT) AS hits, CAST(false_positives AS BIGINT) AS false_positives, CAST(projects AS BIGINT) AS projects FROM f WHERE k = 1""")
+def lc32_announced(t):
+    """Tests in the order of time, in four files that the stream takes one by one."""
+    e = t("events")
+    spark, to = e.sparkSession, new_folder(e.sparkSession)
+    tests = e.select(F.col("event_id").alias("test_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('R', event_id % 12)").alias("rule_id"), F.col("user_id").cast("string").alias("project"), (F.col("event_id") % 5).alias("hits"), F.when(F.col("event_id") % 40 == 0, 1).otherwise(0).cast("long").alias("false_positives"))
+    quarter = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for k in range(4):
+        tests.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{to}/tests")
+    stream = spark.readStream.schema(tests.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/tests")
+    return trials.run(stream, to)
+
+
 @query("lc27_low_activity", STATS + "SELECT rule_id, reviews FROM s WHERE reviews >= 10 AND hit_rate < 2.5")
 def lc27(t):
     return lc.low_activity(_stats(t), 10, 2.5).select("rule_id", "reviews")

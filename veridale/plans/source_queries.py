@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import review as rv
 from ..sources import files as fs
+from ..sources import store
 from ..sources.pdf import PdfPages
 from ..sources.scratch import new_folder
 from .registry import query
@@ -225,6 +226,19 @@ def sc20(t):
     return fs.json_lines(e.sparkSession, to, "event_id long, date date").groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sc20_exactly_once", "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1")
+def sc20_once(t):
+    """Events in two batches, each sent twice, and an attempt that dies before its entry."""
+    e = t("events").select(F.to_date("ts").alias("date"), "event_id")
+    to = folder(e)
+    for batch in ("even", "odd"):
+        part = e.where(F.col("event_id") % 2 == int(batch == "odd"))
+        store.stage(part, to)
+        store.append(part, to, batch)
+        store.append(part, to, batch)
+    return store.read(e.sparkSession, to, "event_id long, date date").groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("rv22_verify_path", "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'agent' WHEN r_regionkey < 3 THEN 'api' ELSE 'enhance' END AS path FROM region")
 def rv22(t):
     agent, api, rest = rv.verify_path(True, True), rv.verify_path(False, True), rv.verify_path(False, False)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG = "batch string, attempt string"
+#: Times to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class Folder:
@@ -72,7 +74,7 @@ def entries(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
 def stage(rows: DataFrame, folder: str) -> str:
     """Writes the rows of an attempt and gives its name. Until it is committed, nobody reads them."""
     attempt = uuid.uuid4().hex
-    rows.write.json(f"{folder.rstrip('/')}/data/{attempt}")
+    rows.write.options(**TIMES).json(f"{folder.rstrip('/')}/data/{attempt}")
     return attempt
 
 
@@ -100,7 +102,7 @@ def read(spark: SparkSession, folder: str, schema: str, after: int = 0, upto: in
     attempts = [a for n, _, a in entries(spark, folder) if n > after and (upto is None or n <= upto)]
     if not attempts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json([f"{folder.rstrip('/')}/data/{a}" for a in attempts])
+    return spark.read.schema(schema).options(**TIMES).json([f"{folder.rstrip('/')}/data/{a}" for a in attempts])
 
 
 def swept(spark: SparkSession, folder: str) -> int:
