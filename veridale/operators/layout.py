@@ -94,15 +94,25 @@ def table_text(rows: DataFrame, separator: str = "  ") -> DataFrame:
     return line.groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_list(F.struct("text_row", "line")))["line"], "\n").alias("text"))
 
 
-def located_column(items: DataFrame, headers: list[str]) -> DataFrame:
-    """doc_id, page, left, right: the leftmost item that matches the first header pattern that any does, widened by 20 % and 40 %."""
+def located_column(items: DataFrame, headers: list[str], short: str | None = None, width: float | None = None) -> DataFrame:
+    """doc_id, page, left, right: the leftmost item that matches the first header pattern that any does, widened by 20 % and 40 %.
+
+    short: a text that marks the column where no header is found: the leftmost item that holds it, has 4 characters at most (blanks aside)
+    and its centre in the left half of the page, `width` wide. With a width, the column is kept on the page.
+    """
     rank = F.lit(None).cast("int")
+    if short is not None:
+        near = F.col("text").contains(short) & (F.length(F.replace("text", F.lit(" "))) <= 4) & ((F.col("x1") + F.col("x2")) / 2 < width * 0.5)
+        rank = F.when(near, len(headers))
     for k, pattern in reversed([*enumerate(headers)]):
         rank = F.when(F.col("text").rlike(pattern), k).otherwise(rank)
     first = Window.partitionBy(*PAGE).orderBy("_rank", "x1", "item")
     found = items.withColumn("_rank", rank).where("_rank is not null").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    width = F.col("x2") - F.col("x1")
-    return found.select(*PAGE, (F.col("x1") - 0.2 * width).alias("left"), (F.col("x2") + 0.4 * width).alias("right"))
+    wide = F.col("x2") - F.col("x1")
+    left, right = F.col("x1") - 0.2 * wide, F.col("x2") + 0.4 * wide
+    if width is not None:
+        left, right = F.greatest(F.lit(0.0), left), F.least(F.lit(float(width)), right)
+    return found.select(*PAGE, left.alias("left"), right.alias("right"))
 
 
 def in_column(items: DataFrame, column: DataFrame) -> DataFrame:
@@ -125,6 +135,24 @@ def corrected_id(text: Column) -> Column:
     return F.regexp_replace(c, "^([0-2]?[0-9])[.; ]([0-5][0-9])$", "$1:$2")
 
 
+#: Letters that are read for digits in elevations; fixed values.
+LETTERS, DIGITS = "IlSBO", "11580"
+
+
+def corrected_text(text: Column, id_column: bool | Column = False) -> Column:
+    """What a cell must be by its form: in the id column an id whose Z was read as 2, with a trailing 0 or O for D or the Z lost; elsewhere too
+    an elevation with letters for digits or a comma, and a time with another mark."""
+    d = lambda c: F.when(c.isin("O", "0", "o"), "D").when(c.isin("I", "l"), "").otherwise(c)
+    t = F.btrim(text)
+    mended = t
+    for pattern in ("^2([4-9][0-9]{1,2})([A-DI-Z0Oo]?)$", "^2[.,;:-]([4-9][0-9]{1,2})([A-DI-Z0Oo]?)$"):
+        mended = F.when(mended.rlike(pattern), F.concat(F.lit("Z"), F.regexp_extract(mended, pattern, 1), d(F.regexp_extract(mended, pattern, 2)))).otherwise(mended)
+    mended = F.regexp_replace(F.regexp_replace(mended, "^(Z[4-9][0-9]{1,2})[0Oo]$", "$1D"), "^([4-9][0-9]{1,2})$", "Z$1")
+    t = F.when(F.lit(id_column) if isinstance(id_column, bool) else id_column, mended).otherwise(t)
+    t = F.when(t.rlike("^2[0-9IlSBO]{3}[.,][0-9IlSBO]{1,3}$"), F.translate(t, LETTERS + ",", DIGITS + ".")).otherwise(t)
+    return F.regexp_replace(t, "^([0-9]{2})[:;.-]([0-9]{2})$", "$1:$2")
+
+
 #: A row id that is whole; what may be one that isn't. Fixed values.
 WHOLE_ID, ID_LIKE = "^Z[4-9][0-9]{1,2}[A-D]?$", "^[Z2\\d.,;:\\-A-Da-d]+$"
 

@@ -94,7 +94,7 @@ def prefix_confusion(ids: DataFrame, first: str, second: str) -> DataFrame:
     share = F.avg(F.col("id").startswith(first).cast("double")).over(everywhere)
     n = F.count(F.lit(1)).over(everywhere)
     odd = ids.withColumn("share", share).withColumn("n", n).where((F.col("n") >= 3) & (F.col("share") > 0.5) & F.col("id").startswith(second))
-    return odd.select("doc", "row", "id", F.concat(F.lit(first), F.substring("id", len(second) + 1, 1000)).alias("suspected"), F.when(F.col("share") > 0.7, "high").otherwise("medium").alias("confidence"))
+    return odd.select("doc", "row", "id", F.concat(F.lit(first), F.expr(f"substring(id, {len(second) + 1})")).alias("suspected"), F.when(F.col("share") > 0.7, "high").otherwise("medium").alias("confidence"))
 
 
 #: Digits that are taken for one another, by the side of the range that the value is out at.

@@ -65,16 +65,44 @@ def rule_details(violations: DataFrame) -> DataFrame:
     return violations.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).orderBy(F.desc("hits"), "rule_id")
 
 
-def verify_path(has_agent: bool, has_api: bool, forced: str | None = None) -> str:
-    return forced or ("agent" if has_agent else "api" if has_api else "enhance")
+def verify_path(has_agent: Column, has_api: Column, forced: Column | None = None) -> Column:
+    """How a task is verified: as forced, else by an agent, else by a service, else by enhancing the picture."""
+    path = F.when(has_agent, "agent").when(has_api, "api").otherwise("enhance")
+    return path if forced is None else F.coalesce(forced, path)
+
+
+#: Characters of the grams that texts meet on.
+GRAM = 3
+
+
+def _meetings(longer: DataFrame, shorter: DataFrame, key: str) -> DataFrame:
+    """doc_id, suspect, item where the shorter text may be in the longer: its first GRAM characters (or all, if fewer) are a gram of that. Both: doc_id, `key` or the other id, t."""
+    starts = F.sequence(F.lit(1), F.length("t"))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda n: F.transform(F.filter(starts, lambda i: i + n <= F.length("t") + 1), lambda i: F.substr("t", i, n)))))
+    a = longer.where("length(t) > 0").select("doc_id", key, F.explode(grams).alias("g"))
+    other = "item" if key == "suspect" else "suspect"
+    b = shorter.where("length(t) > 0").select("doc_id", other, F.substring("t", 1, GRAM).alias("g"))
+    return a.join(b, ["doc_id", "g"]).select("doc_id", "suspect", "item")
+
+
+def may_hold(suspects: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, suspect, item: the pairs of a document whose texts may hold one another, by a gram of one that the other begins with."""
+    s, i = suspects.select("doc_id", "suspect", F.col("value").alias("t")), items.select("doc_id", "item", F.col("text").alias("t"))
+    return _meetings(s, i, "suspect").unionByName(_meetings(i, s, "item")).distinct()
 
 
 def located_suspects(suspects: DataFrame, items: DataFrame, padding: float = 20.0) -> DataFrame:
-    """suspects (doc_id, suspect, value) with the padded box of the first item on the document whose text holds the value or is held by it."""
-    near = F.col("text").contains(F.col("value")) | F.col("value").contains(F.col("text"))
+    """suspects (doc_id, suspect, value) with the padded box of the first item on the document whose text holds the value or is held by it.
+
+    Texts meet on grams, so that only pairs that share one are compared. An empty value is held by every text, so it has the document's first.
+    """
     box = F.struct((F.col("x1") - padding).alias("x1"), (F.col("y1") - padding).alias("y1"), (F.col("x2") + padding).alias("x2"), (F.col("y2") + padding).alias("y2"))
-    found = suspects.join(items, "doc_id").where(near & (F.length("text") > 0)).groupBy("doc_id", "suspect").agg(F.min_by(box, "item").alias("box"))
-    return suspects.join(found, ["doc_id", "suspect"], "left")
+    near = F.col("text").contains(F.col("value")) | F.col("value").contains(F.col("text"))
+    boxed = items.where("length(text) > 0").select("doc_id", "item", "text", box.alias("box"))
+    met = may_hold(suspects, items).join(suspects.select("doc_id", "suspect", "value"), ["doc_id", "suspect"]).join(boxed, ["doc_id", "item"]).where(near)
+    found = met.groupBy("doc_id", "suspect").agg(F.min_by("box", "item").alias("box"))
+    empty = suspects.where("value = ''").select("doc_id", "suspect").join(boxed.groupBy("doc_id").agg(F.min_by("box", "item").alias("box")), "doc_id").select("doc_id", "suspect", "box")
+    return suspects.join(found.unionByName(empty), ["doc_id", "suspect"], "left")
 
 
 def verify_tasks(suspects: DataFrame) -> DataFrame:

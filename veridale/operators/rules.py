@@ -201,6 +201,10 @@ def matching(rules: DataFrame, column: str, value: str) -> DataFrame:
     return rules.where(F.array_contains(column, value))
 
 
+def of_scope(rules: DataFrame, scope: str) -> DataFrame:
+    return rules.where(F.col("scope") == scope)
+
+
 def rule_errors() -> Column:
     """Array of what is wrong with a rule row (rule_id, scope, level, severity, status, check); empty if nothing."""
     bad = [

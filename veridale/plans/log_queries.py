@@ -244,9 +244,16 @@ def lc13(t):
     return ev.counts(_feedback(t), "type", list(lc.FEEDBACK_TYPES))
 
 
-@query("lc14_tokens", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))), ' ') AS tokens FROM documents WHERE NOT regexp_matches(lower(text), '[一-鿿]')")
+HAN_RUNS = "regexp_extract_all(t, '[一-鿿]+')"
+
+
+@query("lc14_tokens", f"""WITH d AS (SELECT doc_id, lower(translate(coalesce(text, ''), 'qxyzö', '一丁七万丈')) AS t FROM documents),
+g AS (SELECT doc_id, list_concat(regexp_extract_all(t, '[a-z0-9_]{{2,}}'), flatten(list_transform({HAN_RUNS}, lambda r: list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: r[i:i + 1]))))) AS l FROM d)
+SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ' ') AS tokens FROM g""")
 def lc14(t):
-    return cl.token_sets(t("documents").where("not lower(text) rlike '[一-鿿]'").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("tokens"))
+    """With some letters as Han characters, so that texts have both kinds of tokens."""
+    texts = t("documents").select(F.col("doc_id").alias("id"), F.translate(F.coalesce("text", F.lit("")), "qxyzö", "一丁七万丈").alias("text"))
+    return cl.token_sets(texts).select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def _words(t):

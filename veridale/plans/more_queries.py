@@ -9,6 +9,7 @@ from ..operators import classify as c
 from ..operators import cluster as cl
 from ..operators import lifecycle as lc
 from ..operators import review as rv
+from ..operators import rule_documents as rd
 from ..operators import rules as r
 from ..operators import tables as tab
 from . import log_queries, rule_queries
@@ -44,6 +45,55 @@ def lc41(t):
     return _rules(t).select("o_orderkey", F.array_join(r.rule_errors(), ",").alias("errors"))
 
 
+#: A rule document for each order with something wrong by its key; the same expression in both engines.
+RULE_DOCUMENT = """CASE WHEN o_orderkey % 53 = 0 THEN '[1]' WHEN o_orderkey % 59 = 0 THEN '{broken' ELSE concat('{',
+CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE '"name":"n",' END, CASE WHEN o_orderkey % 7 = 0 THEN '"rule_id":"lg 1",' ELSE '"rule_id":"LG-1",' END,
+CASE o_orderkey % 5 WHEN 0 THEN '"level":"L9",' WHEN 1 THEN '"level":null,' ELSE '"level":"L2-LOGIC",' END, CASE WHEN o_custkey % 3 = 0 THEN '"scope":"CROSS_UNIT",' ELSE '"scope":"CROSS_DOC",' END,
+CASE o_custkey % 4 WHEN 0 THEN '"trigger_when":{"doc_type_a":"a","doc_type":["x"]},' WHEN 1 THEN '"trigger_when":{"doc_type":"x"},' WHEN 2 THEN '"trigger_when":7,' ELSE '"trigger_when":{"doc_type_a":"a","doc_type_b":"b","doc_type":[]},' END,
+CASE o_orderkey % 3 WHEN 0 THEN '"check_expr":{"type":"expression","expr":"a > 1"},' WHEN 1 THEN '"check_expr":{"type":"other"},' ELSE '"check_expr":[],' END,
+CASE WHEN o_orderkey % 13 = 0 THEN '"error_template":"",' ELSE '"error_template":"t",' END, '"status":"', CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'draft' ELSE 'gone' END, '","source":', CASE WHEN o_orderkey % 17 = 0 THEN '3' ELSE '"system"' END,
+',"version":"1.', CASE WHEN o_orderkey % 19 = 0 THEN 'x' ELSE '0.2' END, '","created_at":"2026-01-01', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'T10:00:00+08:00' WHEN 2 THEN ' 10:00' ELSE 'Z' END, '","updated_at":"2026-01-01T00:00:00Z"',
+CASE o_custkey % 5 WHEN 0 THEN ',"severity_on_violation":"Bad"' WHEN 1 THEN ',"severity_on_violation":null' ELSE ',"severity_on_violation":"Fatal"' END,
+CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN ',"changelog":{}' WHEN 2 THEN ',"changelog":[{"version":"1","date":"d","author":"a","change":null},{"version":"1"}]' WHEN 3 THEN ',"changelog":[1]' ELSE ',"changelog":[{"version":"1","date":"d","author":"a","change":"c"}]' END,
+CASE o_orderkey % 6 WHEN 0 THEN ',"stats":{"total_hits":-1,"hit_rate":0.5}' WHEN 1 THEN ',"stats":{"total_hits":1.5,"total_reviews":null,"false_positive_rate":-0.1}' WHEN 2 THEN ',"stats":"none"' WHEN 3 THEN ',"stats":{"false_positive_count":true,"hit_rate":2}' ELSE '' END,
+CASE o_orderkey % 8 WHEN 0 THEN ',"alignment":null' WHEN 1 THEN ',"alignment":{"party_a":{"role":"r","doc_type":"d"},"party_b":{"role":"r"},"join_key":["k"]}' WHEN 2 THEN ',"alignment":{"party_a":{"role":"r","doc_type":"d"},"party_b":{"role":"r","doc_type":"e"},"join_key":[]},"confirmation_required":true'
+WHEN 3 THEN ',"alignment":{"party_b":{"role":"r","doc_type":"e"},"join_key":["k",1]},"confirmation_required":"true"' WHEN 4 THEN ',"alignment":"x"' WHEN 5 THEN ',"alignment":{"party_a":{"role":"r","doc_type":"d"},"party_b":{"role":"r","doc_type":"e"},"join_key":["k"]},"confirmation_required":true' ELSE '' END, '}') END"""
+
+
+def _error_sql() -> str:
+    """The format's constraints by DuckDB's JSON functions."""
+    kind = lambda p: f"coalesce(json_type(j, '$.{p}'), '')"
+    said = lambda p: f"(CASE WHEN {kind(p)} = 'VARCHAR' THEN json_extract_string(j, '$.{p}') END)"
+    listed = lambda of: "(" + ", ".join(f"'{x}'" for x in of) + ")"
+    wrong = lambda p, of: f"{kind(p)} <> '' AND NOT coalesce({said(p)} IN {listed(of)}, false)"
+    empty = lambda p: f"NOT coalesce({said(p)} <> '', false)"
+    odd = lambda p, pattern: f"NOT coalesce(regexp_matches({said(p)}, '{pattern}'), true)"
+    unit = f"coalesce({said('scope')} = 'CROSS_UNIT', false)"
+    below = lambda p, kinds: f"{kind('stats')} = 'OBJECT' AND {kind('stats.' + p)} NOT IN ('', 'NULL') AND NOT ({kind('stats.' + p)} IN {listed(kinds)} AND coalesce(TRY_CAST(json_extract_string(j, '$.stats.{p}') AS DOUBLE) >= 0, false))"
+    lacks = " OR ".join(f"json_type(x, '$.{k}') IS NULL" for k in rd.CHANGE)
+    side = lambda s: f"{unit} AND {kind('alignment')} = 'OBJECT' AND ({kind('alignment.' + s)} <> 'OBJECT' OR {kind('alignment.' + s + '.role')} = '' OR {kind('alignment.' + s + '.doc_type')} = '')"
+    keys = "json_extract(j, '$.alignment.join_key[*]')"
+    allowed = list(rd.ALLOWED.items())
+    bad = [(f"{kind(f)} = ''", f"no {f}") for f in rd.REQUIRED] + [(odd("rule_id", rd.RULE_ID), "rule_id"), (f"{kind('name')} <> '' AND {empty('name')}", "name")] + [(wrong(f, of), f) for f, of in allowed[:2]]
+    bad += [(f"{kind('trigger_when')} NOT IN ('', 'OBJECT')", "trigger_when")] + [(f"{kind('trigger_when')} = 'OBJECT' AND {unit} AND {kind('trigger_when.' + f)} = ''", f"trigger_when.{f}") for f in ("doc_type_a", "doc_type_b")]
+    bad += [(f"{kind('trigger_when')} = 'OBJECT' AND NOT {unit} AND {kind('trigger_when.doc_type')} <> 'ARRAY'", "trigger_when.doc_type"), (f"{kind('check_expr')} NOT IN ('', 'OBJECT')", "check_expr")]
+    bad += [(f"{kind('check_expr')} = 'OBJECT' AND NOT coalesce({said('check_expr.type')} IN {listed(rd.CHECKS)}, false)", "check_expr.type"), (f"{kind('check_expr')} = 'OBJECT' AND {empty('check_expr.expr')}", "check_expr.expr"), (f"{kind('error_template')} <> '' AND {empty('error_template')}", "error_template")]
+    bad += [(wrong(f, of), f) for f, of in allowed[2:]] + [(odd(f, p), f) for f, p in (("version", rd.VERSION), ("created_at", rd.MOMENT), ("updated_at", rd.MOMENT))]
+    bad += [(f"{kind('severity_on_violation')} NOT IN ('', 'NULL') AND NOT coalesce({said('severity_on_violation')} IN {listed(rd.SEVERITIES)}, false)", "severity_on_violation"), (f"{kind('changelog')} NOT IN ('', 'ARRAY')", "changelog")]
+    bad += [(f"{kind('changelog')} = 'ARRAY' AND len(list_filter(json_extract(j, '$.changelog[*]'), lambda x: json_type(x) <> 'OBJECT' OR {lacks})) > 0", "changelog[]"), (f"{kind('stats')} NOT IN ('', 'OBJECT')", "stats")]
+    bad += [(below(f, ("UBIGINT", "BIGINT")), f"stats.{f}") for f in rd.COUNTS] + [(below(f, ("UBIGINT", "BIGINT", "DOUBLE")), f"stats.{f}") for f in rd.RATES]
+    bad += [(f"{kind('alignment')} NOT IN ('', 'NULL', 'OBJECT') OR {unit} AND {kind('alignment')} IN ('', 'NULL')", "alignment"), (side("party_a"), "alignment.party_a"), (side("party_b"), "alignment.party_b")]
+    bad += [(f"{unit} AND {kind('alignment')} = 'OBJECT' AND NOT ({kind('alignment.join_key')} = 'ARRAY' AND len({keys}) > 0 AND len(list_filter({keys}, lambda x: json_type(x) <> 'VARCHAR')) = 0)", "alignment.join_key"), (f"{unit} AND NOT ({kind('confirmation_required')} = 'BOOLEAN' AND json_extract_string(j, '$.confirmation_required') = 'true')", "confirmation_required")]
+    each = ", ".join(f"CASE WHEN {b} THEN '{name}' END" for b, name in bad)
+    return f"WITH d AS (SELECT o_orderkey, {RULE_DOCUMENT} AS t FROM orders), v AS (SELECT o_orderkey, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM d) SELECT o_orderkey, CASE WHEN coalesce(json_type(j), '') = 'OBJECT' THEN concat_ws(',', {each}) ELSE 'document' END AS errors FROM v"
+
+
+@query("lc41_documents", _error_sql())
+def lc41_documents(t):
+    """Rules as JSON documents against every constraint of their format."""
+    return t("orders").select("o_orderkey", F.array_join(rd.errors(F.expr(RULE_DOCUMENT)), ",").alias("errors"))
+
+
 @query("lc46_upsert", f"WITH r AS ({ORDER_RULES}) SELECT rule_id, CASE WHEN o_orderkey % 3 = 0 THEN 'testing' ELSE status END AS status FROM r")
 def lc46(t):
     rules = _rules(t)
@@ -93,19 +143,20 @@ def lc37(t):
     return lc.high_false_positive(stats, 0.4).select(F.lit("high_fp").alias("kind"), "rule_id").unionByName(lc.low_activity(stats, 10, 1.5).select(F.lit("low_activity").alias("kind"), "rule_id"))
 
 
-@query("pr3_private_use", "SELECT n_nationkey, n_name || '—℃⊥' AS text FROM nation")
+@query("pr3_private_use", "SELECT doc_id, replace(replace(replace(text, 'a', '—'), 'e', '℃'), 'o', '⊥') AS text FROM documents")
 def pr3(t):
-    return t("nation").select("n_nationkey", x.private_use_replaced(F.concat("n_name", F.lit(chr(0xE000) + chr(0xE004) + chr(0xE011)))).alias("text"))
+    """Three letters as private-use characters, set right."""
+    return t("documents").select("doc_id", x.private_use_replaced(F.translate("text", "aeo", chr(0xE000) + chr(0xE004) + chr(0xE011))).alias("text"))
 
 
-@query("pr4_invisible", "SELECT n_nationkey, n_name || 'x' AS text FROM nation")
+@query("pr4_invisible", "SELECT doc_id, replace(replace(replace(text, 'a', ''), 'e', ''), 'o', '') AS text FROM documents")
 def pr4(t):
-    return t("nation").select("n_nationkey", x.invisible_removed(F.concat(F.lit(chr(0x200B)), "n_name", F.lit(chr(0xFEFF) + chr(0x2028) + "x"))).alias("text"))
+    return t("documents").select("doc_id", x.invisible_removed(F.translate("text", "aeo", chr(0x200B) + chr(0xFEFF) + chr(0x2028))).alias("text"))
 
 
-@query("pr7_blank_lines", "SELECT n_nationkey, n_name || chr(10) || chr(10) || n_name AS text FROM nation")
+@query("pr7_blank_lines", "SELECT doc_id, regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
 def pr7(t):
-    return t("nation").select("n_nationkey", x.blank_lines_collapsed(F.concat("n_name", F.lit("\n\n\n\n"), "n_name")).alias("text"))
+    return t("documents").select("doc_id", x.blank_lines_collapsed(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n"))).alias("text"))
 
 
 ALIASES = {"pile no": "pile_no", "length": "actual_length", "top": "top_elev", "bottom": "bottom_elev"}
@@ -159,9 +210,10 @@ def pr23(t):
     return tab.candidate_lines(tab.lines(t("documents")), ["Licensed", "token"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pr10_slots", "SELECT n_regionkey AS slot, string_agg(n_name, ',' ORDER BY n_name) AS aliases FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1")
+@query("pr10_slots", "SELECT p_brand AS slot, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS aliases FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1")
 def pr10(t):
-    a = t("nation").select(F.col("n_name").alias("alias"), F.col("n_regionkey").alias("slot"), F.when(F.col("n_nationkey") % 3 == 0, "candidate").when(F.col("n_nationkey") % 3 == 1, "active").alias("status"))
+    status = F.when(F.col("p_partkey") % 3 == 0, "candidate").when(F.col("p_partkey") % 3 == 1, "active")
+    a = t("part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("slot"), status.alias("status"))
     return tab.slot_schema(a).select("slot", F.array_join("aliases", ",").alias("aliases"))
 
 

@@ -140,12 +140,20 @@ def re11(t):
     return r.derived(rows).select("p_partkey", "computed", F.round(F.col("expected_coeff").cast("decimal(18,9)"), 6).cast("double").alias("expected_coeff"))
 
 
-CATALOG_SQL = ", ".join(f"('{x.rule_id}', '{x.scope}', '{x.status}')" for x in LINE_RULES)
+RULE_TABLE = "SELECT 'LG-' || o_orderkey AS rule_id, CASE o_orderstatus WHEN 'F' THEN 'draft' WHEN 'O' THEN 'active' ELSE 'testing' END AS status, o_orderpriority AS scope, o_custkey FROM orders"
 
 
-@query("re2_active", f"SELECT rule_id FROM (VALUES {CATALOG_SQL}) AS x(rule_id, scope, status) WHERE status = 'active'")
+def _rule_table(t):
+    """A rule for each order; those of every third customer are for that customer's project only."""
+    status = F.when(F.col("o_orderstatus") == "F", "draft").when(F.col("o_orderstatus") == "O", "active").otherwise("testing")
+    projects = F.when(F.col("o_custkey") % 3 == 0, F.array(F.concat(F.lit("P"), (F.col("o_custkey") % 10).cast("string")))).otherwise(F.array(F.lit("global")))
+    return t("orders").select(F.concat(F.lit("LG-"), F.col("o_orderkey").cast("string")).alias("rule_id"), status.alias("status"), F.col("o_orderpriority").alias("scope"), projects.alias("projects"))
+
+
+@query("re2_active", f"SELECT rule_id, o_custkey % 3 > 0 AS everywhere FROM ({RULE_TABLE}) WHERE status = 'active' AND (o_custkey % 3 > 0 OR o_custkey % 10 = 6)")
 def re2(t):
-    return r.active(r.as_frame(t("region").sparkSession, LINE_RULES)).select("rule_id")
+    """Active rules, for all projects or for P6."""
+    return r.active(_rule_table(t), "P6").select("rule_id", F.array_contains("projects", "global").alias("everywhere"))
 
 
 @query("re4_match_type", """SELECT DISTINCT l_orderkey AS doc_id, m.rule_id FROM lineitem JOIN
@@ -161,6 +169,6 @@ def re6(t):
     return party("F").join(party("O"), "project", "left_semi")
 
 
-@query("re7_by_scope", f"SELECT scope, count(*) AS n FROM (VALUES {CATALOG_SQL}) AS x(rule_id, scope, status) GROUP BY 1")
+@query("re7_by_scope", f"SELECT rule_id, status FROM ({RULE_TABLE}) WHERE scope = '1-URGENT'")
 def re7(t):
-    return r.as_frame(t("region").sparkSession, LINE_RULES).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    return r.of_scope(_rule_table(t), "1-URGENT").select("rule_id", "status")

@@ -25,34 +25,39 @@ def folder(frame: DataFrame) -> str:
     return new_folder(frame.sparkSession)
 
 
-def _text_files(t) -> str:
-    """Names of nations, a text file for each region."""
-    n = t("nation")
-    to = folder(n)
-    n.select("n_regionkey", "n_name", "n_nationkey").repartition(1).sortWithinPartitions("n_regionkey", "n_nationkey").select("n_regionkey", "n_name").write.partitionBy("n_regionkey").text(to)
+#: Suffix of a document's file by its id; the method and whether a listing has it.
+SUFFIXES = ("txt", "md", "pdf", "xyz")
+
+
+def _text_files(t, *suffixes: str) -> str:
+    """Every document as a file in UTF-8, with one of the suffixes."""
+    d = t("documents")
+    to = folder(d)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.get(F.array(*map(F.lit, suffixes)), (F.col("doc_id") % len(suffixes)).cast("int")))
+    fs.saved(d.select(name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")), to).count()
     return to
 
 
-def _region():
-    return F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("region")
+def _doc_id():
+    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id")
 
 
-@query("sc4_batch_sniff", "SELECT 'text' AS method, 5 AS n")
+@query("sc4_batch_sniff", "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 'pdf' ELSE 'text' END AS method, octet_length(encode(coalesce(text, ''))) AS length, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 4 < 3")
 def sc4(t):
-    found = fs.scan(t("nation").sparkSession, _text_files(t), "out")
-    return found.groupBy("method").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    found = fs.scan(t("documents").sparkSession, _text_files(t, *SUFFIXES), "out", recursive=False)
+    return found.select(_doc_id(), "method", "length", "content_hash")
 
 
-@query("sc6_texts", "SELECT n_regionkey AS region, string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY 1")
+@query("sc6_texts", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def sc6(t):
-    return fs.texts(t("nation").sparkSession, _text_files(t)).select(_region(), "text")
+    return fs.texts(t("documents").sparkSession, _text_files(t, "txt", "md")).select(_doc_id(), "text")
 
 
-@query("sc7_extract", "SELECT n_regionkey AS region, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS line, n_name AS text FROM nation")
+@query("sc7_extract", "SELECT doc_id, CAST(k AS INT) AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> '')")
 def sc7(t):
-    raw = t("nation").sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(_text_files(t))
-    lines = fs.extracted(raw, "path string, line int, text string", lambda path, content: [(path, k, x) for k, x in enumerate(content.decode().splitlines(), 1)])
-    return lines.select(_region(), "line", "text")
+    raw = t("documents").sparkSession.read.format("binaryFile").load(_text_files(t, "txt"))
+    lines = fs.extracted(raw, "path string, line int, text string", lambda path, content: [(path, k, x) for k, x in enumerate(content.decode().split("\n"), 1) if content])
+    return lines.select(_doc_id(), "line", "text")
 
 
 def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,31 +177,33 @@ def sc9(t):
     return fs.extracted(files, "path string, n int", extract, retries=1, keep_errors=True)
 
 
-@query("sc14_json_documents", "SELECT r_regionkey AS id, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE 'plain' END AS row FROM region")
+@query("sc14_json_documents", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS row FROM documents")
 def sc14(t):
-    r = t("region")
-    to = folder(r)
-    fs.save_json(r.select(F.col("r_regionkey").alias("id"), F.array(F.lit("plain")).alias("rows"), F.when(F.col("r_regionkey") % 2 == 0, F.array("r_name")).alias("structured_rows")).repartition(5, "id"), to)
-    docs = r.sparkSession.read.schema("id int, rows array<string>, structured_rows array<string>").json(to)
-    return docs.select("id", F.coalesce("structured_rows", "rows")[0].alias("row"))
-
-
-def _records(t, key: str) -> DataFrame:
-    n = t("nation")
-    to = folder(n)
-    fs.save_json(n.select(F.when(F.col("n_nationkey") % 4 > 0, F.col("n_name")).alias(key), "n_regionkey"), to)
-    # one object a line here; json_records reads one a file
-    return n.sparkSession.read.schema(f"{key} string, n_regionkey int").json(to).where(F.col(key).isNotNull())
+    d = t("documents")
+    to = folder(d)
+    fs.save_json(d.select("doc_id", F.array("lang").alias("rows"), F.when(F.col("doc_id") % 2 == 0, F.array("text")).alias("structured_rows")), to)
+    return fs.json_documents(d.sparkSession, to, "doc_id long, rows array<string>, structured_rows array<string>", lines=True).select("doc_id", F.col("rows")[0].alias("row"))
 
 
-@query("sc15_rules", "SELECT n_name AS rule_id, n_regionkey FROM nation WHERE n_nationkey % 4 > 0")
+@query("sc15_rules", "SELECT 'LG-' || o_orderkey AS rule_id, o_orderpriority AS level, o_orderstatus AS status FROM orders WHERE o_orderkey % 4 > 0")
 def sc15(t):
-    return _records(t, "rule_id")
+    """Rules from JSON; objects without an id and broken lines are left out."""
+    o = t("orders")
+    to = folder(o)
+    rule = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("LG-"), F.col("o_orderkey").cast("string"))).alias("rule_id"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("status")))
+    o.select(F.explode(F.array(rule, F.substring(rule, 1, 9)))).write.text(to)
+    return fs.json_records(o.sparkSession, to, "rule_id string, level string, status string", "rule_id", "part-*", lines=True)
 
 
-@query("sc17_feedback", "SELECT n_name AS feedback_id, n_regionkey FROM nation WHERE n_nationkey % 4 > 0")
+@query("sc17_feedback", "SELECT 'FB-' || event_id AS feedback_id, CASE event_type WHEN 'error' THEN 'false_positive' ELSE 'missed' END AS type, user_id AS doc_id FROM events WHERE event_type IN ('error', 'signup') AND event_id % 3 > 0")
 def sc17(t):
-    return _records(t, "feedback_id")
+    """Feedback from JSON, with its context as a nested object."""
+    e = t("events").where("event_type in ('error', 'signup')")
+    to = folder(e)
+    name = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("FB-"), F.col("event_id").cast("string")))
+    fs.save_json(e.select(name.alias("feedback_id"), F.when(F.col("event_type") == "error", "false_positive").otherwise("missed").alias("type"), F.struct(F.col("user_id").alias("doc_id")).alias("context")), to)
+    found = fs.json_records(e.sparkSession, to, "feedback_id string, type string, context struct<doc_id:long>", "feedback_id", lines=True)
+    return found.select("feedback_id", "type", "context.doc_id")
 
 
 @query("sc18_audit_logs", "SELECT l_orderkey AS audit_id, 'R' || l_linenumber AS rule_id FROM lineitem")
@@ -204,17 +211,18 @@ def sc18(t):
     li = t("lineitem")
     to = folder(li)
     fs.save_json(li.groupBy(F.col("l_orderkey").alias("audit_id")).agg(F.collect_list(F.struct(F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("rule_id"))).alias("findings")), to)
-    logs = li.sparkSession.read.schema("audit_id long, findings array<struct<rule_id:string>>").json(to)
+    logs = fs.json_records(li.sparkSession, to, "audit_id long, findings array<struct<rule_id:string>>", "audit_id", lines=True)
     return logs.select("audit_id", F.explode("findings.rule_id").alias("rule_id"))
 
 
-@query("sc19_json_sink", "SELECT n_nationkey, n_name FROM nation")
+@query("sc19_json_sink", "SELECT doc_id, text, lang, source FROM documents")
 def sc19(t):
-    n = t("nation").select("n_nationkey", "n_name")
-    to = folder(n)
-    fs.save_json(n, to)
-    fs.save_json(n, to)
-    return n.sparkSession.read.schema(n.schema).json(to)
+    """Written twice: the second takes the place of the first."""
+    d = t("documents").select("doc_id", "text", "lang", "source")
+    to = folder(d)
+    fs.save_json(d.limit(1), to)
+    fs.save_json(d, to)
+    return d.sparkSession.read.schema(d.schema).json(to)
 
 
 @query("sc20_append_sink", "SELECT CAST(ts AS DATE) AS date, count(*) * 2 AS n FROM events GROUP BY 1")
@@ -239,11 +247,9 @@ def sc20_once(t):
     return store.read(e.sparkSession, to, "event_id long, date date").groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rv22_verify_path", "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'agent' WHEN r_regionkey < 3 THEN 'api' ELSE 'enhance' END AS path FROM region")
+@query("rv22_verify_path", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'agent' WHEN user_id % 3 = 0 THEN 'api' ELSE 'enhance' END AS path FROM events")
 def rv22(t):
-    agent, api, rest = rv.verify_path(True, True), rv.verify_path(False, True), rv.verify_path(False, False)
-    k = F.col("r_regionkey")
-    return t("region").select("r_regionkey", F.when(k == 0, agent).when(k < 3, api).otherwise(rest).alias("path"))
+    return t("events").select("event_id", rv.verify_path(F.col("event_type") == "error", F.col("user_id") % 3 == 0).alias("path"))
 
 
 @query("rv27_verified", """WITH s AS (SELECT user_id AS doc, event_id AS row, value FROM events WHERE event_type = 'error')

@@ -9,15 +9,6 @@ from ..operators import templates as tp
 from .registry import query
 from .source_queries import folder
 
-VALUES = ", ".join(f"('{i}', '{scope}', '{level}', '{severity}', '{kind}')" for i, scope, level, severity, kind, _ in catalog.entries())
-
-
-@query("rules_catalogue", f"SELECT scope, level, severity, kind, count(*) AS n FROM (VALUES {VALUES}) AS x(id, scope, level, severity, kind) GROUP BY 1, 2, 3, 4")
-def catalogue(t):
-    rows = t("region").sparkSession.createDataFrame([e[:5] for e in catalog.entries()], "id string, scope string, level string, severity string, kind string")
-    return rows.groupBy("scope", "level", "severity", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 #: Columns of records and of parties, made from the tables; the same expressions in Spark and in DuckDB.
 RECORD = {
     "actual_length": "l_quantity", "top_elev": "l_tax * 100", "bottom_elev": "l_linenumber", "filling_coeff": "l_discount * 10", "volume": "l_extendedprice / 1000", "diameter": "l_suppkey % 3",
@@ -50,6 +41,18 @@ def row_catalogue(t):
     return r.checked_rows(rows, catalog.row_rules(("record",))).select("doc_id", "row_index", "rule_id")
 
 
+ENTRIES = ", ".join(f"('{i}', '{scope}', '{level}', '{severity}')" for i, scope, level, severity, kind, _ in catalog.entries() if kind == "row")
+
+
+@query("rules_catalogue", f"WITH v AS ({ROW_SQL}) SELECT id AS rule_id, scope, level, severity, CAST(count(doc_id) AS BIGINT) AS n FROM (VALUES {ENTRIES}) AS x(id, scope, level, severity) LEFT JOIN v ON rule_id = id GROUP BY 1, 2, 3, 4")
+def catalogue(t):
+    """The row rules of the catalogue, and how many line items each finds something wrong with; none for those that aren't active."""
+    found = row_catalogue(t).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = [e[:4] for e in catalog.entries() if e[4] == "row"]
+    listed = t("lineitem").sparkSession.createDataFrame(rows, "rule_id string, scope string, level string, severity string")
+    return listed.join(found, "rule_id", "left").select("rule_id", "scope", "level", "severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def _value(rule_id: str, side: str) -> str:
     """What a rule compares: dates, but for the one on lengths."""
     return f"{'max' if side == 'a' else 'min'}({'o_totalprice' if rule_id == 'CU-001' else 'o_orderdate'})"

@@ -244,6 +244,12 @@ def ly7(t):
     return lay.located_column(_items(t), ["^R", "^A"]).drop("page")
 
 
+@query("ly7_fallback", ITEMS + ", f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN text LIKE 'R1%' THEN 0 ELSE 1 END, x1, item) AS k FROM i WHERE text LIKE 'R1%' OR contains(text, 'N') AND length(text) <= 4 AND (x1 + x2) / 2 < 275) SELECT doc_id, greatest(0, x1 - 0.2 * (x2 - x1)) AS \"left\", least(550, x2 + 0.4 * (x2 - x1)) AS \"right\" FROM f WHERE k = 1")
+def ly7_fallback(t):
+    """By a header, else by a short text in the left half."""
+    return lay.located_column(_items(t), ["^R1"], "N", 550).drop("page")
+
+
 @query("ly8_in_column", ITEMS + ", f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x1, item) AS k FROM i WHERE text LIKE 'R%'), c AS (SELECT doc_id, x1 - 0.2 * (x2 - x1) AS l, x2 + 0.4 * (x2 - x1) AS r FROM f WHERE k = 1) SELECT i.doc_id, item FROM i JOIN c ON i.doc_id = c.doc_id WHERE (x1 + x2) / 2 BETWEEN l AND r")
 def ly8(t):
     i = _items(t)
@@ -272,6 +278,19 @@ def ly12(t):
     return t("orders").select("o_orderkey", lay.corrected_id(F.concat(F.lit("Z"), F.col("o_orderkey").cast("string"))).alias("id"))
 
 
+CELL = "CASE o_orderkey % 8 WHEN 0 THEN concat('24', o_custkey % 10, 'O') WHEN 1 THEN concat('2.4', o_custkey % 100) WHEN 2 THEN concat('21l', o_custkey % 10, ',S', o_custkey % 10) WHEN 3 THEN concat('2OB', o_custkey % 10, '.I') WHEN 4 THEN concat('1', o_custkey % 10, ';3', o_custkey % 6) WHEN 5 THEN concat(' ', 400 + o_custkey % 600, ' ') WHEN 6 THEN concat('Z5', o_custkey % 10, 'o') ELSE o_orderpriority END"
+
+
+@query("ly12_text", f"""WITH c AS (SELECT o_orderkey, o_custkey % 2 = 0 AS id_column, trim({CELL}) AS t FROM orders),
+a AS (SELECT *, CASE WHEN regexp_matches(t, '^2[.,;:-]?[4-9][0-9]{{1,2}}[A-DI-Z0Oo]?$') THEN regexp_replace(regexp_replace(t, '^2[.,;:-]?([4-9][0-9]{{1,2}})([A-DI-Z0Oo]?)$', 'Z\\1\\2'), '^(Z[4-9][0-9]{{1,2}})I$', '\\1') ELSE t END AS u FROM c),
+b AS (SELECT *, regexp_replace(regexp_replace(u, '^(Z[4-9][0-9]{{1,2}})[0Oo]$', '\\1D'), '^([4-9][0-9]{{1,2}})$', 'Z\\1') AS v FROM a),
+e AS (SELECT o_orderkey, CASE WHEN id_column THEN v ELSE t END AS w FROM b)
+SELECT o_orderkey, regexp_replace(CASE WHEN regexp_matches(w, '^2[0-9IlSBO]{{3}}[.,][0-9IlSBO]{{1,3}}$') THEN translate(w, 'IlSBO,', '11580.') ELSE w END, '^([0-9]{{2}})[:;.-]([0-9]{{2}})$', '\\1:\\2') AS text FROM e""")
+def ly12_text(t):
+    """Cells of the id column and of others, set right by their form."""
+    return t("orders").select("o_orderkey", lay.corrected_text(F.expr(CELL), F.col("o_custkey") % 2 == 0).alias("text"))
+
+
 @query("ly13_filled")
 def ly13(t):
     """The orders of a customer as a page of numbered rows: some numbers unread, some cut short."""

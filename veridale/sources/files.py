@@ -193,16 +193,19 @@ def joined_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page", marked.alias("t"))))["t"], "\n").alias("text"))
 
 
-def json_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Documents, one JSON object a file, with `rows`: structured_rows if there are any."""
-    docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(folder)
+def _objects(spark: SparkSession, folder: str, schema: str, lines: bool, **options: str) -> DataFrame:
+    return spark.read.schema(schema).options(multiLine=not lines, recursiveFileLookup=True, mode="PERMISSIVE", **options).json(folder)
+
+
+def json_documents(spark: SparkSession, folder: str, schema: str, lines: bool = False) -> DataFrame:
+    """Documents, one JSON object a file (lines: one a line), with `rows`: structured_rows if there are any."""
+    docs = _objects(spark, folder, schema, lines)
     return docs.withColumn("rows", F.coalesce("structured_rows", "rows")).drop("structured_rows")
 
 
-def json_records(spark: SparkSession, folder: str, schema: str, key: str, glob: str = "*.json") -> DataFrame:
-    """Objects that have the key, one a file (rules, feedback, audit logs); unreadable files are left out."""
-    found = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(folder)
-    return found.where(F.col(key).isNotNull())
+def json_records(spark: SparkSession, folder: str, schema: str, key: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """Objects that have the key, one a file (lines: one a line): rules, feedback, audit logs; unreadable ones are left out."""
+    return _objects(spark, folder, schema, lines, pathGlobFilter=glob).where(F.col(key).isNotNull())
 
 
 def json_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
