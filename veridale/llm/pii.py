@@ -3,7 +3,8 @@
 Base patterns (email, ip, card, phone) with their checks give the seeds. The words around a seed, one and
 two to the left, one and two to the right, and one on both sides, are its lexical patterns; so is its
 own make-up (digits, letters, marks, and which checks hold) beside a kind of neighbour. Everything else that looks like an
-identifier, up to MOST_WORDS words with an at sign or six digits, is an instance under the patterns around it.
+identifier is an instance under the patterns around it: a word with an at sign or six to MOST digits, and several such words in a row.
+In a row of more than FEW, longer runs count from its first word or up to its last, where a context stands beside them.
 
 On the graph of patterns and distinct instances, Spark scores in turns: a pattern for a kind by the share of its
 instances that are known to be of that kind, an instance by the chance that not all of its patterns are wrong.
@@ -43,7 +44,10 @@ PATTERNS = {
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
 #: What a text must have for a pattern to be worth trying.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "word": "[0-9@]"}
-MOST_WORDS = 4
+#: Words of a run wherever it stands.
+FEW = 4
+#: Digits of the longest identifier; each word of a run has one at least, so also its words.
+MOST = 19
 #: Least share of known instances for a pattern to count at all.
 WEAK = 0.5
 BLOCK = 256
@@ -98,28 +102,40 @@ def _make_up(text: Column) -> Column:
     return F.when(card, F.lit("card")).when(ip, F.lit("ip")).otherwise(shape)
 
 
-def _patterns(text: Column, left: Column, right: Column) -> Column:
-    """Distinct patterns around an instance. left, right: arrays of words, columns and not expressions."""
+def _patterns(text: Column, left: Column, right: Column, make_up: bool) -> Column:
+    """Distinct patterns around an instance, of its own make-up too if wanted. left, right: arrays of words, columns and not expressions."""
     a, b = F.element_at(left, -1), right[0]
     a2, b2 = F.when(F.size(left) > 1, F.element_at(left, -2)), F.when(F.size(right) > 1, right[1])
     kind = lambda w: F.when(w.isin("#", "^", "$"), w).otherwise("w")
     # a mark alone says too little
     word = lambda w: F.when(~w.isin("#", "^", "$"), w)
+    own = [F.concat(F.lit("ml "), kind(a), F.lit(" "), _make_up(text)), F.concat(F.lit("mr "), _make_up(text), F.lit(" "), kind(b))] if make_up else []
     return F.array_distinct(F.array_compact(F.array(
         F.concat(F.lit("l1 "), word(a)), F.concat(F.lit("l2 "), a2, F.lit(" "), a), F.concat(F.lit("r1 "), word(b)), F.concat(F.lit("r2 "), b, F.lit(" "), b2),
-        F.concat(F.lit("lr "), word(a), F.lit(" "), word(b)), F.concat(F.lit("ml "), kind(a), F.lit(" "), _make_up(text)), F.concat(F.lit("mr "), _make_up(text), F.lit(" "), kind(b)))))
+        F.concat(F.lit("lr "), word(a), F.lit(" "), word(b)), *own)))
 
 
 def _runs(words: str) -> Column:
-    """The spans of `words` and of up to MOST_WORDS of them in a row that single blanks set off."""
-    n, out, last = F.size(words), [F.col(words)], F.col(words)
-    for k in range(2, MOST_WORDS + 1):
-        def joined(a: Column, b: Column) -> Column:
-            return F.when(a["gap"], F.struct(a["start"].alias("start"), b["end"].alias("end"), F.concat(a["text"], F.lit(" "), b["text"]).alias("text"), a["left"].alias("left"), b["right"].alias("right"), b["gap"].alias("gap")))
-
-        last = F.zip_with(F.slice(last, 1, F.greatest(n - k + 1, F.lit(0))), F.slice(words, k, F.greatest(n - k + 1, F.lit(0))), joined)
-        out.append(F.filter(last, lambda x: x.isNotNull()))
-    return F.concat(*out)
+    """The spans of `words`, and of several in a row that single blanks set off: up to FEW of them, and up to MOST where the run stands at an end of its row."""
+    gaps, more = f"transform({words}, w -> w.gap)", MOST - 1
+    ahead = f"slice(gaps, i + 1, {more})"
+    reach = f"if(array_position({ahead}, false) = 0, size({ahead}), int(array_position({ahead}, false)) - 1)"
+    run = f"named_struct('start', w.start, 'end', {words}[i + d].end, 'text', array_join(slice(texts, i + 1, d + 1), ' '), 'left', w.left, 'right', {words}[i + d].right, 'gap', {words}[i + d].gap)"
+    wanted = f"filter(sequence(0, {reach}), d -> d < {FEW} or i = 0 or not gaps[i - 1] or not gaps[i + d])"
+    return F.expr(f"flatten(transform(array({gaps}), gaps -> flatten(transform(array(transform({words}, w -> w.text)), texts -> flatten(transform({words}, (w, i) -> if(gaps[i], transform({wanted}, d -> {run}), array(w))))))))")
+
+
+def _free(runs: str, base: str) -> Column:
+    """The runs that overlap no span of base. Both are put in one order, starts of base and ends of runs; a run is free if no span that
+    began before its end ends after its start. One pass, in blocks as in _located."""
+    events = f"""array_sort(concat(transform({base}, b -> named_struct('at', b.start, 'kind', 1, 'i', 0, 'x', b.end)), transform(sorted, (r, i) -> named_struct('at', r.e, 'kind', 0, 'i', i, 'x', r.w.start))))"""
+    block = """aggregate(block, named_struct('m', s.m, 'out', cast(array() as array<boolean>)),
+        (a, v) -> named_struct('m', if(v.kind = 1, greatest(a.m, v.x), a.m), 'out', if(v.kind = 1, a.out, concat(a.out, array(a.m <= v.x)))))"""
+    flags = f"""transform(array({events}), z -> aggregate(transform(sequence(0, greatest(size(z) - 1, 0) div {BLOCK}), k -> slice(z, int(k) * {BLOCK} + 1, {BLOCK})),
+        named_struct('m', 0, 'out', cast(array() as array<array<boolean>>)),
+        (s, block) -> transform(array({block}), r -> named_struct('m', r.m, 'out', concat(s.out, array(r.out))))[0], s -> flatten(s.out)))[0]"""
+    return F.expr(f"""transform(array(array_sort(transform({runs}, w -> named_struct('e', w.end, 'w', w)))), sorted ->
+        transform(filter(zip_with(sorted, {flags}, (r, f) -> named_struct('w', r.w, 'f', f)), y -> y.f), y -> y.w))[0]""")
 
 
 def found(docs: DataFrame, hidden: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -139,10 +155,11 @@ def found(docs: DataFrame, hidden: Callable[[Column], Column] | None = None) ->
     all_base = F.concat(*base)
     at = at.select("doc_id", (F.filter(all_base, lambda s: ~hidden(s["text"])) if hidden else all_base).alias("base"), _located("_p_word", "_m_word").alias("words"))
     # without the marks around them, if they have an at sign or six digits
-    runs = F.when(F.size("words") > 0, F.filter(F.transform(_runs("words"), _trimmed), lambda s: s["text"].contains("@") | (F.length(F.regexp_replace(s["text"], "[^0-9]", "")) >= 6))).otherwise(F.col("words"))
+    digits = lambda s: F.length(F.regexp_replace(s["text"], "[^0-9]", ""))
+    runs = F.when(F.size("words") > 0, F.filter(F.transform(_runs("words"), _trimmed), lambda s: s["text"].contains("@") | digits(s).between(6, MOST))).otherwise(F.col("words"))
     at = at.select("doc_id", "base", runs.alias("runs"))
-    free = F.filter("runs", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return at.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("runs") > 0, free).otherwise(F.col("runs")).alias("others"))
+    free = F.when((F.size("runs") > 0) & (F.size("base") > 0), _free("runs", "base")).otherwise(F.col("runs"))
+    return at.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("others"))
 
 
 def _checked(k: int, kind: str) -> Column:
@@ -156,10 +173,10 @@ def _trimmed(span: Column) -> Column:
     return F.struct((span["start"] + lead).alias("start"), (span["start"] + lead + F.char_length(core)).alias("end"), core.alias("text"), span["left"].alias("left"), span["right"].alias("right"), span["gap"].alias("gap"))
 
 
-def _edges(seen: DataFrame) -> DataFrame:
+def _edges(seen: DataFrame, make_up: bool) -> DataFrame:
     """Distinct pattern, text of (text, left, right)."""
     words = seen.select("text", _context(F.col("left"), r"(?<![^\x20\x09-\x0D|])[^\x20\x09-\x0D|]++$").alias("l"), _context(F.col("right"), r"^[^\x20\x09-\x0D|]++").alias("r"))
-    return words.select(F.explode(_patterns(F.col("text"), F.col("l"), F.col("r"))).alias("pattern"), "text").distinct()
+    return words.select(F.explode(_patterns(F.col("text"), F.col("l"), F.col("r"), make_up)).alias("pattern"), "text").distinct()
 
 
 def known(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -183,12 +200,12 @@ def known(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         so_far = written(so_far.unionByName(new), "known")
 
 
-def extracted(docs: DataFrame, hidden: Callable[[Column], Column] | None = None) -> DataFrame:
-    """doc_id, base and added (arrays of spans k, kind, start, end) for every row of docs."""
+def extracted(docs: DataFrame, hidden: Callable[[Column], Column] | None = None, make_up: bool = True) -> DataFrame:
+    """doc_id, base and added (arrays of spans k, kind, start, end) for every row of docs. make_up=False: by contexts alone."""
     rows = written(found(docs, hidden), "found")
     seeds = rows.select(F.explode("base").alias("b")).select("b.k", "b.kind", "b.text", "b.left", "b.right")
     others = rows.where(F.size("others") > 0).select("row", F.explode("others").alias("o")).select("row", "o.start", "o.end", "o.text", "o.left", "o.right")
-    edges = written(_edges(seeds.select("text", "left", "right").unionByName(others.select("text", "left", "right")).distinct()), "graph")
+    edges = written(_edges(seeds.select("text", "left", "right").unionByName(others.select("text", "left", "right")).distinct(), make_up), "graph")
     seed_kinds = written(seeds.groupBy("text").agg(F.min_by("kind", "k").alias("kind")), "seeds")
     accepted = written(known(edges, seed_kinds), "accepted")
     at = others.select("row", "start", "end", "text").join(accepted, "text")
