@@ -46,3 +46,21 @@ def test_other_tokenizers_keep_their_white_space(spark, tmp_path):
     for path, count in ((json_path, lambda t: len(library.encode(t, add_special_tokens=False).ids)), (model_path, lambda t: len(pieces.encode(t)))):
         got = tokencount.token_counts(docs, path, str(tmp_path / "one")).collect()
         assert len(got) == 9 and all(r.n_tokens == count(texts[r.doc_id] or "") for r in got)
+
+
+def test_words_have_the_tokens_of_their_text(monkeypatch):
+    """Words one by one against whole texts: marks, special strings, other blanks, and letters that fold."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    pieces = ["don't", "'s", "l'll", "<|endoftext|>", "x<|startoftext|>y", "́", "é", " ", " ", "\u0085", "\x1c", "\x1f!", "ΣΑΣ", "İ", "ß", "日本語", "٣", "１２", "...", "?!", "a" * 70, "​", "\U0001f600", "\U00010330", "ﬁ", "…", "", "№5"]
+    texts = [" ".join(rng.choice(pieces) + rng.choice(["", rng.choice(pieces)]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    assert tokencount.folds_space(path)
+    monkeypatch.setattr(tokencount, "WORDS", 5)
+    count = tokencount._counter(path, True)
+    got = [n for k in range(0, 400, 50) for n in count(texts[k : k + 50])]
+    assert got == [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts] and sum(got) > 1000

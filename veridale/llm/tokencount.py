@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .words import SPACE_RUN, SPACES, whole
 
+#: Words that a task remembers, and the length up to which it does.
+WORDS, LETTERS = 1 << 19, 32
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 
 
@@ -56,8 +58,12 @@ def _normalised(folded: bool):
     return F.btrim(F.regexp_replace(whole("text"), SPACE_RUN, " "), F.lit(SPACES)) if folded else whole("text")
 
 
-def _counter(path: str):
-    """A function from texts to their numbers of tokens: tokenizers for .json, sentencepiece for .model."""
+def _counter(path: str, folded: bool):
+    """A function from texts to their numbers of tokens: tokenizers for .json, sentencepiece for .model.
+
+    folded: blanks part the words that the tokenizer sees and belong to none, so a text has the tokens of its words, and a word is encoded
+    once for as long as a task remembers it.
+    """
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
@@ -68,7 +74,22 @@ def _counter(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole_texts(texts: list[str]) -> list[int]:
+        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    known: dict[str, int] = {}
+
+    def by_words(texts: list[str]) -> list[int]:
+        if len(known) > WORDS:
+            known.clear()
+        each = [t.split(" ") for t in texts]
+        fresh = list({w for words in each for w in words if w not in known})
+        now = dict(zip(fresh, whole_texts(fresh)))
+        known.update((w, n) for w, n in now.items() if len(w) <= LETTERS)
+        return [sum(known[w] if w in known else now[w] for w in words) for words in each]
+
+    return by_words if folded else whole_texts
 
 
 def _encoder(path: str, version: str):
@@ -76,7 +97,7 @@ def _encoder(path: str, version: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = _counter(path)
+        count = _counter(path, folds_space(path))
         for batch in batches:
             counts: list[int] = []
             texts = batch["text"].tolist()
