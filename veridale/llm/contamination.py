@@ -14,7 +14,8 @@ some windows doesn't spoil a copy.
 Document windows are made in tasks and first tested against a bit table of fixed size (FILTER_BITS)
 that holds the benchmark's window hashes, so nearly all that reach the shuffle are matches. The table
 is a broadcast of 2 MB whatever the benchmark's size; a fuller one lets more windows through to the
-join, which decides alone. A document names each window once, with all its places.
+join, which decides alone. A document names each window once, with all its places. Documents and items meet on the windows
+that few items have: a match has at least one of an item's rarest ones. Only such pairs are counted over all windows.
 
 Defined results: null and empty texts have no windows; items with fewer tokens than WINDOW have one
 window, the whole of it, and documents have the windows of these sizes too; where such an item is all
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -190,14 +191,36 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_text"), "text").mapInPandas(of_documents, HIT)
 
 
+def ranked(windows: DataFrame) -> DataFrame:
+    """windows of items with rank: the place of each among its item's, those that the fewest items have first."""
+    shared = windows.groupBy("window").agg(F.count(F.lit(1)).alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "item_text").orderBy("items", "window"))
+    distinct = windows.dropDuplicates(["item_id", "item_text", "window"])
+    return distinct.join(shared, "window").withColumn("rank", rank).drop("items")
+
+
+def candidates(found: DataFrame, windows: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, doc_text, item_id, item_text of the pairs that may match: they share one of the item's rarest windows, as many as a match can lack, and one.
+
+    So a window that many items share joins a document with those only that have nothing rarer.
+    """
+    rare = windows.where(F.col("rank") <= F.col("n_windows") - F.ceil(similarity * F.col("n_windows") - 1e-9) + 1)
+    return found.select("doc_id", "doc_text", "window").join(rare.select("item_id", "item_text", "window"), "window").drop("window").distinct()
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
     """matches with doc_text and item_text, the digests that tell rows of one id apart."""
-    windows = written(item_windows(benchmark), "windows")
-    # windows of many items are few: items per window are grouped on the benchmark's side only
-    pairs = document_windows(docs, windows).join(windows, "window")
-    counted = pairs.groupBy("doc_id", "doc_text", "item_id", "item_text").agg(
-        F.max("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"), F.max("size").alias("size"),
-        F.collect_set(F.struct("item_places", "slots", "places", "said")).alias("found"))
+    windows = written(ranked(item_windows(benchmark)), "windows")
+    found = written(document_windows(docs, windows), "hits")
+    pairs = written(candidates(found, windows, similarity), "candidates")
+    item = F.col("p.item_id").eqNullSafe(F.col("w.item_id")) & (F.col("p.item_text") == F.col("w.item_text"))
+    wanted = pairs.alias("p").join(windows.alias("w"), item).select("p.*", *[f"w.{c}" for c in ("window", "item_places", "slots", "n_windows", "size")])
+    own = (F.col("a.doc_text") == F.col("d.doc_text")) & (F.col("a.window") == F.col("d.window")) & F.col("a.doc_id").eqNullSafe(F.col("d.doc_id"))
+    # repeated rows of a document name the same windows
+    each = found.select("doc_id", "doc_text", "window", "places", "said").dropDuplicates(["doc_id", "doc_text", "window"])
+    met = wanted.alias("a").join(each.alias("d"), own).select("a.*", "d.places", "d.said")
+    counted = met.groupBy("doc_id", "doc_text", "item_id", "item_text").agg(
+        F.max("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("n_matched"), F.max("size").alias("size"), F.collect_list(F.struct("item_places", "slots", "places", "said")).alias("found"))
     enough = counted.where(F.col("n_matched") >= similarity * F.col("n_windows"))
     judged = enough.mapInPandas(_judged, "doc_id long, doc_text long, item_id long, item_text long, n_windows int, n_matched long, consistent double")
     return judged.where(F.col("consistent") >= similarity)
