@@ -140,3 +140,34 @@ def test_pair_rules_together_are_pair_rules_one_by_one(spark):
         one = rules.reconciled(a.groupBy(*r.join_keys).agg(F.max("v").alias("field_a")), b.groupBy(*r.join_keys).agg(F.min("v").alias("field_b")), r)
         want.update((r.rule_id, x.key, x.side, x.severity) for x in one.where("severity is not null").collect())
     assert got == want and len({side for _, _, side, _ in got}) == 3
+
+
+def test_suspects_meet_items_on_grams_only(spark):
+    from veridale.operators import review
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    items = [(d, i, word(rng.randrange(0, 9)), float(i)) for d in range(6) for i in range(40)]
+    suspects = [(d, s, word(rng.randrange(0, 7))) for d in range(7) for s in range(10)]
+    frame = spark.createDataFrame([(*x, x[3], x[3], x[3]) for x in items], "doc_id int, item int, text string, x1 double, y1 double, x2 double, y2 double")
+    asked = spark.createDataFrame(suspects, "doc_id int, suspect int, value string")
+    got = {(r.doc_id, r.suspect): r.box.x1 + 20 if r.box else None for r in review.located_suspects(asked, frame).collect()}
+    want = {(d, s): min((x for e, _, t, x in items if e == d and t and (v in t or t in v)), default=None) for d, s, v in suspects}
+    assert got == want and any(x is None for x in want.values())
+    pairs = {(r.doc_id, r.suspect, r["item"]) for r in review.may_hold(asked, frame).collect()}
+    near = {(d, s, i) for d, s, v in suspects for e, i, t, _ in items if e == d and t and v and (v in t or t in v)}
+    assert near <= pairs and len(pairs) < 0.6 * sum(1 for d, _, v in suspects for e, _, t, _ in items if e == d)
+
+
+def test_cells_and_columns_by_their_form(spark):
+    from veridale.operators import layout
+
+    cells = {"2415": "Z415", "2.415": "Z415", "242O": "Z42D", "Z420": "Z42D", "415": "Z415", "241I": "Z41", "21l3,S": "2113.5", "2OB4.I": "2084.1", "10;35": "10:35", " 12.30 ": "12:30", "2103.72": "2103.72", "x": "x"}
+    frame = spark.createDataFrame([(k,) for k in cells], "t string")
+    assert {r.t: r.c for r in frame.select("t", layout.corrected_text(F.col("t"), True).alias("c")).collect()} == cells
+    outside = {r.t: r.c for r in frame.select("t", layout.corrected_text(F.col("t")).alias("c")).collect()}
+    assert outside["2415"] == "2415" and outside["2OB4.I"] == "2084.1" and outside["10;35"] == "10:35"
+    item = "doc_id string, page int, item int, text string, x1 double, y1 double, x2 double, y2 double"
+    rows = [("a", 1, 1, "number", 90.0, 0.0, 100.0, 9.0), ("a", 1, 2, "p x", 5.0, 0.0, 15.0, 9.0), ("b", 1, 1, "p far", 2.0, 0.0, 9.0, 9.0), ("b", 1, 2, "p 1", 20.0, 0.0, 40.0, 9.0), ("b", 1, 3, "p 2", 1.0, 0.0, 11.0, 9.0), ("c", 1, 1, "p", 80.0, 0.0, 90.0, 9.0)]
+    got = {r.doc_id: (r.left, r.right) for r in layout.located_column(spark.createDataFrame(rows, item), ["^number$"], "p", 100.0).collect()}
+    assert got == {"a": (88.0, 100.0), "b": (0.0, 15.0)}
