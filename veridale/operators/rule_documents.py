@@ -5,7 +5,7 @@ Absent fields, nulls and values of another type are told apart, so a document is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The format's required fields, lists of allowed values and patterns; fixed values.
@@ -24,23 +24,34 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit(""))
 
 
-def errors(text: Column) -> Column:
-    """Array of what is wrong with a rule (JSON text): names of fields and constraints in a fixed order; `document` alone if it is no JSON object."""
-    whole = F.try_parse_json(text)
+def checked(rows: DataFrame, column: str, name: str = "errors") -> DataFrame:
+    """rows with `name`: an array of what is wrong with the rule in a column of JSON text: fields and constraints in a fixed order; `document` alone if it is no JSON object.
+
+    A text is parsed once, and the kind and value of each path are taken once, before the constraints are put together from them.
+    """
+    found: dict[tuple[str, str], Column] = {}
+
+    def once(what: str, path: str, value: Column) -> Column:
+        found.setdefault((what, path), value)
+        return F.col(f"_of.`{what} {path}`")
+
+    whole = F.col("_whole")
     at = lambda path: F.try_variant_get(whole, f"$.{path}", "variant")
-    kind = lambda path: _kind(at(path))
-    there = lambda path: at(path).isNotNull()
-    said = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(whole, f"$.{path}", "string"))
+    kind = lambda path: once("kind", path, _kind(at(path)))
+    there = lambda path: kind(path) != ""
+    said = lambda path: F.when(kind(path) == "STRING", once("text", path, F.try_variant_get(whole, f"$.{path}", "string")))
     among = lambda path, of: F.coalesce(said(path).isin(*of), F.lit(False))
     full = lambda path: F.coalesce(said(path) != "", F.lit(False))
     odd = lambda path, pattern: F.coalesce(~said(path).rlike(pattern), F.lit(False))
-    number = lambda path, kinds: kind(path).isin(*kinds) & F.coalesce(F.try_variant_get(whole, f"$.{path}", "double") >= 0, F.lit(False))
+    number = lambda path, kinds: kind(path).isin(*kinds) & F.coalesce(once("number", path, F.try_variant_get(whole, f"$.{path}", "double")) >= 0, F.lit(False))
     unit = among("scope", ("CROSS_UNIT",))
     trigger, check, aligned, stats = (kind(p) == "OBJECT" for p in ("trigger_when", "check_expr", "alignment", "stats"))
     items = F.try_variant_get(whole, "$.changelog", "array<variant>")
     lacking = lambda v: (_kind(v) != "OBJECT") | ~F.coalesce(F.forall(F.array(*map(F.lit, CHANGE)), lambda k: F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), k)), F.lit(False))
     keys = F.try_variant_get(whole, "$.alignment.join_key", "array<variant>")
-    sound_keys = F.coalesce((F.size(keys) > 0) & F.forall(keys, lambda k: _kind(k) == "STRING"), F.lit(False)) & (kind("alignment.join_key") == "ARRAY")
+    bad_changes = once("bad items of", "changelog", F.coalesce(F.exists(items, lacking), F.lit(False)))
+    sound_keys = once("strings only", "alignment.join_key", F.coalesce((F.size(keys) > 0) & F.forall(keys, lambda k: _kind(k) == "STRING"), F.lit(False))) & (kind("alignment.join_key") == "ARRAY")
+    confirmed = once("truth", "confirmation_required", F.coalesce(F.try_variant_get(whole, "$.confirmation_required", "boolean"), F.lit(False))) & (kind("confirmation_required") == "BOOLEAN")
     bad = [(~there(f), f"no {f}") for f in REQUIRED]
     bad += [(odd("rule_id", RULE_ID), "rule_id"), (there("name") & ~full("name"), "name")]
     bad += [(there(f) & ~among(f, of), f) for f, of in list(ALLOWED.items())[:2]]
@@ -51,11 +62,14 @@ def errors(text: Column) -> Column:
     bad += [(there(f) & ~among(f, of), f) for f, of in list(ALLOWED.items())[2:]]
     bad += [(odd("version", VERSION), "version"), (odd("created_at", MOMENT), "created_at"), (odd("updated_at", MOMENT), "updated_at")]
     bad += [(~kind("severity_on_violation").isin("", "VOID") & ~among("severity_on_violation", SEVERITIES), "severity_on_violation")]
-    bad += [(there("changelog") & (kind("changelog") != "ARRAY"), "changelog"), (F.coalesce(F.exists(items, lacking), F.lit(False)), "changelog[]"), (there("stats") & ~stats, "stats")]
+    bad += [(there("changelog") & (kind("changelog") != "ARRAY"), "changelog"), (bad_changes, "changelog[]"), (there("stats") & ~stats, "stats")]
     bad += [(stats & ~kind(f"stats.{f}").isin("", "VOID") & ~number(f"stats.{f}", ("BIGINT",)), f"stats.{f}") for f in COUNTS]
     bad += [(stats & ~kind(f"stats.{f}").isin("", "VOID") & ~number(f"stats.{f}", ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")), f"stats.{f}") for f in RATES]
     bad += [(~kind("alignment").isin("", "VOID", "OBJECT") | (unit & kind("alignment").isin("", "VOID")), "alignment")]
     bad += [(unit & aligned & ((kind(f"alignment.{s}") != "OBJECT") | ~there(f"alignment.{s}.role") | ~there(f"alignment.{s}.doc_type")), f"alignment.{s}") for s in ("party_a", "party_b")]
-    bad += [(unit & aligned & ~sound_keys, "alignment.join_key"), (unit & ~F.coalesce(F.when(kind("confirmation_required") == "BOOLEAN", F.try_variant_get(whole, "$.confirmation_required", "boolean")), F.lit(False)), "confirmation_required")]
-    found = F.array_compact(F.array(*[F.when(b, name) for b, name in bad]))
-    return F.when(F.coalesce(_kind(whole) == "OBJECT", F.lit(False)), found).otherwise(F.array(F.lit("document")))
+    bad += [(unit & aligned & ~sound_keys, "alignment.join_key"), (unit & ~confirmed, "confirmation_required")]
+    object_ = once("kind", "", _kind(whole)) == "OBJECT"
+    wrong = F.when(object_, F.array_compact(F.array(*[F.when(b, text) for b, text in bad]))).otherwise(F.array(F.lit("document")))
+    parsed = rows.withColumn("_whole", F.try_parse_json(column))
+    taken = parsed.withColumn("_of", F.struct(*[v.alias(f"{what} {path}") for (what, path), v in found.items()]))
+    return taken.withColumn(name, wrong).drop("_whole", "_of")

@@ -91,7 +91,8 @@ def _error_sql() -> str:
 @query("lc41_documents", _error_sql())
 def lc41_documents(t):
     """Rules as JSON documents against every constraint of their format."""
-    return t("orders").select("o_orderkey", F.array_join(rd.errors(F.expr(RULE_DOCUMENT)), ",").alias("errors"))
+    documents = t("orders").select("o_orderkey", F.expr(RULE_DOCUMENT).alias("document"))
+    return rd.checked(documents, "document").select("o_orderkey", F.array_join("errors", ",").alias("errors"))
 
 
 @query("lc46_upsert", f"WITH r AS ({ORDER_RULES}) SELECT rule_id, CASE WHEN o_orderkey % 3 = 0 THEN 'testing' ELSE status END AS status FROM r")
