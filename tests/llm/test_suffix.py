@@ -76,7 +76,7 @@ def test_removed_windows_and_long_documents():
     data = bytes(rng.integers(97, 123, 3 * suffix.PIECE + 50, dtype=np.uint8))
     batch = pd.DataFrame({"doc": [1], "d2": [0], "data": [data]})
     found = pd.concat(suffix._segments(iter([batch])))
-    assert (found["at"] & 255).sum() == len(data) - 99
+    assert (found["at"] & suffix.MASK).sum() == len(data) - 99
 
 
 def test_large_grams_are_split_and_settled_alike(spark, monkeypatch):
@@ -114,3 +114,50 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert [(d, n) for d, n, _ in got] == [(1, 300), (1, 400), (2, 150), (None, 400)]
     removed = {(d, n): x for d, n, x in got}
     assert removed[2, 150] == 150 and removed[1, 400] == 400
+
+
+def test_hashes_that_collide_change_no_result(spark, monkeypatch):
+    """Only the digests of bytes decide: with grams and windows hashed to a few values, and with common grams met by digest."""
+    from pyspark import cloudpickle
+
+    strong = suffix._Hasher
+
+    class Weak(strong):
+        def of(self, start, end):
+            return strong.of(self, start, end) & np.uint64(3)
+
+        def grams(self, n):
+            return strong.grams(self, n) & np.uint64(0x3000000000000000)
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    texts = {k: f"{word()} {passage[rng.randint(0, 40) : rng.randint(150, 300)]} {word()}" for k in range(30)} | {40: passage, 41: passage}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute(texts)
+    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == want
+    monkeypatch.setattr(suffix, "COMMON", 2)
+    assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == want
+    monkeypatch.setattr(suffix, "_Hasher", Weak)
+    cloudpickle.register_pickle_by_value(suffix)  # tasks get what is patched
+    try:
+        assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == want
+        monkeypatch.setattr(suffix, "BLOCK", 500)
+        assert {r.doc_id: tuple(r[1:]) for r in suffix.without_repeats(docs).collect()} == want
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix)
+
+
+def test_copies_within_a_piece_need_no_partner():
+    """A later copy, and what a document repeats itself, is a run of its own; rows of one document aren't earlier than each other."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    a, b = (bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (700, 400))
+    batch = pd.DataFrame({"doc": [5, 3, 3, 9], "d2": [0, 0, 0, 0], "data": [a, a, a, b + a[:300]]})
+    found = pd.concat(suffix._segments(iter([batch])))
+    late = found[found["later"]]
+    assert late[late["doc"] == 5]["at"].tolist() == [601]
+    assert not (late["doc"] == 3).any() and (found["doc"] == 3).sum() % 2 == 0
+    own = late[late["doc"] == 9]["at"].tolist()
+    assert len(own) == 1 and own[0] >> suffix.SHIFT >= 400

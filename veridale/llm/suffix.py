@@ -16,13 +16,16 @@ between two borders then share 100 bytes, and all but the earliest are removed.
 
 A gram with more differing segments than four blocks hold is split: its segments are cut into windows, and
 those whose 64-bit digest no other window has are dropped, since nothing repeats them. The others are
-dealt out by digest to blocks that are settled by the same extension, on their bytes: first in SALTS parts of each digest,
+dealt out by digest to blocks that are settled by the same extension, on their bytes: first in SALTS parts or more of each digest,
 then the earliest of each part. A block of one window only keeps its earliest copy, so however many segments
 a gram or a window has, no task holds more than a few blocks.
 
-Segments are taken as equal if a 64-bit hash of their gram and another of their whole are: n different segments with one
-gram are confused with odds of n * n / 2^65. A row of the main shuffle is a segment
-(one per 39 bytes), not a suffix; a segment that a document repeats is dropped before it.
+Segments are taken as equal if the 128-bit BLAKE2b digests of their bytes are: no input is known, or can be made, that
+has two with one digest. The other hashes only decide which rows meet, and don't change a result if they collide. A row
+of the main shuffle is a segment (one per 39 bytes), not a suffix. Segments that a piece of about 1 MB repeats are found
+in the piece, runs of them are one row, and they need no partner. Rows meet by their gram; those of a gram
+that has differing segments in many pieces, as the ends of a common passage have, meet by their digest instead, and all
+go on. So neither the copies of one segment nor the segments of one gram are sorted in one task.
 
 Defined results: null and empty texts have 0 bytes; rows with the same doc_id and text are one document
 and get the same result; rows with one doc_id and different texts are ordered by a hash of the text;
@@ -47,9 +50,14 @@ GRAM = 24
 #: Bytes that are hashed at once, and bytes of a block.
 PIECE = 1 << 20
 BLOCK = 1 << 20
-SEGMENTS = "h long, s long, doc long, d2 long, at long, later boolean"
-#: Parts that the copies of one window are dealt to.
-SALTS = 32
+SEGMENTS = "h long, s long, s2 long, doc long, d2 long, at long, later boolean"
+#: Places of bits in `at`: a run's start, above the number of its windows.
+SHIFT = 24
+MASK = (1 << SHIFT) - 1
+#: Least parts that the copies of one window are dealt to, and copies of the commonest one that a part has.
+SALTS, COPIES = 32, 1 << 16
+#: A gram is common from so many segments on, and from so large a part of those that are counted: so at most SHARE grams are.
+COMMON, SHARE = 1 << 12, 1 << 16
 WINDOWS = "k long, g long, doc long, d2 long, at long, bytes binary"
 
 _MASK = (1 << 64) - 1
@@ -97,8 +105,8 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def segments_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the documents that end at `ends` in data: gram hash, digest, start and number of windows of each segment."""
+def segments_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, _Hasher]:
+    """Of the documents that end at `ends` in data: gram hash, start and number of windows of each segment; and a hasher of data."""
     hasher = _Hasher(data)
     grams = hasher.grams(GRAM)
     keyed = (grams & np.uint64(_MASK ^ 0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
@@ -112,9 +120,13 @@ def segments_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     anchor = place[at]
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))))
     first, n = at[new], np.diff(np.append(new, len(at)))
-    # the anchor's place in the segment belongs to what must agree
-    digest = _mixed(hasher.of(first, first + n + LENGTH - 1) + n.astype(np.uint64) * np.uint64(_BASE))
-    return grams[anchor[new]], digest, first, n
+    return grams[anchor[new]], first, n, hasher
+
+
+def _digests_of(data: bytes, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The digests of segments, two longs each."""
+    each = (hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist()))
+    return np.frombuffer(b"".join(each), dtype=np.int64).reshape(-1, 2)
 
 
 def _pieces(batch: pd.DataFrame) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -134,27 +146,45 @@ def _pieces(batch: pd.DataFrame) -> Iterator[list[tuple[int, int, int, bytes]]]:
         yield out
 
 
+def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """h, n of the grams of two or more differing segments in a piece."""
+    for batch in batches:
+        for pieces in _pieces(batch):
+            h, first, n, hasher = segments_of(np.frombuffer(b"".join(p[3] for p in pieces), dtype=np.uint8), np.cumsum([len(p[3]) for p in pieces]))
+            order = np.argsort(h)
+            near = np.concatenate(([False], h[order][1:] == h[order][:-1]))
+            own = order[near | np.append(near[1:], False)]
+            kinds = pd.DataFrame({"h": h[own], "s": hasher.of(first[own], first[own] + n[own] + LENGTH - 1)}).drop_duplicates()
+            grams, counts = np.unique(kinds["h"].to_numpy(), return_counts=True)
+            yield pd.DataFrame({"h": grams[counts > 1].view(np.int64), "n": counts[counts > 1]})
+
+
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for pieces in _pieces(batch):
-            data = np.frombuffer(b"".join(p[3] for p in pieces), dtype=np.uint8)
+            joined = b"".join(p[3] for p in pieces)
             ends = np.cumsum([len(p[3]) for p in pieces])
-            h, s, first, n = segments_of(data, ends)
+            h, first, n, _ = segments_of(np.frombuffer(joined, dtype=np.uint8), ends)
+            s, s2 = _digests_of(joined, first, n).T
             of = np.searchsorted(ends, first, side="right")
             doc, d2, offset = (np.array([p[k] for p in pieces], dtype=np.int64)[of] for k in range(3))
             start = first - np.concatenate(([0], ends[:-1]))[of] + offset
-            # what a document itself repeats, later, is removed whatever else there is
-            order = np.lexsort((start, s, h, d2, doc))
-            same = np.ones(len(order), dtype=bool)
-            same[:1] = False
-            for x in (h, s, doc, d2):
-                same[1:] &= x[order][1:] == x[order][:-1]
-            begun = start[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            # what the piece has earlier, in the order of documents, is removed whatever else there is; rows of one document aren't earlier than each other
+            order = np.lexsort((start, d2, doc, s2, s))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (s[order][1:] != s[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+            begun = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
             later = np.zeros(len(order), dtype=bool)
-            later[order] = start[order] > begun
-            # it needs no partner, so it goes anywhere but to where its gram's other segments meet
-            h = np.where(later, _mixed((doc ^ start << 20).astype(np.uint64)), h)
-            yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "doc": doc, "d2": d2, "at": start << 8 | n, "later": later})
+            later[order] = (doc[order] != doc[begun]) | (d2[order] != d2[begun]) | (start[order] != start[begun])
+            rows = pd.DataFrame({"h": h.view(np.int64), "s": s, "s2": s2, "doc": doc, "d2": d2, "at": start << SHIFT | n, "later": later})
+            yield rows[~later]
+            # runs of them are one row each, and go anywhere
+            k = np.flatnonzero(later)
+            if len(k):
+                new = np.concatenate(([True], (np.diff(k) != 1) | (np.diff(of[k]) != 0) | (start[k][1:] != start[k][:-1] + n[k][:-1])))
+                run = k[new]
+                windows = np.add.reduceat(n[k], np.flatnonzero(new))
+                yield pd.DataFrame({"h": doc[run] ^ start[run], "s": 0, "s2": 0, "doc": doc[run], "d2": d2[run], "at": start[run] << SHIFT | windows, "later": True})
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +261,7 @@ def _groups(strings: list[bytes]) -> np.ndarray:
 def _removed_windows(block: pd.DataFrame) -> pd.DataFrame:
     """Runs of windows in the block's segments that an earlier segment has as well."""
     block = block.drop_duplicates(["h", "doc", "d2", "at"]).sort_values(["doc", "d2", "at"], ignore_index=True)
-    data, n = block["bytes"].tolist(), (block["at"].to_numpy() & 255)
+    data, n = block["bytes"].tolist(), (block["at"].to_numpy() & MASK)
     sizes = np.array([len(b) for b in data]) + 1
     base = np.cumsum(sizes) - sizes
     # windows begin at the first n places of each segment; segments are in the order of documents
@@ -239,14 +269,14 @@ def _removed_windows(block: pd.DataFrame) -> pd.DataFrame:
     group = _groups(data)[starts]
     again = _repeated(group, np.arange(len(starts)))
     segment = np.repeat(np.arange(len(n)), n)
-    place = starts - base[segment] + (block["at"].to_numpy() >> 8)[segment]
+    place = starts - base[segment] + (block["at"].to_numpy() >> SHIFT)[segment]
     hit = np.flatnonzero(again)
     if not len(hit):
         return pd.DataFrame({"doc": [], "d2": [], "at": []}).astype("int64")
     new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(segment[hit]) != 0))))
     run = np.diff(np.append(new, len(hit)))
     own = segment[hit[new]]
-    return pd.DataFrame({"doc": block["doc"].to_numpy()[own], "d2": block["d2"].to_numpy()[own], "at": place[hit[new]] << 8 | run})
+    return pd.DataFrame({"doc": block["doc"].to_numpy()[own], "d2": block["d2"].to_numpy()[own], "at": place[hit[new]] << SHIFT | run})
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,15 +311,15 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": hasher.of(starts, starts + LENGTH).view(np.int64)})
 
 
-def _cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row of WINDOWS for each window of the segments; k: the digest's part."""
+def _cut_windows(batches: Iterator[pd.DataFrame], salts: int) -> Iterator[pd.DataFrame]:
+    """A row of WINDOWS for each window of the segments; k: the digest's part, one of `salts`."""
     for rows, starts, hasher, data in _windows(batches):
         g = hasher.of(starts, starts + LENGTH)
-        n = rows["at"].to_numpy() & 255
+        n = rows["at"].to_numpy() & MASK
         own = {c: np.repeat(rows[c].to_numpy(), n) for c in ("doc", "d2")}
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         part = _mixed(g ^ _mixed(own["doc"].view(np.uint64)) % np.uint64(SALTS))
-        at = (np.repeat(rows["at"].to_numpy() >> 8, n) + inner) << 8 | 1
+        at = (np.repeat(rows["at"].to_numpy() >> SHIFT, n) + inner) << SHIFT | 1
         yield pd.DataFrame({"k": part.view(np.int64), "g": g.view(np.int64), **own, "at": at, "bytes": [data[a : a + LENGTH] for a in starts.tolist()]})
 
 
@@ -298,7 +328,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np
     for batch in batches:
         for lo in range(0, len(batch), 4096):
             rows = batch.iloc[lo : lo + 4096]
-            parts, n = rows["bytes"].tolist(), rows["at"].to_numpy() & 255
+            parts, n = rows["bytes"].tolist(), rows["at"].to_numpy() & MASK
             sizes = np.array([len(x) for x in parts])
             starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
             data = b"".join(parts)
@@ -335,8 +365,10 @@ def _first_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _of_large_grams(cut: DataFrame) -> DataFrame:
     """doc, d2, at of the windows in the segments (doc, d2, at, bytes) that an earlier segment has as well."""
-    again = written(cut.select("at", "bytes").mapInPandas(_digests, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "again")
-    rows = cut.select("doc", "d2", "at", "bytes").mapInPandas(_cut_windows, WINDOWS).join(again, "g", "left_semi").select(*[c.split()[0] for c in WINDOWS.split(", ")])
+    again = written(cut.select("at", "bytes").mapInPandas(_digests, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    salts = max(SALTS, (again.agg(F.max("n")).first()[0] or 0) // COPIES)
+    windows = cut.select("doc", "d2", "at", "bytes").mapInPandas(lambda batches: _cut_windows(batches, salts), WINDOWS)
+    rows = windows.join(again, "g", "left_semi").select(*[c.split()[0] for c in WINDOWS.split(", ")])
     gone = None
     for _ in range(2):  # the parts of each digest, then the earliest of each part
         dealt = rows.repartition("k").sortWithinPartitions("k", "doc", "d2", "at")
@@ -354,7 +386,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, removed, spans, kept = len(data), 0, 0, data
             if at is not None and len(at):
                 at = np.sort(np.asarray(at, dtype=np.int64))
-                start, end = at >> 8, (at >> 8) + (at & 255) + LENGTH - 1
+                start, end = at >> SHIFT, (at >> SHIFT) + (at & MASK) + LENGTH - 1
                 reach = np.maximum.accumulate(end)
                 new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
                 lo, hi = start[new], reach[np.append(new[1:], len(start)) - 1]
@@ -365,24 +397,31 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc, d2, doc_id, data), and the windows to remove: doc, d2, at (start << 8 | number of windows)."""
+    """Documents (doc, d2, doc_id, data), and the windows to remove: doc, d2, at (start << SHIFT | number of windows)."""
     t = whole("text").cast("binary")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("d2"), F.col("doc_id").cast("long").alias("doc_id"), t.alias("data"))
-    found = base.select("doc", "d2", "data").mapInPandas(_segments, SEGMENTS).repartition("h")
-    alike, gram = Window.partitionBy("h", "s"), Window.partitionBy("h")
+    texts = base.select("doc", "d2", "data")
+    counts = written(texts.mapInPandas(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "grams")
+    least = max(COMMON, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SHARE))
+    common = counts.where(F.col("n") >= least).select("h", F.lit(True).alias("common"))  # at most SHARE rows
+    found = texts.mapInPandas(_segments, SEGMENTS).join(F.broadcast(common), "h", "left")
+    # common grams have differing segments, so theirs need not meet to see that
+    found = found.withColumn("by", F.when(F.col("common"), F.col("s")).otherwise(0)).repartition("h", "by")
+    alike, gram = Window.partitionBy("h", "by", "s", "s2"), Window.partitionBy("h", "by")
     own = ~F.col("later")
+    kind = F.struct("s", "s2")
     judged = (
         found.withColumn("first", F.min(F.when(own, F.struct("doc", "d2", "at"))).over(alike))
-        .withColumn("low", F.min("s").over(gram)).withColumn("high", F.max("s").over(gram))
-        .select("h", "doc", "d2", "at", (F.col("later") | (F.struct("doc", "d2", "at") != F.col("first"))).alias("gone"), (F.col("low") != F.col("high")).alias("differ"))
+        .withColumn("low", F.min(F.when(own, kind)).over(gram)).withColumn("high", F.max(F.when(own, kind)).over(gram))
+        .select("h", "doc", "d2", "at", (F.col("later") | (F.struct("doc", "d2", "at") != F.col("first"))).alias("gone"), (F.col("common").isNotNull() | (F.col("low") != F.col("high"))).alias("differ"))
         .where("gone or differ")
     )
     judged = written(judged, "segments")
     wanted = judged.where("differ and not gone").groupBy("doc", "d2").agg(F.collect_set(F.struct("h", "at")).alias("wanted"))
     # by lengths, before the bytes are cut
-    large = written(judged.where("differ and not gone").groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(255)) + LENGTH - 1).alias("n")).where(F.col("n") > 4 * BLOCK).select("h"), "large")
+    large = written(judged.where("differ and not gone").groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(MASK)) + LENGTH - 1).alias("n")).where(F.col("n") > 4 * BLOCK).select("h"), "large")
     cut = base.select("doc", "d2", "data").join(wanted, ["doc", "d2"]).select("doc", "d2", F.explode("wanted").alias("w"), "data").select(
-        "w.h", "doc", "d2", "w.at", F.expr(f"substring(data, int(shiftright(w.at, 8)) + 1, int(w.at & 255) + {LENGTH - 1})").alias("bytes"))
+        "w.h", "doc", "d2", "w.at", F.expr(f"substring(data, int(shiftright(w.at, {SHIFT})) + 1, int(w.at & {MASK}) + {LENGTH - 1})").alias("bytes"))
     partly = cut.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_blocks, "doc long, d2 long, at long")
     if not large.isEmpty():
         partly = partly.unionByName(_of_large_grams(written(cut.join(large, "h", "left_semi"), "large")))
