@@ -1,5 +1,6 @@
 """Queries without SQL against plain versions, row by row, on the smallest tables."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -93,7 +94,7 @@ def lc24(texts, **_):
     groups = defaultdict(list)
     for k, c in plain_dbscan({k: words(t) for k, t in texts.items()}, 0.7, 2).items():
         groups[c].append(k)
-    return {(c, len(v), tuple(sorted(v))) for c, v in groups.items() if c >= 0 and len(v) >= 2}
+    return {(c, len(v), k) for c, v in groups.items() if c >= 0 and len(v) >= 2 for k in v}
 
 
 def pr19(texts, **_):
@@ -238,7 +239,7 @@ def rv21_hash(small, spark, **_):
 PLAIN = {
     "rv21_hash": (rv21_hash, lambda r: (r.id, r.signer, r.hash, r.hash_distance)),
     "lc15_jaccard": (lc15, lambda r: (r.a, r.b, round(r.similarity, 9))), "lc19_dbscan": (lc19, lambda r: (r.id, r.cluster)), "lc20_greedy": (lc20, lambda r: (r.id, r.cluster)),
-    "lc24_analysis": (lc24, lambda r: (r.cluster, r.n, tuple(r.ids))), "pr19_generic_rows": (pr19, lambda r: (r.doc_id, r.page, r.line_no, tuple(sorted(r.cells.items())))),
+    "lc24_analysis": (lc24, lambda r: (r.cluster, r.n, r.id)), "pr19_generic_rows": (pr19, lambda r: (r.doc_id, r.page, r.line_no, tuple(sorted(r.cells.items())))),
     "ly4_without_overlaps": (ly4, lambda r: (r.doc_id, r["item"])), "ly5_text_rows": (ly5, lambda r: (r.doc_id, r["item"], r.text_row)), "ly13_filled": (ly13, lambda r: (r.doc_id, r["item"], r.inferred)),
 }
 
@@ -299,3 +300,23 @@ def test_pairs_of_sets_at_the_threshold(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
     assert len({len(v) for v in sets.values()}) > 3 and any(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) == 0.7 for a, b in want)
     assert {(r.a, r.b) for r in cluster.similar_pairs(frame, 0.7).collect()} == want
+
+
+def test_pairs_with_long_lists_split(spark, monkeypatch):
+    """Lists of common tokens in many parts, at several thresholds, against all pairs."""
+    rng = random.Random(6)
+    sets = {}
+    for k in range(90):
+        base = sets[rng.randrange(k)] if k and rng.random() < 0.6 else {f"t{rng.randrange(14)}" for _ in range(rng.randint(1, 14))}
+        sets[k] = (base - {f"t{rng.randrange(14)}"}) | ({f"v{rng.randrange(3)}"} if rng.random() < 0.5 else set()) or {"t0"}
+    first = {}
+    for k, v in sets.items():
+        first.setdefault(frozenset(v), k)
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    monkeypatch.setattr(cluster, "LIST", 4)
+    for threshold in (0.3, 0.6, 0.8, 1.0):
+        got = [(r.a, r.b) for r in cluster.similar_pairs(frame, threshold).collect()]
+        ids = sorted(first.values())
+        want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+        want |= {(first[frozenset(v)], k) for k, v in sets.items() if first[frozenset(v)] != k}
+        assert len(got) == len(set(got)) and set(got) == want, threshold
