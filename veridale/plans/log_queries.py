@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..operators import charts
 from ..operators import cluster as cl
 from ..operators import events as ev
 from ..operators import folds
@@ -117,6 +118,25 @@ def rv19(t):
     return rv.shares(_findings(t), "result")
 
 
+@query("rv19_ring", f"""WITH c AS (SELECT {RESULT} AS result, count(*) AS n FROM events GROUP BY 1),
+o AS (SELECT result, n, list_position(['pass', 'fail', 'suspicious', 'needs_ai', 'not_applicable'], result) AS k FROM c),
+s AS (SELECT result, n, n / sum(n) OVER () AS share, (sum(n) OVER (ORDER BY k) - n) / sum(n) OVER () * 360 - 90 AS a FROM o),
+e AS (SELECT *, a + share * 360 AS b, radians(a) AS u, radians(a + share * 360) AS w, CASE WHEN share > 0.5 THEN '1' ELSE '0' END AS large FROM s)
+SELECT result, n, round(share, 9) AS share, round(a, 6) AS start, round(b, 6) AS "end",
+  printf('M %.1f %.1f A 130.0 130.0 0 %s 1 %.1f %.1f L %.1f %.1f A 71.5 71.5 0 %s 0 %.1f %.1f Z', round(140 + 130 * cos(u), 1), round(140 + 130 * sin(u), 1), large, round(140 + 130 * cos(w), 1), round(140 + 130 * sin(w), 1),
+  round(140 + 71.5 * cos(w), 1), round(140 + 71.5 * sin(w), 1), large, round(140 + 71.5 * cos(u), 1), round(140 + 71.5 * sin(u), 1)) AS path FROM e""")
+def rv19_ring(t):
+    return charts.ring(_findings(t)).select("result", "n", F.round("share", 9).alias("share"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "path")
+
+
+@query("rv19_bars", f"""WITH c AS (SELECT 'documents of ' || user_id AS label, count(*) FILTER (WHERE {RESULT} = 'fail') AS n_fail, count(*) FILTER (WHERE {RESULT} = 'suspicious') AS n_suspicious FROM events WHERE {RESULT} IN ('fail', 'suspicious') GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n_fail + n_suspicious DESC, label) AS k, 420.0 / max(n_fail + n_suspicious) OVER () AS scale FROM c)
+SELECT label, CASE WHEN length(label) <= 12 THEN label ELSE label[:11] || '…' END AS shown, n_fail, n_suspicious, CAST(20 + (k - 1) * 34 AS DOUBLE) AS y, round(n_fail * scale, 6)::DOUBLE AS fail_width, round(n_suspicious * scale, 6)::DOUBLE AS suspicious_width FROM r""")
+def rv19_bars(t):
+    findings = _findings(t).withColumn("unit", F.concat(F.lit("documents of "), F.col("doc_id").cast("string")))
+    return charts.bars(findings, "unit").select("label", "shown", "n_fail", "n_suspicious", "y", F.round("fail_width", 6).alias("fail_width"), F.round("suspicious_width", 6).alias("suspicious_width"))
+
+
 @query("rv21_similarity", """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first, min(vec_id) AS i FROM embeddings GROUP BY 1), s AS (SELECT vec_id AS id, e.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(first AS DOUBLE[])) AS s FROM embeddings e JOIN f ON e.label = f.label WHERE vec_id <> i)
 SELECT id, label, round(CAST(s AS DECIMAL(18,8)), 6)::DOUBLE AS similarity FROM s""")
 def rv21(t):
