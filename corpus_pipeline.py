@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridale.llm import contamination, mixing, quality, sharding, simhash
-from veridale.llm.scratch import written
+from veridale.sources.scratch import written
 
 SHARDS = 40
 
