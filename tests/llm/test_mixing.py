@@ -3,6 +3,7 @@ from fractions import Fraction
 
 from veridale.llm import mixing
 from veridale.llm.queries import op8_mixing
+from veridale.operators import graph
 
 
 def targets(sizes):
@@ -76,7 +77,8 @@ def test_the_draw_is_pareto_order_sampling(spark, monkeypatch):
     assert set(numbers) == set(classes) and all(0 <= n <= len(classes[k]) for k, n in numbers.items())
     name = lambda r: (r["source"], r["doc_id"], r["digest"], r["copy"])
     want = {name(r) for k, rows in classes.items() for r in plain_draw(rows, numbers[k])}
-    for edge, buckets in ((mixing.EDGE, mixing.BUCKETS), (2, 4)):  # with one depth of buckets and with many
+    for edge, buckets, least in ((mixing.EDGE, mixing.BUCKETS, graph.LEAST), (2, 4, 10)):  # with one depth of buckets and with many, with one task a source and with several
+        monkeypatch.setattr(graph, "LEAST", least)
         monkeypatch.setattr(mixing, "EDGE", edge)
         monkeypatch.setattr(mixing, "BUCKETS", buckets)
         got = mixing.drawn(mixing.ranked(docs).where("class is not null"), mixing._numbers(mixing.ranked(docs), 42)).collect()

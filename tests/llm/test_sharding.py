@@ -47,7 +47,16 @@ def test_op3_law_rows(spark, small):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "rows", None)
 
 
+def test_cells_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 20)
+    check_walk(spark)
+
+
 def test_rows_go_where_a_walk_round_the_ring_takes_them(spark):
+    check_walk(spark)
+
+
+def check_walk(spark):
     docs = spark.range(900).selectExpr("if(id < 300, 5, id) as doc_id", "if(id < 150, 'same', string(id)) as text")
     rows = sharding.placed(docs, 5, 8).collect()
     whole(rows, 5, 900)

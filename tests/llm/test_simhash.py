@@ -69,9 +69,9 @@ def test_links_sparse_and_dense(spark):
         fps |= set(group)
     signed = {d: (f - (1 << 64) if f >> 63 else f) for d, f in enumerate(sorted(fps))}
     frame = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
-    from veridale.llm.graph import connected_components
+    from veridale.operators.graph import components
 
-    of = {r.node: r.component for r in connected_components(simhash.links(frame)).collect()}
+    of = {r.node: r.component for r in components(simhash.links(frame).toDF("from", "to")).collect()}
     want = brute_components({d: f % (1 << 64) for d, f in signed.items()})
     groups = {}
     for d, f in signed.items():

@@ -26,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import dealt_join
 from .repeats import counted, each_copy
-from .scratch import written
+from ..operators.graph import dealt_join
+from ..sources.scratch import written
 from .words import n_words, whole
 
 MOST_COPIES = 3
@@ -39,13 +39,13 @@ EDGE = 1 << 14
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target from the sum of `size` per source.
+    """source, source_size, target, n (rows) from the sum of `size` per source.
 
     Weights 1, 2, 3, repeating in code point order, null last. A target stops at 3 times its source's
     size. Sources reach that stop in the order of size / weight, so running sums in that order tell
     which ones do. The table has a row for each source: it is small enough for one task.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     per = per.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
     order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     per = per.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= MOST_COPIES * F.col("source_size"))
     per = per.withColumn("at", F.min(F.when(F.col("open"), F.struct(F.row_number().over(order).alias("k"), "level"))).over(everything)["level"])
     stop = (MOST_COPIES * F.col("source_size")).cast("double")
-    return per.select("source", "source_size", F.coalesce(F.least(stop, F.col("at") * F.col("weight")), stop).alias("target"))
+    return per.select("source", "n", "source_size", F.coalesce(F.least(stop, F.col("at") * F.col("weight")), stop).alias("target"))
 
 
 def _uniform(seed: int) -> Column:
@@ -67,7 +67,7 @@ def _uniform(seed: int) -> Column:
 
 
 def _with(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
-    """rows with the columns of table, which has a row for each source (and key); sources may be null. A source's rows are dealt to several tasks."""
+    """rows with the columns of table, which has a row for each source (and key) with `n`, its number of rows; sources may be null. The rows of a large source are dealt to tasks by their number."""
     def named(frame: DataFrame) -> DataFrame:
         return frame.withColumn("_src", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
 
@@ -75,7 +75,7 @@ def _with(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
 
 
 def _numbers(of: DataFrame, seed: int) -> DataFrame:
-    """source, class, most: how many documents each class draws, from rows (source, class, size, p).
+    """source, class, n, most: how many of its n documents each class draws, from rows (source, class, size, p).
 
     A source has CLASSES classes for each doubling of the length, some hundred at most: they are one array. Numbers are
     rounded at random, up or down by their fraction, so that no odds are lost in classes of few; the last is rounded to the nearest.
@@ -83,31 +83,33 @@ def _numbers(of: DataFrame, seed: int) -> DataFrame:
     per = of.where("class is not null").groupBy("source", "class").agg(F.count(F.lit(1)).alias("rows"), F.sum("p").alias("p"), F.sum(F.col("p") * F.col("size")).alias("words"))
     chance = F.pmod(F.xxhash64("source", "class", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     each = per.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "rows", (F.col("words") / F.col("p")).alias("mean"), "words", chance.alias("chance"))), asc=False).alias("c"), F.min("class").alias("last"))
-    state = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<class:int,most:bigint>>").alias("out"))
+    state = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<class:int,n:bigint,most:bigint>>").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
         wanted = s["left"] + c["words"]
         up = F.when(c["class"] == F.col("last"), 0.5).otherwise(c["chance"])
         most = F.least(c["rows"], F.greatest(F.lit(0), F.floor(wanted / c["mean"] + up))).cast("bigint")
-        return F.struct((wanted - most * c["mean"]).alias("left"), F.concat(s["out"], F.array(F.struct(c["class"].alias("class"), most.alias("most")))).alias("out"))
+        return F.struct((wanted - most * c["mean"]).alias("left"), F.concat(s["out"], F.array(F.struct(c["class"].alias("class"), c["rows"].alias("n"), most.alias("most")))).alias("out"))
 
     return each.select("source", F.inline(F.aggregate("c", state, step)["out"]))
 
 
 def drawn(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """rows (source, class, rank in [0, 1), doc_id, digest, copy, ..) with `extra`: 1 for the first by rank, as many of each class as numbers (source, class, most) say."""
+    """rows (source, class, rank in [0, 1), doc_id, digest, copy, ..) with `extra`: 1 for the first by rank, as many of each class as numbers (source, class, n, most) say."""
     place, left, done = F.col("rank"), numbers, None
     while True:
         at = rows.withColumn("at", place).withColumn("bucket", F.least(F.floor(F.col("at") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-        sums = _with(at.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest")), left.select("source", "class", "most"), "class")
+        of = left.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "most", F.col("n").alias("rows"))
+        same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c"))
+        sums = at.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("n")).join(of, same, "left").drop("_s", "_c", "rows")
         before = F.sum("n").over(Window.partitionBy("source", "class").orderBy("bucket")) - F.col("n")
         # the bucket where the number is full; none if all are taken
         full = sums.withColumn("before", before).where(F.col("before") + F.col("n") > F.col("most"))
         cut = full.groupBy("source", "class").agg(F.min(F.struct("bucket", "before", "n", "most")).alias("c"))
-        cut = left.select("source", "class").join(cut.withColumnsRenamed({"source": "_s", "class": "_c"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left")
-        cut = written(cut.select("source", "class", F.coalesce("c.bucket", F.lit(BUCKETS)).alias("full"), (F.col("c.most") - F.col("c.before")).alias("most"), F.col("c.n").alias("n")), "cuts")
+        cut = cut.join(of, same, "right").select(F.col("_s").alias("source"), F.col("_c").alias("class"), F.coalesce("c.bucket", F.lit(BUCKETS)).alias("full"), (F.col("c.most") - F.col("c.before")).alias("most"), F.col("c.n").alias("n"), "rows")
+        cut = written(cut, "cuts")
         side = F.when(F.col("bucket") < F.col("full"), 1).when(F.col("bucket") > F.col("full"), 0)
-        judged = written(_with(at, cut.select("source", "class", "full"), "class").withColumn("extra", side), "judged").drop("full")
+        judged = written(_with(at, cut.select("source", "class", "full", F.col("rows").alias("n")), "class").withColumn("extra", side), "judged").drop("full")
         sure = judged.where("extra is not null").drop("at", "bucket")
         done = sure if done is None else done.unionByName(sure)
         rows, left = judged.where("extra is null").drop("extra"), cut.where("n is not null")
@@ -116,7 +118,7 @@ def drawn(rows: DataFrame, numbers: DataFrame) -> DataFrame:
             break
         place = F.col("at") * BUCKETS - F.col("bucket")
     order = Window.partitionBy("source", "class").orderBy("at", "doc_id", "digest", "copy")
-    last = _with(rows, left.select("source", "class", "most"), "class").withColumn("extra", (F.row_number().over(order) <= F.col("most")).cast("int"))
+    last = _with(rows, left.select("source", "class", "most", "n"), "class").withColumn("extra", (F.row_number().over(order) <= F.col("most")).cast("int"))
     return done.unionByName(last.drop("at", "bucket", "most"))
 
 

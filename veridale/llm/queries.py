@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, convtrie, langid, mixing, negatives, pii, quality, scratch, sharding, simhash, suffix, tokencount, urlfilter
+from ..sources import scratch
+from . import chat, contamination, convtrie, langid, mixing, negatives, pii, quality, sharding, simhash, suffix, tokencount, urlfilter
 from .urlfilter import UrlRule
 from .words import unsigned_hex
 

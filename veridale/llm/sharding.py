@@ -14,8 +14,8 @@ look up their cell. Each row's slot follows from its virtual node's base and its
 from 0 in each shard.
 
 Rows of a cell are numbered without bringing them together: equal rows are one row with a count, the
-others are dealt to PARTS parts of a cell by their content, parts are numbered by running sums of their
-counts, and only a part is ordered. So a doc_id that a third of all rows share, or a null one, takes
+others are dealt to parts of a cell by their content, of about PART rows each, parts are numbered by running
+sums of their counts, and only a part is ordered. So a doc_id that a third of all rows share, or a null one, takes
 many tasks. Equal texts are kept together only as far as the law `rows` lets them: their doc_ids decide.
 
 Defined results: null texts have size 16 and checksum 0; null doc_ids share one cell; repeated rows
@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import counted, each_copy
-from .scratch import written
+from ..sources.scratch import written
 from .words import whole
 
 CELLS = 1 << 16
 VIRTUAL_NODES = 64
-#: Parts that the rows of a cell are dealt to.
-PARTS = 64
+#: Distinct rows in a part of a cell, on average, where a cell has more.
+PART = 1 << 12
 
 
 def _cell(*parts: Column) -> Column:
@@ -90,7 +90,10 @@ def placed(docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES) ->
     key = F.xxhash64(F.lit("key"), F.col("doc_id"))
     rows = docs.select("doc_id", F.octet_length(whole("text")).cast("long").alias("bytes"), F.crc32(whole("text").cast("binary")).alias("text_crc32"))
     rows = counted(rows, "doc_id", "bytes", "text_crc32").withColumn("key", key).withColumn("cell", F.shiftrightunsigned("key", 48).cast("int"))
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "bytes"), F.lit(PARTS)).cast("int")), "rows")
+    rows = written(rows, "rows")
+    # a row for each cell: 65,536 at most
+    split = F.broadcast(written(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "split"))
+    rows = rows.join(split, "cell").withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "bytes"), F.col("parts"))).drop("parts")
     parts = written(rows.groupBy("cell", "part").agg(F.sum("n").alias("n")), "parts")
     nodes = _nodes(docs, shards, virtual_nodes)
     by_node = Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +114,7 @@ def placed(docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES) ->
         .select(F.col("src.node").alias("node"), "lo", F.least(F.coalesce("next", "src.end"), "src.end").alias("hi"), F.col("dst.shard").alias("to_shard"), F.col("dst.shift").alias("shift"))
     )
 
-    # at most PARTS rows a cell are ordered by their part, then the distinct rows of a part
+    # the parts of a cell are ordered, then the distinct rows of a part
     in_cell = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("first", F.coalesce(F.sum("n").over(in_cell), F.lit(0))).select("cell", "part", "first")
     in_part = Window.partitionBy("cell", "part").orderBy("key", "doc_id", "text_crc32", "bytes").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components, dealt_join
-from .scratch import written
+from ..operators.graph import components, dealt_join
+from ..sources.scratch import written
 
 BITS, NEEDED, PREFIX = 2, 6, 4
 SMALL = 16
@@ -155,10 +155,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     fps = written(rows.mapInPandas(of_rows, "doc_id long, digest long, fp long").groupBy("fp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")
     nodes = written(fps.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
-    parts = written(connected_components(links(nodes)).select(F.col("node").alias("fp"), "component"), "parts")
+    parts = written(components(links(nodes).toDF("from", "to")).select(F.col("node").alias("fp"), "component"), "parts")
     # a class is named by its least fingerprint: doc_ids can be null or repeated
-    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("of_class")), "linked")
-    of_class = dealt_join(parts, linked, "component", "fp").select("fp", "of_class")
+    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("of_class"), F.count(F.lit(1)).alias("n")), "linked")
+    of_class = dealt_join(parts, linked, ["component"], "fp").select("fp", "of_class")
     first = written(nodes.join(of_class, "fp", "left").select("fp", F.coalesce("of_class", "first").alias("first")), "firsts")
     return fps.join(first, "fp").select("doc_id", "digest", (row != F.col("first")).alias("gone"), "n").where("gone or n > 1")
 
@@ -167,9 +167,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = written(connected_components(links(nodes)).select(F.col("node").alias("fp"), "component"), "parts")
-    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("component_id")), "linked")
-    of_fp = nodes.join(dealt_join(parts, linked, "component", "fp").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    parts = written(components(links(nodes).toDF("from", "to")).select(F.col("node").alias("fp"), "component"), "parts")
+    linked = written(nodes.join(parts, "fp").groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "linked")
+    of_fp = nodes.join(dealt_join(parts, linked, ["component"], "fp").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     # written, so that both sides of the last join are dealt by it and Spark can split a fingerprint that many copies share
     of_fp = written(of_fp, "classes")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")

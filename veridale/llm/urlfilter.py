@@ -24,8 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components, dealt_join
-from .scratch import written
+from ..operators.graph import components, dealt_join
+from ..sources.scratch import written
 from .words import whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,11 +99,12 @@ def judged(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None =
     edges = read.where("node <> ''").select(F.col("node").alias("a"), F.explode("targets").alias("b")).where("b <> ''")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(whole("from_url")).alias("a"), node_of(whole("to_url")).alias("b")).where("a <> '' and b <> ''"))
-    parts = written(connected_components(edges), "parts")
+    parts = written(components(edges.toDF("from", "to")), "parts")
     marks = read.where("verdict is not null").groupBy("node").agg(F.max((F.col("verdict") == "block").cast("int")).alias("blocks"), F.max((F.col("verdict") == "allow").cast("int")).alias("allows"))
     per_part = parts.join(marks, "node").groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("allows").alias("allows"))
     blocked = written(per_part.where("blocks = 1 and allows = 0").select(F.col("component").alias("blocked")), "blocked")
     # a component may have many nodes: its row goes to several tasks
-    passed = dealt_join(parts, parts.select("component").distinct().join(blocked, F.col("component") == F.col("blocked"), "left"), "component", "node")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    passed = dealt_join(parts, written(sizes.join(blocked, F.col("component") == F.col("blocked"), "left"), "components"), ["component"], "node")
     out = read.join(passed.select("node", "component", F.when(F.col("blocked").isNotNull(), "block").alias("passed")), "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "passed", F.lit(default)).alias("verdict"), "component")
