@@ -1,7 +1,9 @@
 """Queries without SQL against plain versions, row by row, on the smallest tables."""
 
+import math
 import random
 import re
+import statistics
 from collections import defaultdict
 
 import pytest
@@ -320,3 +322,50 @@ def test_pairs_with_long_lists_split(spark, monkeypatch):
         want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
         want |= {(first[frozenset(v)], k) for k, v in sets.items() if first[frozenset(v)] != k}
         assert len(got) == len(set(got)) and set(got) == want, threshold
+
+
+def test_pages_of_any_size_as_a_stream(spark, monkeypatch):
+    """Small and large pages, cut by batches of 7 rows, with nulls: as page by page; and no call for each page."""
+    rng = random.Random(4)
+    rows = []
+    for d in [None, *range(60)]:
+        for k in range(rng.choice((1, 2, 3, 5, 9, 20))):
+            x, y = rng.randrange(40) * 1.0, rng.randrange(60) * 1.0
+            rows.append((d, 1, (1 << 60) + k, "t", None if rng.random() < 0.05 else rng.randrange(6) / 8, x, y, x + rng.randint(5, 30), None if rng.random() < 0.05 else y + rng.randint(5, 30)))
+    items = spark.createDataFrame(rows, "doc_id long, page int, item long, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    pages = defaultdict(list)
+    for r in items.collect():
+        pages[r.doc_id].append(r)
+    kept, in_row = set(), set()
+    for d, page in pages.items():
+        best = []
+        for r in sorted(page, key=lambda r: (r.confidence is None, -(r.confidence or 0), r.y1, r.x1, r["item"])):
+            def clash(k):
+                if None in (r.y2, k.y2):
+                    return False
+                inter = max(0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0, min(r.y2, k.y2) - max(r.y1, k.y1))
+                a, b = ((x.x2 - x.x1) * (x.y2 - x.y1) for x in (r, k))
+                return inter > 0.5 * (a + b - inter) or inter > 0.8 * min(a, b)
+
+            if not any(map(clash, best)):
+                best.append(r)
+        kept |= {(d, r["item"]) for r in best}
+        heights = [r.y2 - r.y1 for r in page if r.y2 is not None]
+        near, row, n, mean = max(8.0, 0.5 * statistics.median(heights)) if heights else math.nan, -1, 0, 0.0
+        for r in sorted(page, key=lambda r: (r.y2 is None, (r.y1 + (r.y2 or 0)) / 2 if r.y2 is not None else 0, r.x1, r["item"])):
+            c = math.nan if r.y2 is None else (r.y1 + r.y2) / 2
+            if row < 0 or abs(c - mean) > near:
+                row, mean, n = row + 1, c, 1
+            else:
+                mean, n = (mean * n + c) / (n + 1), n + 1
+            in_row.add((d, r["item"], row))
+    monkeypatch.setattr(layout, "SMALL", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = layout.without_overlaps(items)
+        assert sorted((r.doc_id or -1, r["item"]) for r in found.collect()) == sorted((d or -1, k) for d, k in kept)
+        assert {(r.doc_id, r["item"], r.text_row) for r in layout.text_rows(items).collect()} == in_row
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for frame in (found, layout.text_rows(items)):
+        assert "FlatMapGroupsIn" not in frame._jdf.queryExecution().toString()

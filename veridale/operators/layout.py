@@ -1,14 +1,19 @@
 """Layout operators over boxes (x1, y1, x2, y2) of recognised text, a page of a document at a time.
 
-Box arithmetic is Columns. The greedy and order-dependent steps take the boxes of one page, a bounded
-group, with applyInPandas.
+Box arithmetic is Columns. The greedy and order-dependent steps take the boxes of many whole pages at once, each page a bounded
+group, with mapInArrow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PAGE = ("doc_id", "page")
 
@@ -39,45 +44,103 @@ def merged(a: str, b: str) -> Column:
     return F.struct(F.least(f"{a}.x1", f"{b}.x1").alias("x1"), F.least(f"{a}.y1", f"{b}.y1").alias("y1"), F.greatest(f"{a}.x2", f"{b}.x2").alias("x2"), F.greatest(f"{a}.y2", f"{b}.y2").alias("y2"))
 
 
+def _in_order(c: str | Column, down: bool = False) -> Column:
+    """Numbers in order, nulls and NaN last."""
+    c = F.col(c) if isinstance(c, str) else c
+    known = F.when(~F.isnan(c), c)
+    return known.desc_nulls_last() if down else known.asc_nulls_last()
+
+
+def _by_pages(items: DataFrame, order: list[Column], step: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """`step` on tables of whole pages, each in the order, and the rows where pages start. A task takes its pages as a stream, many at once, so that a small page costs no call of its own."""
+    numbered = items.withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)))
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        yield from step(table.drop_columns("_k"), np.flatnonzero(table["_k"].to_numpy() == 1)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_k").to_numpy() == 1)
+            if len(starts):  # all before the last page is whole
+                done = [*held, batch.slice(0, starts[-1])]
+                if sum(map(len, done)):
+                    yield from whole(done)
+                held = [batch.slice(starts[-1])]
+            else:
+                held.append(batch)
+        if sum(map(len, held)):
+            yield from whole(held)
+
+    return numbered.mapInArrow(run, schema)
+
+
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns as doubles, NaN for null."""
+    return [table[c].cast(pa.float64(), safe=False).to_numpy() for c in columns]
+
+
+#: Boxes of a page up to which pages of one size are compared together, and comparisons at once.
+SMALL, AT_ONCE = 64, 1 << 20
+
+
+def _clash(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether boxes (.., 4) overlap too much."""
+    side = lambda lo, hi: (np.minimum(a[..., hi], b[..., hi]) - np.maximum(a[..., lo], b[..., lo])).clip(0)
+    area_a, area_b = ((x[..., 2] - x[..., 0]).clip(0) * (x[..., 3] - x[..., 1]).clip(0) for x in (a, b))
+    inter, least = side(0, 2) * side(1, 3), np.minimum(area_a, area_b)
+    union = area_a + area_b - inter
+    return (union > 0) & (inter > threshold * union) | (least > 0) & (inter > 0.8 * least)
+
+
 def without_overlaps(items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Of overlapping boxes (IoU over the threshold, or 80 % of the smaller one) the one with the highest confidence, greedily."""
-    columns = items.columns
-
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["confidence", "y1", "x1", "item"], ascending=[False, True, True, True], ignore_index=True)
-        kept: list[int] = []
-        box = page[["x1", "y1", "x2", "y2"]].to_numpy()
-        area = (box[:, 2] - box[:, 0]).clip(0) * (box[:, 3] - box[:, 1]).clip(0)
-        for i in range(len(page)):
-            if kept:
-                k = box[kept]
-                inter = (k[:, 2].clip(max=box[i, 2]) - k[:, 0].clip(min=box[i, 0])).clip(0) * (k[:, 3].clip(max=box[i, 3]) - k[:, 1].clip(min=box[i, 1])).clip(0)
-                union, least = area[kept] + area[i] - inter, area[kept].clip(max=area[i])
-                if ((union > 0) & (inter > threshold * union) | (least > 0) & (inter > 0.8 * least)).any():
-                    continue
-            kept.append(i)
-        return page.iloc[kept][columns]
-
-    return items.groupBy(*PAGE).applyInPandas(keep, items.schema)
+
+    def keep(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        box, kept = np.stack(_numbers(table, "x1", "y1", "x2", "y2"), axis=1), np.ones(len(table), bool)
+        sizes = np.diff(starts, append=len(table))
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+            first, many = starts[sizes == n], max(1, AT_ONCE // int(n * n))
+            for k in range(0, len(first), many):
+                rows = first[k : k + many, None] + np.arange(n)
+                clash, good = _clash(box[rows][:, :, None], box[rows][:, None], threshold), np.ones(rows.shape, bool)
+                for i in range(1, n):
+                    good[:, i] = ~(clash[:, i, :i] & good[:, :i]).any(axis=1)
+                kept[rows] = good
+        for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+            best, m = np.empty((n, 4)), 0
+            for i in range(at, at + n):
+                kept[i] = not _clash(best[:m], box[i], threshold).any()
+                if kept[i]:
+                    best[m], m = box[i], m + 1
+        return table.filter(pa.array(kept))
+
+    return _by_pages(items, [_in_order("confidence", down=True), _in_order("y1"), _in_order("x1"), F.col("item").asc_nulls_last(), "x2", "y2"], keep, items.schema)
 
 
 def text_rows(items: DataFrame) -> DataFrame:
     """items with text_row: from top to bottom, an item joins the row while its centre is within half of the median height (8 at least) of the row's mean."""
     schema = items.withColumn("text_row", F.lit(0)).schema
 
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_c=(page.y1 + page.y2) / 2).sort_values(["_c", "x1", "item"], ignore_index=True)
-        near = max(0.5 * float((page.y2 - page.y1).median()), 8.0)
-        rows, row, mean, n = [], -1, 0.0, 0
-        for c in page["_c"]:
-            if row < 0 or abs(c - mean) > near:
-                row, mean, n = row + 1, c, 1
-            else:
-                mean, n = (mean * n + c) / (n + 1), n + 1
-            rows.append(row)
-        return page.assign(text_row=rows).drop(columns="_c").astype({"text_row": "int32"})
-
-    return items.groupBy(*PAGE).applyInPandas(cluster, schema)
+    def cluster(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        y1, y2 = _numbers(table, "y1", "y2")
+        centre, sizes = (y1 + y2) / 2, np.diff(starts, append=len(table))
+        near = np.maximum(0.5 * pd.Series(y2 - y1).groupby(np.repeat(np.arange(len(starts)), sizes)).median().to_numpy(), 8.0)
+        by_size = np.argsort(-sizes, kind="stable")
+        starts, near = starts[by_size], near[by_size]
+        row, mean, n = np.full(len(starts), -1, np.int32), np.zeros(len(starts)), np.zeros(len(starts))
+        rows = np.empty(len(table), np.int32)
+        ends = np.searchsorted(-sizes[by_size], -np.arange(sizes.max()))  # how many pages have a k-th item
+        for k, m in enumerate(ends):
+            c = centre[starts[:m] + k]
+            new = (row[:m] < 0) | (np.abs(c - mean[:m]) > near[:m])
+            mean[:m], n[:m] = np.where(new, c, (mean[:m] * n[:m] + c) / (n[:m] + 1)), np.where(new, 1, n[:m] + 1)
+            row[:m] += new
+            rows[starts[:m] + k] = row[:m]
+        return table.append_column("text_row", pa.array(rows))
+
+    return _by_pages(items, [_in_order((F.col("y1") + F.col("y2")) / 2), _in_order("x1"), F.col("item").asc_nulls_last()], cluster, schema)
 
 
 def gap_rows(items: DataFrame, gap: float = 8.0) -> DataFrame:
