@@ -159,6 +159,24 @@ def test_suspects_meet_items_on_grams_only(spark):
     assert near <= pairs and len(pairs) < 0.6 * sum(1 for d, _, v in suspects for e, _, t, _ in items if e == d)
 
 
+@pytest.mark.parametrize("direct", [0, 6, 1 << 20])
+def test_suspects_and_items_meet_without_broadcasts(spark, monkeypatch, direct):
+    """By grams, by both ways and by pairs; narrow sides are shuffled too."""
+    from veridale.operators import review
+
+    monkeypatch.setattr(review, "DIRECT", direct)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    items = [(d, i, word(rng.randrange(0, 7)), float(i)) for d in range(6) for i in range(4 + 20 * (d % 2))]
+    suspects = [(d, s, None if s == 7 else word(rng.randrange(0, 5))) for d in range(7) for s in range(8)]
+    frame = spark.createDataFrame([(*x, x[3], x[3], x[3]) for x in items], "doc_id int, item int, text string, x1 double, y1 double, x2 double, y2 double")
+    found = review.located_suspects(spark.createDataFrame(suspects, "doc_id int, suspect int, value string"), frame)
+    got = [(r.doc_id, r.suspect, r.value, r.box.x1 + 20 if r.box else None) for r in found.collect()]
+    want = {(d, s, v, min((x for e, _, t, x in items if e == d and v is not None and t and (v in t or t in v)), default=None)) for d, s, v in suspects}
+    assert len(got) == len(suspects) and set(got) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_cells_and_columns_by_their_form(spark):
     from veridale.operators import layout
 

@@ -82,7 +82,7 @@ def _meetings(longer: DataFrame, shorter: DataFrame, key: str) -> DataFrame:
     a = longer.where("length(t) > 0").select("doc_id", key, F.explode(grams).alias("g"))
     other = "item" if key == "suspect" else "suspect"
     b = shorter.where("length(t) > 0").select("doc_id", other, F.substring("t", 1, GRAM).alias("g"))
-    return a.join(b, ["doc_id", "g"]).select("doc_id", "suspect", "item")
+    return a.join(b.hint("merge"), ["doc_id", "g"]).select("doc_id", "suspect", "item")
 
 
 def may_hold(suspects: DataFrame, items: DataFrame) -> DataFrame:
@@ -91,18 +91,30 @@ def may_hold(suspects: DataFrame, items: DataFrame) -> DataFrame:
     return _meetings(s, i, "suspect").unionByName(_meetings(i, s, "item")).distinct()
 
 
+#: Pairs of texts for each text of a document up to which all its pairs are compared; that is no more work than its grams.
+DIRECT = 16
+
+
 def located_suspects(suspects: DataFrame, items: DataFrame, padding: float = 20.0) -> DataFrame:
     """suspects (doc_id, suspect, value) with the padded box of the first item on the document whose text holds the value or is held by it.
 
-    Texts meet on grams, so that only pairs that share one are compared. An empty value is held by every text, so it has the document's first.
+    Different values meet different texts, both once a document. They are compared by pairs where a document has few for its texts; in the others texts
+    meet on grams, so that only pairs that share one are compared. Nothing is broadcast for being narrow: sides are shuffled by document. An
+    empty value is held by every text, so it has the document's first.
     """
     box = F.struct((F.col("x1") - padding).alias("x1"), (F.col("y1") - padding).alias("y1"), (F.col("x2") + padding).alias("x2"), (F.col("y2") + padding).alias("y2"))
     near = F.col("text").contains(F.col("value")) | F.col("value").contains(F.col("text"))
     boxed = items.where("length(text) > 0").select("doc_id", "item", "text", box.alias("box"))
-    met = may_hold(suspects, items).join(suspects.select("doc_id", "suspect", "value"), ["doc_id", "suspect"]).join(boxed, ["doc_id", "item"]).where(near)
-    found = met.groupBy("doc_id", "suspect").agg(F.min_by("box", "item").alias("box"))
-    empty = suspects.where("value = ''").select("doc_id", "suspect").join(boxed.groupBy("doc_id").agg(F.min_by("box", "item").alias("box")), "doc_id").select("doc_id", "suspect", "box")
-    return suspects.join(found.unionByName(empty), ["doc_id", "suspect"], "left")
+    texts = boxed.groupBy("doc_id", "text").agg(F.min("item").alias("item"), F.min_by("box", "item").alias("box"))
+    values = suspects.where("value <> ''").select("doc_id", "value").distinct()
+    each = values.groupBy("doc_id").agg(F.count(F.lit(1)).alias("v")).join(boxed.groupBy("doc_id").agg(F.count_distinct("text").alias("t")).hint("merge"), "doc_id")
+    many = each.where(F.col("v") * F.col("t") > DIRECT * (F.col("v") + F.col("t"))).select("doc_id").hint("merge")
+    few = values.join(many, "doc_id", "left_anti").join(texts.join(many, "doc_id", "left_anti").hint("merge"), "doc_id").where(near)
+    of_many = values.join(many, "doc_id", "left_semi").select("doc_id", F.col("value").alias("suspect"), "value"), boxed.join(many, "doc_id", "left_semi").select("doc_id", F.col("text").alias("item"), "text").distinct()
+    met = may_hold(*of_many).select("doc_id", F.col("suspect").alias("value"), F.col("item").alias("text")).where(near).join(texts.hint("merge"), ["doc_id", "text"])
+    found = few.select("doc_id", "value", "item", "box").unionByName(met.select("doc_id", "value", "item", "box")).groupBy("doc_id", "value").agg(F.min_by("box", "item").alias("box"))
+    empty = suspects.where("value = ''").select("doc_id", "value").distinct().join(boxed.groupBy("doc_id").agg(F.min_by("box", "item").alias("box")).hint("merge"), "doc_id").select("doc_id", "value", "box")
+    return suspects.join(found.unionByName(empty).hint("merge"), ["doc_id", "value"], "left").select(*suspects.columns, "box")
 
 
 def verify_tasks(suspects: DataFrame) -> DataFrame:
