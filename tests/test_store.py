@@ -78,3 +78,15 @@ def test_classify(spark):
     got = {r.path: (r.label, r.source) for r in classify.classified(f, {"pavement": ["跑道"]}, {"weak": ["记录"]}, ["gb50"], ["readme"]).collect()}
     assert got == {"spec/GB50.pdf": (None, "reference"), "跑道 记录.pdf": ("pavement", "core"), "log.txt": ("general", "default"), "竣工图.dwg": ("general", "default")}
     assert f.where("path like '%dwg'").select(classify.drawing_type(F.col("path")).alias("k")).first().k == "as_built"
+
+
+def test_small_files_are_packed_into_fewer_tasks(spark, tmp_path, monkeypatch):
+    from veridale.sources import files
+
+    monkeypatch.setattr(files, "TASKS", 3)
+    for k in range(300):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    raw = spark.read.format("binaryFile").load(str(tmp_path))
+    found = files.extracted(files.packed(raw), "path string, text string", lambda path, content: [(path, content.decode())])
+    assert raw.rdd.getNumPartitions() > 3 and found.rdd.getNumPartitions() == 3
+    assert sorted(r.text for r in found.collect()) == sorted(f"text {k}" for k in range(300))

@@ -37,6 +37,16 @@ def wanted(path: Column, out_name: str, include_all: bool = False) -> Column:
     return clean & (F.lit(True) if include_all else method(path) != "unknown")
 
 
+#: Tasks that small files are dealt to, about: Spark takes some 30 files a task, so with more tasks than that each gets up to 32 times as many.
+TASKS = 1 << 10
+
+
+def packed(files: DataFrame) -> DataFrame:
+    """files as Spark reads them, for `extracted`: fewer tasks where many small files make too many, as each needs a Python worker; nothing is shuffled."""
+    n = files.rdd.getNumPartitions()
+    return files.coalesce(max(TASKS, n // 32)) if n > TASKS else files
+
+
 def scan(spark: SparkSession, folder: str, out_name: str = "out", recursive: bool = True, include_all: bool = False) -> DataFrame:
     """path, length, modified, method, content_hash of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
