@@ -324,6 +324,25 @@ def test_pairs_with_long_lists_split(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want, threshold
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_pairs_shuffle_less_than_their_sets(spark):
+    """600 sets of 200 tokens, the last 100 near copies: what is shuffled is less than three times the tokens' characters."""
+    rng = random.Random(8)
+    sets = {k: {f"{rng.randrange(10**8):08d}" for _ in range(200)} for k in range(500)}
+    sets |= {500 + k: {*sorted(sets[k])[:-9]} for k in range(100)}
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    before = shuffled(spark)
+    assert {(r.a, r.b) for r in cluster.similar_pairs(frame, 0.7).collect()} == {(k, 500 + k) for k in range(100)}
+    assert shuffled(spark) - before < 3 * 600 * 200 * 8
+
+
 def test_pages_of_any_size_as_a_stream(spark, monkeypatch):
     """Small and large pages, cut by batches of 7 rows, with nulls: as page by page; and no call for each page."""
     rng = random.Random(4)
