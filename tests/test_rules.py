@@ -56,3 +56,12 @@ def test_template_and_report(spark):
 def test_catalogue_is_complete():
     rows = catalog.entries()
     assert len(rows) == len({x[0] for x in rows}) == 93
+
+
+def test_documents_dont_meet_rules_by_type(spark):
+    """Documents of few types: rules are broadcast, so no task gets all documents of a type; rules with two types of one document are told once."""
+    rules = [r.Rule("A", "SINGLE_DOC", "L1", "Fatal", "true", doc_types=("x", "y")), r.Rule("B", "SINGLE_DOC", "L1", "Fatal", "true", doc_types=("y", "*"))]
+    documents = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "x"), (3, "z"), (None, "y"), (4, None)], "doc_id long, doc_type string")
+    found = r.matching_type(r.as_frame(spark, rules), documents)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+    assert sorted((x.doc_id or 0, x.rule_id) for x in found.collect()) == [(0, "A"), (0, "B"), (1, "A"), (1, "B"), (2, "A")]

@@ -59,9 +59,13 @@ def active(rules: DataFrame, project: str | None = None) -> DataFrame:
 
 
 def matching_type(rules: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, rule_id by literal membership of the document's type; `*` is no wildcard."""
-    each = rules.select("rule_id", F.explode("doc_types").alias("doc_type"))
-    return documents.select("doc_id", "doc_type").join(each, "doc_type").select("doc_id", "rule_id").distinct()
+    """doc_id, rule_id by literal membership of the document's type; `*` is no wildcard.
+
+    Rules are configuration, so they are broadcast, one row a type: rows of documents don't meet by their few types, and are made distinct before rules are listed.
+    """
+    each = rules.select("rule_id", F.explode("doc_types").alias("doc_type")).groupBy("doc_type").agg(F.collect_set("rule_id").alias("rule_ids"))
+    found = documents.select("doc_id", "doc_type").join(F.broadcast(each), "doc_type").groupBy("doc_id").agg(F.collect_set("rule_ids").alias("rule_ids"))
+    return found.select("doc_id", F.explode(F.array_distinct(F.flatten("rule_ids"))).alias("rule_id"))
 
 
 def message(template: str, columns: list[str]) -> Column:
