@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 
 from veridale import plans
-from veridale.operators import cluster, layout
+from veridale.operators import cluster, layout, tables
 from veridale.plans import text_queries
 
 
@@ -343,6 +343,18 @@ def test_pairs_shuffle_less_than_their_sets(spark):
     assert shuffled(spark) - before < 3 * 600 * 200 * 8
 
 
+def test_rows_and_plain_lines_in_one_pass(spark):
+    """A document has its table or its plain lines, told in one pass: no join; page marks, tabs at an end and repeated names included."""
+    texts = {1: "no  size  no\n1  2  3\n4  5  6", 2: "no  size  no\n1  2  3", 3: "12 34\n\tab  cd  ef\n=== 第 7 页 ===\n= 8 =\nx y z\n1 2", 4: "=== 第 99999999999 页 ===\nq"}
+    docs = spark.createDataFrame([(k, v, "other") for k, v in texts.items()], "doc_id long, text string, doc_type string")
+    found = tables.rows_by_type(docs, {"no": "no"}, "no", "pile")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, r.page, r.line_no): r.cells for r in found.collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 1} == {(1, 2): {"no": "1", "size": "2", "no_2": "3"}, (1, 3): {"no": "4", "size": "5", "no_2": "6"}}
+    plain = lambda *lines: {k: {"raw_text": v} for k, v in lines}
+    assert {k: v for k, v in got.items() if k[0] > 1} == plain(((2, 1, 1), "no  size  no"), ((2, 1, 2), "1  2  3"), ((3, 1, 1), "12 34"), ((3, 1, 2), "\tab  cd  ef"), ((3, 7, 3), "= 8 ="), ((3, 7, 4), "x y z"), ((3, 7, 5), "1 2"), ((4, 1, 1), "=== 第 99999999999 页 ==="), ((4, 1, 2), "q"))
+
+
 def test_pages_of_any_size_as_a_stream(spark, monkeypatch):
     """Small and large pages, cut by batches of 7 rows, with nulls: as page by page; and no call for each page."""
     rng = random.Random(4)

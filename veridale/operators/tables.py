@@ -19,7 +19,8 @@ MIN_DOMAIN_COLUMNS = 4
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, page, line_no (from 1, over pages), line (trimmed) of the lines that aren't empty or page marks."""
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
-    mark = F.regexp_extract("raw", PAGE_MARK, 1).try_cast("int")
+    number = F.regexp_extract("raw", PAGE_MARK, 1)
+    mark = F.when(F.col("raw").startswith("=") & (number != ""), number.try_cast("int"))  # a cast that fails takes longer than all else here
     w = Window.partitionBy("doc_id").orderBy("k")
     each = each.withColumn("mark", mark).withColumn("page", F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit(1)))
     kept = each.withColumn("line", F.btrim("raw")).where((F.col("line") != "") & F.col("mark").isNull())
@@ -45,9 +46,13 @@ def header_slots(aliases: dict[str, str]) -> Column:
 
 def domain_rows(docs: DataFrame, aliases: dict[str, str], id_slot: str) -> DataFrame:
     """doc_id, page, line_no, cells map<slot,string> of lines under a header of MIN_DOMAIN_COLUMNS known slots, with an id."""
-    each = lines(docs).withColumn("tokens", line_tokens(F.col("line"))).withColumn("slots", header_slots(aliases))
-    known = F.size(F.array_distinct(F.filter("slots", lambda s: s.isNotNull())))
-    return _under(each.withColumn("header", F.when(known >= MIN_DOMAIN_COLUMNS, F.col("slots")))).where(F.coalesce(F.col("cells")[id_slot], F.lit("")) != "")
+    each = lines(docs).withColumn("tokens", line_tokens(F.col("line")))
+    slots = header_slots(aliases)
+    known = F.size(F.array_distinct(F.filter(slots, lambda s: s.isNotNull())))
+    named = lambda name: F.greatest(F.lit(0), *[F.col("line").contains(a).cast("int") for a, n in aliases.items() if n == name])
+    may = sum((named(n) for n in dict.fromkeys(aliases.values())), F.lit(0)) >= MIN_DOMAIN_COLUMNS  # tokens are looked at only in lines that have enough aliases
+    each = _under(each.withColumn("header", F.when(may, F.when(known >= MIN_DOMAIN_COLUMNS, _header(slots)))))
+    return each.where("is_row").select("doc_id", "page", "line_no", "tokens", _cells().alias("cells")).where(F.coalesce(F.col("cells")[id_slot], F.lit("")) != "")
 
 
 def generic_header(tokens: Column) -> Column:
@@ -67,22 +72,44 @@ def unique_names(names: Column) -> Column:
         F.concat(n, F.lit("_"), (F.size(F.filter(F.slice(names, 1, i), lambda m: m == n)) + 1).cast("string"))).otherwise(n))
 
 
+#: Lines without this have no text tokens: letters between blanks, or a Han character.
+MAY_HAVE_TEXT = r"(^|[ \t])[a-zA-Z]+([ \t]|$)|[一-龥]"
+
+
+def _generic(docs: DataFrame) -> DataFrame:
+    """The lines of documents with their tokens, the header they are under, is_row, and n, how many rows their document has."""
+    each = lines(docs).withColumn("tokens", line_tokens(F.col("line")))
+    each = each.withColumn("is_header", F.col("line").rlike(MAY_HAVE_TEXT) & generic_header(F.col("tokens")))
+    upto = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.sum(F.col("is_header").cast("int")).over(upto) == 1
+    each = each.withColumn("first", first).withColumn("header", F.when(F.col("is_header") & F.col("first"), _header(unique_names(F.col("tokens")))))
+    rows = _under(each).withColumn("is_row", F.col("is_row") & (F.size("tokens") >= 2))
+    return rows.withColumn("n", F.sum(F.col("is_row").cast("int")).over(Window.partitionBy("doc_id")))
+
+
 def generic_rows(docs: DataFrame) -> DataFrame:
     """As domain_rows, under the first line of a page that looks like a header; documents with 2 rows or more."""
-    each = lines(docs).withColumn("tokens", line_tokens(F.col("line")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "is_header").orderBy("line_no")) == 1
-    each = each.withColumn("is_header", generic_header(F.col("tokens")))
-    each = each.withColumn("header", F.when(F.col("is_header") & first, unique_names(F.col("tokens"))))
-    rows = _under(each).where(F.size("tokens") >= 2)
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("n >= 2").drop("n", "tokens")
+    return _generic(docs).where("is_row and n >= 2").select("doc_id", "page", "line_no", _cells().alias("cells"))
+
+
+def _header(names: Column) -> Column:
+    """struct(names, plain): plain if no name is null or there twice; told once a header, not once a row."""
+    return F.struct(names.alias("names"), (F.forall(names, lambda n: n.isNotNull()) & (F.size(F.array_distinct(names)) == F.size(names))).alias("plain"))
 
 
 def _under(each: DataFrame) -> DataFrame:
+    """under: the last header before a line on its page; is_row: whether a line that is no header has one."""
     w = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    under = each.withColumn("names", F.last("header", ignorenulls=True).over(w)).where(F.col("names").isNotNull() & F.col("header").isNull())
-    pairs = F.filter(F.arrays_zip(F.slice("names", 1, F.least(F.size("names"), F.size("tokens"))).alias("name"), F.slice("tokens", 1, F.least(F.size("names"), F.size("tokens"))).alias("value")), lambda p: p["name"].isNotNull())
-    cells = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["name"], p["value"]))))
-    return under.select("doc_id", "page", "line_no", "tokens", cells.alias("cells"))
+    under = each.withColumn("under", F.last("header", ignorenulls=True).over(w))
+    return under.withColumn("is_row", F.col("under").isNotNull() & F.col("header").isNull())
+
+
+def _cells() -> Column:
+    """The tokens by the names they are under."""
+    names, many = F.col("under.names"), F.least(F.size("under.names"), F.size("tokens"))
+    name, value = F.slice(names, 1, many), F.slice("tokens", 1, many)
+    pairs = F.filter(F.arrays_zip(name.alias("name"), value.alias("value")), lambda p: p["name"].isNotNull())
+    return F.when(F.col("under.plain"), F.map_from_arrays(name, value)).otherwise(F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["name"], p["value"])))))
 
 
 def typed_cells(rows: DataFrame) -> DataFrame:
@@ -156,9 +183,9 @@ def rows_by_type(docs: DataFrame, aliases: dict[str, str], id_slot: str, domain:
     """doc_id, page, line_no, cells: domain rows for documents whose type matches `domain`, generic tables for the others, lines where there is no table."""
     is_domain = F.coalesce(F.col("doc_type").rlike(domain), F.lit(False))
     first = domain_rows(docs.where(is_domain), aliases, id_slot).select("doc_id", "page", "line_no", "cells")
-    table = generic_rows(docs.where(~is_domain)).select("doc_id", "page", "line_no", "cells")
-    plain = lines(docs.where(~is_domain)).join(table.select("doc_id").distinct(), "doc_id", "left_anti")
-    return first.unionByName(table).unionByName(plain.select("doc_id", "page", "line_no", F.create_map(F.lit("raw_text"), F.col("line")).alias("cells")))
+    others = _generic(docs.where(~is_domain)).where("is_row or n < 2")  # a document has a table or plain lines: one pass for both
+    cells = F.when(F.col("n") >= 2, _cells()).otherwise(F.create_map(F.lit("raw_text"), F.col("line")))
+    return first.unionByName(others.select("doc_id", "page", "line_no", cells.alias("cells")))
 
 
 def slot_schema(aliases: DataFrame) -> DataFrame:
