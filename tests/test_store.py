@@ -90,3 +90,12 @@ def test_small_files_are_packed_into_fewer_tasks(spark, tmp_path, monkeypatch):
     found = files.extracted(files.packed(raw), "path string, text string", lambda path, content: [(path, content.decode())])
     assert raw.rdd.getNumPartitions() > 3 and found.rdd.getNumPartitions() == 3
     assert sorted(r.text for r in found.collect()) == sorted(f"text {k}" for k in range(300))
+
+
+def test_files_are_made_in_slices():
+    """A batch of any size is made into files a slice at a time, with nothing lost."""
+    import pandas as pd
+    from veridale.plans import source_queries as sq
+
+    got = [*sq._cut(iter([pd.DataFrame({"a": range(300)}), pd.DataFrame({"a": range(300, 303)})]))]
+    assert max(map(len, got)) <= sq.FILES < 300 and [x for g in got for x in g["a"]] == [*range(303)]

@@ -41,6 +41,10 @@ def wanted(path: Column, out_name: str, include_all: bool = False) -> Column:
 TASKS = 1 << 10
 
 
+#: Rows that `extracted` holds before it hands them on.
+ROWS = 1 << 12
+
+
 def packed(files: DataFrame) -> DataFrame:
     """files as Spark reads them, for `extracted`: fewer tasks where many small files make too many, as each needs a Python worker; nothing is shuffled."""
     n = files.rdd.getNumPartitions()
@@ -92,8 +96,15 @@ def extracted(files: DataFrame, schema: str, extract: Callable[[str, bytes], lis
         return [(path, *[None] * (len(names) - 1), error)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+        made: list[tuple] = []
         for batch in batches:
-            yield pd.DataFrame([row for p, c in zip(batch["path"], batch["content"]) for row in rows_of(p, c)], columns=[*names, "error"], dtype=object)
+            for p, c in zip(batch["path"], batch["content"]):
+                made += rows_of(p, c)
+                if len(made) >= ROWS:
+                    yield frame(made)
+                    made = []
+        yield frame(made)
 
     made = files.select("path", "content").mapInPandas(run, schema + ", error string")
     return made if keep_errors else made.drop("error")
