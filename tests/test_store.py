@@ -99,3 +99,32 @@ def test_files_are_made_in_slices():
 
     got = [*sq._cut(iter([pd.DataFrame({"a": range(300)}), pd.DataFrame({"a": range(300, 303)})]))]
     assert max(map(len, got)) <= sq.FILES < 300 and [x for g in got for x in g["a"]] == [*range(303)]
+
+
+def _filled(spark, folder, n, folders):
+    """n files of three suffixes in numbered folders, with one that a failed task left."""
+    name = F.concat(F.col("id").cast("string"), F.lit("."), F.get(F.array(F.lit("txt"), F.lit("pdf"), F.lit("xyz")), (F.col("id") % 3).cast("int")))
+    contents = spark.range(0, n, 1, 3).select(name.alias("name"), F.encode(F.concat(F.lit("text ö "), F.col("id").cast("string")), "utf-8").alias("content"))
+    for _ in range(2):  # a task that runs again
+        assert files.saved(contents, folder, folders).distinct().count() == n
+    return [f"{k}.{('txt', 'pdf', 'xyz')[k % 3]}" for k in range(n)]
+
+
+def test_many_files_are_dealt_to_folders_that_tasks_list(spark, tmp_path):
+    """No folder has all files, no more tasks than folders read them, and the scan is that of Spark's reader."""
+    names = _filled(spark, str(tmp_path), 600, 8)
+    (tmp_path / "0" / ".left").write_text("half")
+    found = [sorted(p.name for p in at.iterdir() if p.name != ".left") for at in tmp_path.iterdir()]
+    assert sorted(x for at in found for x in at) == sorted(names) and len(found) == 8 and max(map(len, found)) < 150
+    for every in (False, True):
+        dealt = files.scan(spark, str(tmp_path), include_all=every, folders=8)
+        rows = lambda f: sorted(tuple(r) for r in f.withColumn("path", F.regexp_replace("path", "^file:", "")).withColumn("modified", F.unix_millis("modified")).collect())
+        assert dealt.rdd.getNumPartitions() <= 8
+        assert rows(dealt) == rows(files.scan(spark, str(tmp_path), include_all=every)) and dealt.count() == (600 if every else 400)
+
+
+def test_content_is_handed_on_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BYTES", 50)
+    _filled(spark, str(tmp_path), 90, 2)
+    got = files.with_content(files.listed(spark, str(tmp_path), 2), str(tmp_path)).collect()
+    assert sorted(bytes(r.content).decode() for r in got) == sorted(f"text ö {k}" for k in range(90)) and all(r.length == len(r.content) for r in got)

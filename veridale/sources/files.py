@@ -41,8 +41,10 @@ def wanted(path: Column, out_name: str, include_all: bool = False) -> Column:
 TASKS = 1 << 10
 
 
-#: Rows that `extracted` holds before it hands them on.
-ROWS = 1 << 12
+#: Rows that `extracted` holds before it hands them on, and bytes that `with_content` does.
+ROWS, BYTES = 1 << 12, 1 << 24
+#: Files that share a folder where many are saved, about: in one folder of all, writers wait for each other.
+SHARED = 1 << 9
 
 
 def packed(files: DataFrame) -> DataFrame:
@@ -51,11 +53,55 @@ def packed(files: DataFrame) -> DataFrame:
     return files.coalesce(max(TASKS, n // 32)) if n > TASKS else files
 
 
-def scan(spark: SparkSession, folder: str, out_name: str = "out", recursive: bool = True, include_all: bool = False) -> DataFrame:
-    """path, length, modified, method, content_hash of the files of a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    kept = files.where(wanted(F.col("path"), out_name, include_all))
-    return kept.select("path", "length", F.col("modificationTime").alias("modified"), method(F.col("path")).alias("method"), F.sha2("content", 256).alias("content_hash"))
+def listed(spark: SparkSession, folder: str, folders: int) -> DataFrame:
+    """path, length, modified (microseconds) of the files that `saved` put into its numbered folders. Each folder is listed by a task, so the driver holds no list of files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        from .pdf import file_system
+
+        system, to = file_system(folder)
+        for batch in batches:
+            for k in batch["id"]:
+                found = system.get_file_info(fs.FileSelector(f"{to}/{k}", allow_not_found=True))
+                rows = [(f.path, f.size, f.mtime_ns // 1000) for f in found if f.is_file and not f.base_name.startswith((".", "_"))]
+                yield pd.DataFrame(rows, columns=["path", "length", "modified"])
+
+    return spark.range(0, folders, 1, min(folders, TASKS)).mapInPandas(run, "path string, length long, modified long")
+
+
+def with_content(files: DataFrame, folder: str) -> DataFrame:
+    """path, length, modified, content of files of the folder as `listed` gives them, each read by the task that has its path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .pdf import file_system
+
+        system, _ = file_system(folder)
+        for batch in batches:
+            start, size, read = 0, 0, []
+            for k, path in enumerate(batch["path"], 1):
+                with system.open_input_stream(path) as f:
+                    read.append(f.read())
+                size += len(read[-1])
+                if k == len(batch) or size >= BYTES:
+                    yield batch[start:k].assign(content=read)
+                    start, size, read = k, 0, []
+
+    read = files.select("path", "length", "modified").mapInPandas(run, "path string, length long, modified long, content binary")
+    return read.withColumn("modified", F.timestamp_micros("modified"))
+
+
+def _read(spark: SparkSession, folder: str, keep: Column, recursive: bool, folders: int) -> DataFrame:
+    if folders:
+        return with_content(listed(spark, folder, folders).where(keep), folder)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).where(keep).withColumnRenamed("modificationTime", "modified")
+
+
+def scan(spark: SparkSession, folder: str, out_name: str = "out", recursive: bool = True, include_all: bool = False, folders: int = 0) -> DataFrame:
+    """path, length, modified, method, content_hash of the files of a folder; folders: as many numbered ones as `saved` had."""
+    files = _read(spark, folder, wanted(F.col("path"), out_name, include_all), recursive, folders)
+    return files.select("path", "length", "modified", method(F.col("path")).alias("method"), F.sha2("content", 256).alias("content_hash"))
 
 
 def changed(found: DataFrame, index: DataFrame) -> DataFrame:
@@ -110,23 +156,33 @@ def extracted(files: DataFrame, schema: str, extract: Callable[[str, bytes], lis
     return made if keep_errors else made.drop("error")
 
 
-def saved(contents: DataFrame, folder: str) -> DataFrame:
-    """path of each file written to the folder from (name, content), by the tasks that hold them. A file is put in its place whole, so a task that runs again does no harm."""
+def saved(contents: DataFrame, folder: str, folders: int = 0) -> DataFrame:
+    """path of each file written to the folder from (name, content), by the tasks that hold them. A file is put in its place whole, so a task that runs again does no harm.
+
+    folders: the file's name decides in which of so many numbered folders of the folder it is; none: in the folder itself.
+    """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
+        import zlib
 
         from .pdf import file_system
 
         system, to = file_system(folder)
         system.create_dir(to)
+        made = set()
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                part = f"{to}/.{uuid.uuid4().hex}"
+            paths = [f"{to}/{zlib.crc32(name.encode()) % folders}/{name}" if folders else f"{to}/{name}" for name in batch["name"]]
+            for path, content in zip(paths, batch["content"]):
+                at = path.rpartition("/")[0]
+                if folders and at not in made:
+                    system.create_dir(at)
+                    made.add(at)
+                part = f"{at}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as f:
                     f.write(content)
-                system.move(part, f"{to}/{name}")
-            yield pd.DataFrame({"path": to + "/" + batch["name"]})
+                system.move(part, path)
+            yield pd.DataFrame({"path": paths})
 
     return contents.select("name", "content").mapInPandas(put, "path string")
 
