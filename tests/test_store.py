@@ -128,3 +128,25 @@ def test_content_is_handed_on_in_slices(spark, tmp_path, monkeypatch):
     _filled(spark, str(tmp_path), 90, 2)
     got = files.with_content(files.listed(spark, str(tmp_path), 2), str(tmp_path)).collect()
     assert sorted(bytes(r.content).decode() for r in got) == sorted(f"text ö {k}" for k in range(90)) and all(r.length == len(r.content) for r in got)
+
+
+def test_texts_of_many_folders(spark, tmp_path):
+    """The texts of dealt files are read by no more tasks than there are folders, and are those of Spark's reader, which passes over empty files."""
+    _filled(spark, str(tmp_path), 200, 4)
+    files.saved(spark.createDataFrame([("200.md", bytearray(b"a\r\nb\n")), ("201.md", bytearray()), ("202.mdx", bytearray(b"no"))], "name string, content binary"), str(tmp_path), 4).count()
+    got = files.texts(spark, str(tmp_path), 4)
+    rows = lambda f: sorted((r.path.rsplit("/", 1)[1], r.text) for r in f.collect())
+    assert got.rdd.getNumPartitions() <= 4 and ("200.md", "a\r\nb\n") in rows(got)
+    assert rows(got) == sorted([*rows(files.texts(spark, str(tmp_path))), ("201.md", "")]) and got.count() == 69
+
+
+def test_documents_without_text_are_files_too(spark, tmp_path):
+    from hashlib import sha256
+
+    from veridale import plans
+
+    texts = {1: None, 2: "", 5: "a\r\nö\n", 7: "no known suffix", 8: " "}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, plans.QUERIES["sc6_texts"](spark, str(tmp_path)).collect())) == [(k, x or "") for k, x in texts.items()]
+    want = [(k, "pdf" if k == 2 else "text", len((x or "").encode()), sha256((x or "").encode()).hexdigest()) for k, x in texts.items() if k != 7]
+    assert sorted(map(tuple, plans.QUERIES["sc4_batch_sniff"](spark, str(tmp_path)).collect())) == want

@@ -99,7 +99,7 @@ def _read(spark: SparkSession, folder: str, keep: Column, recursive: bool, folde
 
 
 def scan(spark: SparkSession, folder: str, out_name: str = "out", recursive: bool = True, include_all: bool = False, folders: int = 0) -> DataFrame:
-    """path, length, modified, method, content_hash of the files of a folder; folders: as many numbered ones as `saved` had."""
+    """path, length, modified, method, content_hash of the files of a folder; folders: as many numbered ones as `saved` had. Without, Spark's reader passes over empty files."""
     files = _read(spark, folder, wanted(F.col("path"), out_name, include_all), recursive, folders)
     return files.select("path", "length", "modified", method(F.col("path")).alias("method"), F.sha2("content", 256).alias("content_hash"))
 
@@ -109,8 +109,10 @@ def changed(found: DataFrame, index: DataFrame) -> DataFrame:
     return found.join(index.where("status = 'completed'").select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """path, text of whole .txt and .md files."""
+def texts(spark: SparkSession, folder: str, folders: int = 0) -> DataFrame:
+    """path, text of whole .txt and .md files; folders as for `scan`."""
+    if folders:
+        return _read(spark, folder, F.col("path").rlike(r"\.(txt|md)$"), True, folders).select("path", F.col("content").cast("string").alias("text"))
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
