@@ -150,3 +150,31 @@ def test_documents_without_text_are_files_too(spark, tmp_path):
     assert sorted(map(tuple, plans.QUERIES["sc6_texts"](spark, str(tmp_path)).collect())) == [(k, x or "") for k, x in texts.items()]
     want = [(k, "pdf" if k == 2 else "text", len((x or "").encode()), sha256((x or "").encode()).hexdigest()) for k, x in texts.items() if k != 7]
     assert sorted(map(tuple, plans.QUERIES["sc4_batch_sniff"](spark, str(tmp_path)).collect())) == want
+
+
+def test_tf_idf_counts_repeated_and_odd_ids(spark, monkeypatch):
+    """Against a plain version: ids in several rows, no id, no text, single letters, letters whose lower case is ASCII, a slice for each few texts."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(cluster, "TEXT", 20)
+    odd = [(1, "ab ab a b_c"), (2, None), (3, ""), (4, "x y z"), (5, "AB\u212aö_9 ab\nab"), (None, "ab no id"), (None, "cd"), (1, "ab again"), (7, "ö"), (8, "end zz")]
+    for rows in (odd, [(k, x) for k, (_, x) in enumerate(odd)], odd[1:4]):
+        counts = defaultdict(Counter)
+        for k, x in rows:
+            counts[k].update(re.findall("[a-z0-9_]{2,}", (x or "").lower()))
+        df = Counter(w for c in counts.values() for w in c)
+        want = {(k, w): tf * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for k, c in counts.items() for w, tf in c.items()}
+        made = cluster.tf_idf(spark.createDataFrame(rows, "id long, text string").repartition(3)).collect()
+        got = {(r.id, r.token): r.weight for r in made}
+        assert len(made) == len(want) and got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+
+
+def test_tf_idf_sends_a_token_once_for_many_texts():
+    import pyarrow as pa
+
+    low = pa.array([b"some words of a text that all have"] * 500 + [None, b"", b"other words"])
+    got = pa.Table.from_batches(cluster._counts(iter([pa.RecordBatch.from_arrays([pa.array(range(503)), low], ["id", "low"])]))).to_pylist()
+    assert len(got) == 8 and {r["token"]: r["n"] for r in got} == {w: 500 for w in "some of text that all have".split()} | {"words": 501, "other": 1}
+    assert all(len(r["ids"]) == len(r["tfs"]) == r["n"] for r in got)
