@@ -296,6 +296,29 @@ def test_greedy_by_batches_and_by_rounds(spark, monkeypatch):
     assert {r.id: r.cluster for r in cluster.greedy(frame(short), 0.6, 2).collect()} == plain_greedy(short, 0.6, 2)
 
 
+def test_greedy_of_large_components_takes_few_rounds(spark, monkeypatch):
+    """120 near copies are all linked, so the longest chain has 120 sets; and components of several clusters, dense and sparse, in blocks."""
+    tracker = spark.sparkContext.statusTracker()
+    frame = lambda sets: spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    real = cluster._between
+    monkeypatch.setattr(cluster, "_between", lambda *a: (real(*a), spark.sparkContext.setJobGroup("dense", "dense"))[0])
+    monkeypatch.setattr(cluster, "BATCH", 128)
+    common = {f"c{j}" for j in range(30)}
+    near = {k: common | {f"u{k}"} for k in range(5, 125)} | {0: {f"c{j}" for j in range(27)} | {"x", "y"}, 1: {f"c{j}" for j in range(3, 30)} | {"v", "w"}}
+    assert {r.id: r.cluster for r in cluster.greedy(frame(near), 0.75, 2).collect()} == plain_greedy(near, 0.75, 2)
+    jobs = len(tracker.getJobIdsForGroup("dense"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs < 130
+    rng = random.Random(3)
+    for batch in (3, 20):
+        monkeypatch.setattr(cluster, "BATCH", batch)
+        for size, many in ((6, 9), (5, 30)):
+            sets = {k * 3: {f"t{rng.randrange(many)}" for _ in range(size)} for k in range(90)}
+            want = plain_greedy(sets, 0.5, 2)
+            assert len(set(want.values())) > 3
+            assert {r.id: r.cluster for r in cluster.greedy(frame(sets), 0.5, 2).collect()} == want, (batch, size)
+
+
 def test_pairs_of_sets_at_the_threshold(spark):
     sets = {k: {f"t{j}" for j in range(10)} - {f"t{j}" for j in range(k % 5)} | {f"u{k}_{j}" for j in range(k // 5)} for k in range(20)}
     frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
